@@ -17,6 +17,7 @@ def local_session(cores: str = "8", app_name: str = "revaxis", **conf: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
