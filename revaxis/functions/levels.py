@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..rules.signals import COMPARISON_TYPES, URGENCY_WORDS
 from ..rules.themes import CLUSTER_LABELS, GENERAL_COMPLAINTS
-from .matching import as_column, contained_terms, first_label, let
+from .matching import as_column, first_label, matched_terms
 
 
 def _banded(score: Column | str, bands, otherwise: str) -> Column:
@@ -45,40 +45,37 @@ def _keyword_factor(hits: Column) -> Column:
     return F.least(F.lit(1.5), F.lit(1.0) + (hits - 1) * F.lit(0.1))
 
 
-def issue_severity(text, rating, severity, keywords: Iterable[str]) -> Column:
+def issue_severity(text: str, rating, severity, keywords: Iterable[str]) -> Column:
     """Issue severity of 1-5 from a level, the rating and the keywords found."""
-    keywords = tuple(keywords)
     severity = as_column(severity)
     base = (
         F.when(severity == "low", 1).when(severity == "medium", 3).when(severity == "high", 4)
         .when(severity == "critical", 5)
     )
-    hits = F.size(let(F.lower(as_column(text)), lambda t: contained_terms(t, keywords)))
+    hits = F.size(matched_terms(text, keywords))
     return F.least(F.lit(5.0), base * ((F.lit(6) - as_column(rating)) / 5) * _keyword_factor(hits))
 
 
-def feature_priority(text, rating, priority, keywords: Iterable[str]) -> Column:
+def feature_priority(text: str, rating, priority, keywords: Iterable[str]) -> Column:
     """Feature priority of 1-5 from a level, the rating and the keywords found."""
-    keywords = tuple(keywords)
     priority = as_column(priority)
     base = F.when(priority == "low", 2).when(priority == "medium", 3).when(priority == "high", 4)
-    hits = F.size(let(F.lower(as_column(text)), lambda t: contained_terms(t, keywords)))
+    hits = F.size(matched_terms(text, keywords))
     return F.least(F.lit(5.0), base * (as_column(rating) / 5) * _keyword_factor(hits))
 
 
-def feedback_urgency(text: Column | str) -> Column:
+def feedback_urgency(text: str) -> Column:
     """critical, high, medium or low by urgency words."""
-    return let(F.lower(as_column(text)), lambda t: first_label(t, URGENCY_WORDS, "low"))
+    return first_label(text, URGENCY_WORDS, "low")
 
 
-def comparison_type(text: Column | str) -> Column:
+def comparison_type(text: str) -> Column:
     """Kind of a competitor comparison."""
-    return let(F.lower(as_column(text)), lambda t: first_label(t, COMPARISON_TYPES, "general_mention"))
+    return first_label(text, COMPARISON_TYPES, "general_mention")
 
 
-def cluster_label(phrase: Column | str, cluster_id: Column | str) -> Column:
+def cluster_label(phrase: str, cluster_id: Column | str) -> Column:
     """Readable label from a cluster's top phrase; a numbered one if it has none."""
-    phrase = as_column(phrase)
-    named = first_label(F.lower(phrase), CLUSTER_LABELS, GENERAL_COMPLAINTS)
+    named = first_label(phrase, CLUSTER_LABELS, GENERAL_COMPLAINTS)
     numbered = F.concat(F.lit("Cluster "), (as_column(cluster_id) + 1).cast("string"))
-    return F.when(phrase.isNull(), numbered).otherwise(named)
+    return F.when(F.expr(phrase).isNull(), numbered).otherwise(named)

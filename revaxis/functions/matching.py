@@ -1,17 +1,17 @@
-"""Ordered term matching on lower-cased text (plain substring, not whole words)."""
+"""Ordered term matching on lower-cased text (plain substring, not whole words).
+
+Rule-heavy expressions are written as SQL text (the ``sql_*`` builders) and parsed once:
+a rule set has hundreds of literals, and building those one Column call at a time takes
+seconds on the driver.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Up to this many terms an OR of `contains` stays inside generated code.
-_GENERATED_TERMS = 40
-
 
 def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -26,9 +26,71 @@ def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(as_column(value)), body)[0]
 
 
+# --- SQL builders ---------------------------------------------------------------------
+
+
+def sql_literal(value) -> str:
+    """A Python value as a Spark SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(terms: Iterable[str]) -> str:
+    items = ", ".join(sql_literal(term) for term in terms)
+    return f"array({items})" if items else "cast(array() as array<string>)"
+
+
+def sql_let(name: str, value: str, body: str) -> str:
+    """``body`` with the variable ``name`` holding ``value``, evaluated once (see ``let``)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def sql_contained(text: str, terms: Iterable[str]) -> str:
+    """Array of the terms in ``text``, in order; ``text`` is a column or a variable."""
+    return f"filter({sql_array(terms)}, _k -> contains({text}, _k))"
+
+
+def sql_first(text: str, terms: Iterable[str]) -> str:
+    return f"get({sql_contained(text, terms)}, 0)"
+
+
+def sql_any(text: str, terms: Iterable[str]) -> str:
+    tests = " OR ".join(f"contains({text}, {sql_literal(term)})" for term in terms)
+    return f"({tests})" if tests else "false"
+
+
+def sql_first_label(text: str, labelled_terms, otherwise: str | None) -> str:
+    cases = " ".join(
+        f"WHEN {sql_any(text, terms)} THEN {sql_literal(label)}" for label, terms in labelled_terms
+    )
+    return f"CASE {cases} ELSE {sql_literal(otherwise)} END"
+
+
+def sql_struct(**fields: str) -> str:
+    """A struct of SQL expressions."""
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
+def on_text(text: str, body: str, variable: str = "_t") -> Column:
+    """``body`` over the variable ``_t``, the lower-cased text, as a column.
+
+    ``text`` is a column name or a SQL expression.
+    """
+    return F.expr(sql_let(variable, f"lower({text})", body))
+
+
+# --- Column functions -----------------------------------------------------------------
+
+
 def term_array(terms: Iterable[str]) -> Column:
-    items = [F.lit(term) for term in terms]
-    return F.array(*items) if items else F.array().cast("array<string>")
+    return F.expr(sql_array(terms))
 
 
 def contained_terms(text: Column, terms: Iterable[str]) -> Column:
@@ -36,36 +98,21 @@ def contained_terms(text: Column, terms: Iterable[str]) -> Column:
     return F.filter(term_array(terms), lambda term: F.contains(text, term))
 
 
-def matched_terms(text: Column | str, terms: Iterable[str]) -> Column:
+def matched_terms(text: str, terms: Iterable[str]) -> Column:
     """All terms contained in the lower-cased text, in rule order (T4)."""
-    terms = tuple(terms)
-    return let(F.lower(as_column(text)), lambda t: contained_terms(t, terms))
+    return on_text(text, sql_contained("_t", terms))
 
 
-def first_term(text: Column | str, terms: Iterable[str]) -> Column:
+def first_term(text: str, terms: Iterable[str]) -> Column:
     """First term, in rule order, contained in the lower-cased text, else null (T4)."""
-    return F.get(matched_terms(text, terms), F.lit(0))
+    return on_text(text, sql_first("_t", terms))
 
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
     """Whether already lower-cased ``text`` contains one of the terms."""
-    terms = tuple(terms)
-    if not terms:
-        return F.lit(False)
-    if len(terms) <= _GENERATED_TERMS:
-        return reduce(or_, [F.contains(text, F.lit(term)) for term in terms])
     return F.exists(term_array(terms), lambda term: F.contains(text, term))
 
 
-def first_label(text: Column, labelled_terms, otherwise: str | None = None) -> Column:
-    """Label of the first entry of ``(label, terms)`` pairs with a term in ``text``."""
-    chain = None
-    for label, terms in labelled_terms:
-        condition = contains_any(text, terms)
-        chain = F.when(condition, label) if chain is None else chain.when(condition, label)
-    return chain.otherwise(F.lit(otherwise)) if otherwise is not None else chain
-
-
-def occurrences(text: Column, term: str) -> Column:
-    """Non-overlapping occurrences of ``term`` in ``text``."""
-    return (F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)
+def first_label(text: str, labelled_terms, otherwise: str | None = None) -> Column:
+    """Label of the first entry of ``(label, terms)`` pairs with a term in the text."""
+    return on_text(text, sql_first_label("_t", labelled_terms, otherwise))

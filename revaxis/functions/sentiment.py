@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules.words import NEGATIVE_WORDS, POSITIVE_WORDS
-from .matching import as_column, contained_terms, let
+from .matching import as_column, on_text, sql_contained, sql_let, sql_struct
 
 
 def compound_label(compound: Column | str) -> Column:
@@ -19,22 +19,13 @@ def polarity_label(polarity: Column | str) -> Column:
     return F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral")
 
 
-def keyword_boost(text: Column | str) -> Column:
+def keyword_boost(text: str) -> Column:
     """Balance of distinct positive and negative words, within +-0.3."""
-
-    def balance(t):
-        counts = F.struct(
-            F.size(contained_terms(t, POSITIVE_WORDS)).alias("p"),
-            F.size(contained_terms(t, NEGATIVE_WORDS)).alias("n"),
-        )
-        return let(
-            counts,
-            lambda c: F.when(c["p"] + c["n"] == 0, F.lit(0.0)).otherwise(
-                (c["p"] - c["n"]) / (c["p"] + c["n"]) * F.lit(0.3)
-            ),
-        )
-
-    return let(F.lower(as_column(text)), balance)
+    counts = sql_struct(
+        p=f"size({sql_contained('_t', POSITIVE_WORDS)})", n=f"size({sql_contained('_t', NEGATIVE_WORDS)})"
+    )
+    balance = "CASE WHEN _c.p + _c.n = 0 THEN 0.0D ELSE (_c.p - _c.n) / (_c.p + _c.n) * 0.3D END"
+    return on_text(text, sql_let("_c", counts, balance))
 
 
 def weighted_score(compound, polarity, boost) -> Column:

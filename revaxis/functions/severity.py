@@ -2,66 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ..rules.signals import COMPLAINT_TAGS, FLAG_PATTERNS, SEVERITY_PATTERNS
-from .matching import as_column, let
+from .matching import on_text, sql_let, sql_literal, sql_struct
 
 LEVELS = tuple(SEVERITY_PATTERNS)
 
 
-def matches_any(text: Column, patterns: Iterable[str]) -> Column:
-    """Whether already lower-cased ``text`` matches one of the patterns."""
-    return reduce(or_, [F.rlike(text, F.lit(pattern)) for pattern in patterns])
-
-
-def issue_flags(text: Column | str) -> Column:
+def issue_flags(text: str) -> Column:
     """Struct of ``fraud_related, money_related, update_related``."""
-    return let(
-        F.lower(as_column(text)),
-        lambda t: F.struct(*[matches_any(t, patterns).alias(name) for name, patterns in FLAG_PATTERNS.items()]),
-    )
+    flags = {
+        name: " OR ".join(f"rlike(_t, {sql_literal(pattern)})" for pattern in patterns)
+        for name, patterns in FLAG_PATTERNS.items()
+    }
+    return on_text(text, sql_struct(**flags))
 
 
-def severity_of(text: Column | str, rating: Column | str) -> Column:
+def severity_of(text: str, rating: str = "rating") -> Column:
     """Struct ``(severity, severity_score)`` from pattern counts, rating and length (C20)."""
-    text, rating = as_column(text), as_column(rating)
-
-    def counted(t):
-        hits = {
-            level: reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(p)) for p in patterns])
-            for level, patterns in SEVERITY_PATTERNS.items()
-        }
-        low_rating = F.when(rating <= 2, 2).otherwise(0)
-        raised = F.when(rating <= 3, 1).otherwise(0)
-        long_text = F.when(F.length(text) > 200, 1).otherwise(0)
-        return F.struct(
-            (hits["critical"] + low_rating).alias("critical"),
-            (hits["severe"] + raised + long_text).alias("severe"),
-            hits["minor"].alias("minor"),
-        )
-
-    def decided(points):
-        top = F.greatest(*[points[level] for level in LEVELS])
-        level = F.coalesce(*[F.when(points[name] == top, F.lit(name)) for name in LEVELS])
-        return F.struct(
-            F.when(top == 0, "minor").otherwise(level).alias("severity"),
-            F.when(top == 0, F.lit(0.1)).otherwise(F.least(top / 5, F.lit(1.0))).alias("severity_score"),
-        )
-
-    return let(let(F.lower(text), counted), decided)
+    hits = {
+        level: " + ".join(f"regexp_count(_t, {sql_literal(pattern)})" for pattern in patterns)
+        for level, patterns in SEVERITY_PATTERNS.items()
+    }
+    points = sql_struct(
+        critical=f"{hits['critical']} + if({rating} <= 2, 2, 0)",
+        severe=f"{hits['severe']} + if({rating} <= 3, 1, 0) + if(length({text}) > 200, 1, 0)",
+        minor=hits["minor"],
+    )
+    top = "greatest(" + ", ".join(f"_p.{level}" for level in LEVELS) + ")"
+    # Equal points are decided in the order critical, severe, minor.
+    level = "CASE _top " + " ".join(f"WHEN _p.{name} THEN '{name}'" for name in LEVELS) + " END"
+    decided = sql_struct(
+        severity=f"if(_top = 0, 'minor', {level})",
+        severity_score="if(_top = 0, 0.1D, least(_top / 5, 1.0D))",
+    )
+    return on_text(text, sql_let("_p", points, sql_let("_top", top, decided)))
 
 
-def complaint_tags(text: Column | str) -> Column:
+def complaint_tags(text: str) -> Column:
     """Array of complaint theme tags, in fixed order."""
-    return let(
-        F.lower(as_column(text)),
-        lambda t: F.array_compact(
-            F.array(*[F.when(F.rlike(t, F.lit(pattern)), F.lit(tag)) for tag, pattern in COMPLAINT_TAGS.items()])
-        ),
+    tags = ", ".join(
+        f"if(rlike(_t, {sql_literal(pattern)}), {sql_literal(tag)}, NULL)" for tag, pattern in COMPLAINT_TAGS.items()
     )
+    return on_text(text, f"array_compact(array({tags}))")

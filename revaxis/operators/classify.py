@@ -8,9 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import priority_level, severity_level
-from ..functions.matching import as_column, contained_terms, contains_any, first_label, let
+from ..functions.matching import (
+    first_label,
+    on_text,
+    sql_any,
+    sql_first,
+    sql_let,
+    sql_literal,
+    sql_struct,
+)
 from ..functions.text import snippet
-from ..rules import DEFAULT_RULES
+from ..rules import DEFAULT_RULES, Category
 from ..rules.themes import COMPLAINT_CLUSTERS, GENERAL_COMPLAINTS
 from ..rules.words import REQUEST_INDICATORS
 from ..schema import BY_APP
@@ -25,75 +33,58 @@ _TAG_FIELDS = (
     ("category_id", "string"), ("grp", "string"), ("issue", "string"), ("subcategory", "string"),
     ("keyword", "string"), ("multiplier", "double"), ("threshold", "double"), ("indicator", "boolean"),
 )
-_TAG_TYPE = "struct<" + ",".join(f"{name}:{kind}" for name, kind in _TAG_FIELDS) + ">"
 
 
-def _tag(rule, issue, subcategory, keyword, indicator=False) -> Column:
+def _tag(rule, issue: str, subcategory: str, keyword: str, indicator: bool = False) -> str:
     values = (
-        F.lit(rule.id), F.lit(rule.group), issue, subcategory, keyword,
-        F.lit(float(rule.priority_multiplier)), F.lit(float(rule.alert_threshold)), F.lit(indicator),
-    )
-    return F.struct(
-        *[value.cast(kind).alias(name) for value, (name, kind) in zip(values, _TAG_FIELDS, strict=True)]
+        sql_literal(rule.id), sql_literal(rule.group), issue, subcategory, keyword,
+        sql_literal(float(rule.priority_multiplier)), sql_literal(float(rule.alert_threshold)),
+        sql_literal(indicator),
     )
+    fields = {
+        name: f"cast({value} as {kind})" for value, (name, kind) in zip(values, _TAG_FIELDS, strict=True)
+    }
+    return sql_struct(**fields)
 
 
-def _first_subcategory(text: Column, rule) -> Column:
-    """``(subcategory, keyword)`` of the first subcategory with a term in the text."""
+def _first_subcategory(rule) -> str:
+    """``(name, term)`` of the first subcategory with a term in the text."""
+    kind = "struct<name:string,term:string>"
     found = [
-        let(
-            F.get(contained_terms(text, terms), F.lit(0)),
-            lambda hit, name=name: F.when(
-                hit.isNotNull(), F.struct(F.lit(name).alias("subcategory"), hit.alias("keyword"))
-            ),
+        sql_let(
+            "_hit", sql_first("_t", terms),
+            f"if(_hit IS NULL, NULL, {sql_struct(name=sql_literal(name), term='_hit')})",
         )
         for name, terms in rule.subcategories.items()
     ]
-    return F.coalesce(*found) if found else F.lit(None).cast("struct<subcategory:string,keyword:string>")
+    return f"coalesce({', '.join(found)}, cast(NULL as {kind}))"
 
 
-def review_tags(text: Column | str, rules=DEFAULT_RULES) -> Column:
+def review_tags(text: str = "review", rules=DEFAULT_RULES) -> Column:
     """All classification tags of a text as an array of structs.
 
     A category's subcategories are scanned only when one of its keywords is found.
     """
 
-    def one(t, rule):
-        def tagged(keyword):
-            sub = _first_subcategory(t, rule)
-            if rule.id == FEATURES:
-                build = lambda s: _tag(
-                    rule,
-                    F.coalesce(s["subcategory"], F.lit("general_requests")),
-                    s["subcategory"],
-                    F.coalesce(s["keyword"], keyword),
-                )
-            else:
-                build = lambda s: _tag(rule, F.lit(rule.id), s["subcategory"], keyword)
-            return F.when(keyword.isNotNull(), let(sub, build))
-
-        return let(F.get(contained_terms(t, rule.keywords), F.lit(0)), tagged)
-
-    def indicated(t):
-        rule = next((r for r in rules if r.id == FEATURES), None)
-        if rule is None:
-            from ..rules.model import Category
-
-            rule = Category(FEATURES, "Feature Requests", ())
-        tag = _tag(rule, F.lit("general_requests"), F.lit(None), F.lit("general request"), True)
-        return F.when(contains_any(t, REQUEST_INDICATORS), tag)
-
-    def all_tags(t):
-        found = F.array_compact(F.array(*[one(t, rule) for rule in rules])).cast(f"array<{_TAG_TYPE}>")
-
-        def with_indicator(tags):
-            gated = F.exists(tags, lambda tag: tag["grp"] == FEATURES)
-            fallback = F.when(~gated, indicated(t))
-            return F.array_compact(F.concat(tags, F.array(fallback).cast(f"array<{_TAG_TYPE}>")))
-
-        return let(found, with_indicator)
-
-    return let(F.lower(as_column(text)), all_tags)
+    def of_category(rule):
+        if rule.id == FEATURES:
+            tag = _tag(
+                rule, "coalesce(_sub.name, 'general_requests')", "_sub.name", "coalesce(_sub.term, _keyword)"
+            )
+        else:
+            tag = _tag(rule, sql_literal(rule.id), "_sub.name", "_keyword")
+        gated = f"if(_keyword IS NULL, NULL, {sql_let('_sub', _first_subcategory(rule), tag)})"
+        return sql_let("_keyword", sql_first("_t", rule.keywords), gated)
+
+    features = next((rule for rule in rules if rule.id == FEATURES), Category(FEATURES, "Feature Requests", ()))
+    indicated = _tag(features, "'general_requests'", "NULL", "'general request'", True)
+    found = f"array_compact(array({', '.join(of_category(rule) for rule in rules)}))"
+    # A request known only by an indicator word counts if no request was found before.
+    fallback = (
+        f"if(exists(_tags, _x -> _x.grp = '{FEATURES}') OR NOT {sql_any('_t', REQUEST_INDICATORS)}, "
+        f"_tags, array_append(_tags, {indicated}))"
+    )
+    return on_text(text, sql_let("_tags", found, fallback))
 
 
 def classify(reviews: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
@@ -262,8 +253,6 @@ def negative_reviews(reviews: DataFrame, mode: str = "rating") -> DataFrame:
     return reviews.where(keep)
 
 
-def complaint_cluster(text: Column | str, clusters=COMPLAINT_CLUSTERS) -> Column:
+def complaint_cluster(text: str = "review", clusters=COMPLAINT_CLUSTERS) -> Column:
     """Keyword cluster of a complaint; the first cluster with a term wins."""
-    return let(
-        F.lower(as_column(text)), lambda t: first_label(t, tuple(clusters.items()), GENERAL_COMPLAINTS)
-    )
+    return first_label(text, tuple(clusters.items()), GENERAL_COMPLAINTS)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import cluster_label
-from ..functions.matching import as_column, let, occurrences
+from ..functions.matching import as_column, on_text, sql_literal
 from ..functions.text import (
     clean_text,
     negative_highlights,
@@ -481,19 +481,17 @@ def theme_names(
 def _named_by_terms(clustered, by, cluster, text_column, themes, otherwise, count_texts):
     names = list(themes)
 
-    def points(t):
+    def points(terms):
         each = []
-        for name in names:
-            terms = themes[name][1]
-            total = F.lit(0)
-            for term in terms:
-                total = total + occurrences(t, term).cast("int")
-                if count_texts:
-                    total = total + F.contains(t, F.lit(term)).cast("int")
-            each.append(total)
-        return F.array(*each)
-
-    rows = clustered.select(*by, cluster, let(F.lower(text_column), points).alias("__points"))
+        for term in map(sql_literal, terms):
+            # Non-overlapping occurrences, by how much shorter the text gets without them.
+            each.append(f"(length(_t) - length(replace(_t, {term}, ''))) div length({term})")
+            if count_texts:
+                each.append(f"int(contains(_t, {term}))")
+        return " + ".join(f"({part})" for part in each)
+
+    listed = ", ".join(points(themes[name][1]) for name in names)
+    rows = clustered.select(*by, cluster, on_text(text_column, f"array({listed})").alias("__points"))
     summed = rows.groupBy(*by, cluster).agg(
         *[F.sum(F.get("__points", F.lit(i))).alias(f"__p{i}") for i in range(len(names))]
     )
@@ -505,17 +503,17 @@ def _named_by_terms(clustered, by, cluster, text_column, themes, otherwise, coun
     return summed.select(*by, cluster, name.alias("theme"), best.alias("theme_score"))
 
 
-def phrase_theme(phrase: Column | str) -> Column:
+def phrase_theme(phrase: str) -> Column:
     """Theme of a phrase: first matching pattern, else its words over two letters."""
-    phrase = F.lower(as_column(phrase))
-    chain = None
-    for pattern, name in PHRASE_THEMES:
-        condition = F.rlike(phrase, F.lit(pattern))
-        chain = F.when(condition, name) if chain is None else chain.when(condition, name)
+    cases = " ".join(
+        f"WHEN rlike(_t, {sql_literal(pattern)}) THEN {sql_literal(name)}" for pattern, name in PHRASE_THEMES
+    )
+    known = on_text(phrase, f"CASE {cases} END")
+    phrase = F.lower(phrase)
     long_words = F.filter(F.split(phrase, " "), lambda word: F.length(word) > 2)
     made = F.concat(F.array_join(F.transform(F.slice(long_words, 1, 3), F.initcap), " "), F.lit(" Issues"))
     several = (F.size(F.split(phrase, " ")) >= 2) & (F.size(long_words) > 0)
-    return chain.when(several, made).otherwise("General Issues")
+    return F.coalesce(known, F.when(several, made), F.lit("General Issues"))
 
 
 def theme_names_v2(

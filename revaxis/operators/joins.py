@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import Category
@@ -13,35 +13,39 @@ from ..rules import Category
 _KEY_LENGTH = 5
 
 
-def _text_keys(text: Column, lengths: Sequence[int]) -> Column:
-    """Distinct substrings of the given lengths."""
-    parts = []
-    for n in lengths:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.substring(text, i, F.lit(n)))
-        parts.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*parts))
-
-
 def substring_join(
     texts: DataFrame, terms: DataFrame, id_column: str = "review_id", text_column: str = "review",
     term_column: str = "term",
 ) -> DataFrame:
     """``(id, term columns)`` for every term contained in the lower-cased text.
 
-    Works without a cross join: a term can only occur where its first characters occur,
-    so texts and terms meet on those characters and the full term is checked after. Use
-    it when the rules are a table of unknown size; for a rule set in code, the functions
-    in ``functions.matching`` need no join at all.
+    Works without a cross join: every text position gives a window as long as the longest
+    term; windows and terms meet on their first characters, and the window must start
+    with the term. Use it when the rules are a table of unknown size; for a rule set in
+    code, the functions in ``functions.matching`` need no join at all.
     """
-    keyed_terms = terms.withColumn("__key", F.substring(term_column, 1, _KEY_LENGTH))
-    lowered = texts.select(F.col(id_column), F.lower(text_column).alias("__text"))
-    # Short terms need keys of their own length; those lengths are at most _KEY_LENGTH.
-    keyed_texts = lowered.withColumn(
-        "__key", F.explode(_text_keys(F.col("__text"), range(1, _KEY_LENGTH + 1)))
+    size = F.length(term_column)
+    # One row: the longest term and the key lengths in use (1 to 5).
+    limits = terms.agg(
+        F.max(size).alias("longest"), F.collect_set(F.least(size, F.lit(_KEY_LENGTH))).alias("lengths")
+    ).first()
+    lengths = sorted(length for length in limits.lengths if length > 0)
+    if not lengths:
+        return texts.select(id_column).join(terms.where(F.lit(False)), F.lit(False))
+    window_pattern = F.lit(f"(?s)(?=(.{{1,{limits.longest}}}))")
+    windows = texts.select(
+        F.col(id_column),
+        F.explode(F.regexp_extract_all(F.lower(text_column), window_pattern, 1)).alias("__window"),
+    )
+    keys = F.array(*[F.substring("__window", 1, length) for length in lengths])
+    keyed_windows = windows.withColumn("__key", F.explode(F.array_distinct(keys)))
+    keyed_terms = terms.where(size > 0).withColumn("__key", F.substring(term_column, 1, _KEY_LENGTH))
+    found = keyed_windows.join(keyed_terms, "__key").where(
+        F.startswith(F.col("__window"), F.col(term_column))
     )
-    joined = keyed_texts.join(keyed_terms, "__key").where(F.contains(F.col("__text"), F.col(term_column)))
-    return joined.drop("__key", "__text")
+    # A term may occur several times in a text; occurrences of one text sit together, so
+    # most of this happens before the shuffle.
+    return found.drop("__key", "__window").distinct()
 
 
 def first_label_join(

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import comparison_type, feedback_urgency, rating_sentiment
-from ..functions.matching import contained_terms, contains_any, let
+from ..functions.matching import (
+    contains_any,
+    let,
+    on_text,
+    sql_contained,
+    sql_let,
+    sql_literal,
+    sql_struct,
+)
 from ..functions.severity import complaint_tags, issue_flags, severity_of
 from ..functions.text import snippet, stripped
 from ..rules.signals import (
@@ -36,32 +44,23 @@ def enhance_reviews(reviews: DataFrame) -> DataFrame:
     )
 
 
-def _signal_tags(text: Column) -> Column:
+def _signal_tags(text: str = "review") -> Column:
     """One struct per matching revenue, churn or advocacy pattern, with the first match."""
     patterns = [("revenue_risk", level, p) for level, ps in REVENUE_RISK.items() for p in ps]
     patterns += [("churn", None, p) for p in CHURN] + [("advocacy", None, p) for p in ADVOCACY]
-
-    def tag(t, kind, level, pattern, ord):
-        return let(
-            F.regexp_extract(t, pattern, 0),
-            lambda phrase: F.when(
-                phrase != "",
-                F.struct(
-                    F.lit(kind).alias("signal"), F.lit(level).cast("string").alias("level"),
-                    F.lit(ord).alias("pattern"), phrase.alias("phrase"),
-                ),
-            ),
+    built = []
+    for i, (signal, level, pattern) in enumerate(patterns):
+        tag = sql_struct(
+            signal=sql_literal(signal), level=f"cast({sql_literal(level)} as string)", pattern=str(i), phrase="_m"
         )
-
-    return let(
-        F.lower(text),
-        lambda t: F.array_compact(F.array(*[tag(t, *spec, i) for i, spec in enumerate(patterns)])),
-    )
+        match = f"regexp_extract(_t, {sql_literal(pattern)}, 0)"
+        built.append(sql_let("_m", match, f"if(_m = '', NULL, {tag})"))
+    return on_text(text, f"array_compact(array({', '.join(built)}))")
 
 
 def business_signals(reviews: DataFrame) -> DataFrame:
     """One row per review and matching pattern: revenue risk, churn, advocacy."""
-    tagged = reviews.withColumn("tag", F.explode(_signal_tags(F.col("review"))))
+    tagged = reviews.withColumn("tag", F.explode(_signal_tags()))
     return tagged.select(*reviews.columns, "tag.*")
 
 
@@ -70,7 +69,7 @@ def business_impact(reviews: DataFrame, by: Sequence[str] = BY_APP) -> DataFrame
 
     Several patterns may match one review, so counts can exceed the reviews.
     """
-    tagged = reviews.select(*by, _signal_tags(F.col("review")).alias("tags"))
+    tagged = reviews.select(*by, _signal_tags().alias("tags"))
     exploded = explode_counting_all(tagged, "tags", "tag")
     summed = exploded.groupBy(
         *by, F.col("tag.signal").alias("signal"), F.col("tag.level").alias("level")
@@ -87,24 +86,21 @@ def urgency_distribution(reviews: DataFrame, by: Sequence[str] = BY_APP) -> Data
     )
 
 
-def _emotion_tags(text: Column) -> Column:
+def _emotion_tags(text: str = "review") -> Column:
     specs = [(emotion, p) for emotion, patterns in EMOTIONS.items() for p in patterns]
-    tags = lambda t: F.filter(
-        F.array(*[
-            F.struct(
-                F.lit(emotion).alias("emotion"), F.lit(i).alias("pattern"),
-                F.regexp_extract_all(t, F.lit(pattern), 1).alias("phrases"),
-            )
-            for i, (emotion, pattern) in enumerate(specs)
-        ]),
-        lambda tag: F.size(tag["phrases"]) > 0,
+    listed = ", ".join(
+        sql_struct(
+            emotion=sql_literal(emotion), pattern=str(i),
+            phrases=f"regexp_extract_all(_t, {sql_literal(pattern)}, 1)",
+        )
+        for i, (emotion, pattern) in enumerate(specs)
     )
-    return let(F.lower(text), tags)
+    return on_text(text, f"filter(array({listed}), _e -> size(_e.phrases) > 0)")
 
 
 def emotion_mentions(reviews: DataFrame) -> DataFrame:
     """One row per review and matching emotion pattern with all its phrases."""
-    tagged = reviews.withColumn("tag", F.explode(_emotion_tags(F.col("review"))))
+    tagged = reviews.withColumn("tag", F.explode(_emotion_tags()))
     return tagged.select(
         *reviews.columns, "tag.*", snippet(F.lower(F.col("review")), 100).alias("snippet")
     )
@@ -112,7 +108,7 @@ def emotion_mentions(reviews: DataFrame) -> DataFrame:
 
 def emotional_intensity(reviews: DataFrame, by: Sequence[str] = BY_APP) -> DataFrame:
     """Matches, matching reviews and distinct share per emotion."""
-    tagged = reviews.select(*by, _emotion_tags(F.col("review")).alias("tags"))
+    tagged = reviews.select(*by, _emotion_tags().alias("tags"))
     exploded = explode_counting_all(tagged, "tags", "tag")
     summed = exploded.groupBy(*by, F.col("tag.emotion").alias("emotion")).agg(
         F.count("*").alias("mentions"), F.sum(F.size("tag.phrases")).alias("count")
@@ -123,7 +119,7 @@ def emotional_intensity(reviews: DataFrame, by: Sequence[str] = BY_APP) -> DataF
 
 def emotion_phrases(reviews: DataFrame, by: Sequence[str] = BY_APP, k: int | None = None) -> DataFrame:
     """Frequency of every emotion phrase."""
-    tags = reviews.select(*by, F.explode(_emotion_tags(F.col("review"))).alias("tag"))
+    tags = reviews.select(*by, F.explode(_emotion_tags()).alias("tag"))
     phrases = tags.select(*by, F.col("tag.emotion").alias("emotion"), F.explode("tag.phrases").alias("phrase"))
     counted = phrases.groupBy(*by, "emotion", "phrase").agg(F.count("*").alias("frequency"))
     if k is None:
@@ -131,41 +127,32 @@ def emotion_phrases(reviews: DataFrame, by: Sequence[str] = BY_APP, k: int | Non
     return top_k(counted, [*by, "emotion"], [F.desc("frequency"), F.asc("phrase")], k)
 
 
-def _mention_tags(text: Column) -> Column:
+def _mention_tags(text: str = "review") -> Column:
     """Structs ``(category, app, pattern, context)``; an app's patterns run if its name occurs."""
 
-    def of_app(t, category, app):
-        contexts = F.array(*[
-            F.regexp_extract(t, template.format(app=app), 0) for template in MENTION_TEMPLATES
-        ])
-        tags = F.filter(
-            F.transform(
-                contexts,
-                lambda context, i: F.struct(
-                    F.lit(category).alias("category"), F.lit(app).alias("competitor"),
-                    i.alias("pattern"), context.alias("context"),
-                ),
-            ),
-            lambda tag: tag["context"] != "",
+    def of_app(category, app):
+        contexts = ", ".join(
+            f"regexp_extract(_t, {sql_literal(template.format(app=app))}, 0)" for template in MENTION_TEMPLATES
+        )
+        tag = sql_struct(
+            category=sql_literal(category), competitor=sql_literal(app), pattern="_i", context="_m"
         )
-        return F.when(F.contains(t, F.lit(app)), tags)
+        found = f"filter(transform(array({contexts}), (_m, _i) -> {tag}), _x -> _x.context <> '')"
+        return f"if(contains(_t, {sql_literal(app)}), {found}, NULL)"
 
-    specs = [(category, app) for category, apps in COMPETITORS.items() for app in apps]
-    return let(
-        F.lower(text),
-        lambda t: F.flatten(F.array_compact(F.array(*[of_app(t, *spec) for spec in specs]))),
-    )
+    parts = ", ".join(of_app(category, app) for category, apps in COMPETITORS.items() for app in apps)
+    return on_text(text, f"flatten(array_compact(array({parts})))")
 
 
 def competitor_mentions(reviews: DataFrame) -> DataFrame:
     """One row per review and competitor mention with its comparison type."""
-    tagged = reviews.withColumn("tag", F.explode(_mention_tags(F.col("review"))))
+    tagged = reviews.withColumn("tag", F.explode(_mention_tags()))
     return tagged.select(*reviews.columns, "tag.*", comparison_type("review").alias("comparison_type"))
 
 
 def competitive_summary(reviews: DataFrame, by: Sequence[str] = BY_APP) -> DataFrame:
     """Mentions per competitor."""
-    tags = reviews.select(*by, F.explode(_mention_tags(F.col("review"))).alias("tag"))
+    tags = reviews.select(*by, F.explode(_mention_tags()).alias("tag"))
     return tags.groupBy(
         *by, F.col("tag.category").alias("category"), F.col("tag.competitor").alias("competitor")
     ).agg(F.count("*").alias("mention_count"))
@@ -223,25 +210,23 @@ def _line_bound(pattern: str) -> str:
     return pattern.replace("|$)", r"|\Z)")
 
 
-def _aspect_tags(text: Column) -> Column:
-    def of_aspect(t, aspect, keywords):
-        return F.transform(
-            contained_terms(t, keywords),
-            lambda keyword: F.struct(F.lit(aspect).alias("aspect"), keyword.alias("keyword")),
-        )
-
-    return let(F.lower(text), lambda t: F.concat(*[of_aspect(t, a, ks) for a, ks in ASPECTS.items()]))
+def _aspect_tags(text: str = "review") -> Column:
+    parts = ", ".join(
+        f"transform({sql_contained('_t', keywords)}, _w -> {sql_struct(aspect=sql_literal(aspect), keyword='_w')})"
+        for aspect, keywords in ASPECTS.items()
+    )
+    return on_text(text, f"concat({parts})")
 
 
 def aspect_mentions(reviews: DataFrame) -> DataFrame:
     """One row per review and matched aspect keyword."""
-    tagged = reviews.withColumn("tag", F.explode(_aspect_tags(F.col("review"))))
+    tagged = reviews.withColumn("tag", F.explode(_aspect_tags()))
     return tagged.select(*reviews.columns, "tag.*", rating_sentiment("rating").alias("sentiment"))
 
 
 def aspect_sentiment(reviews: DataFrame, by: Sequence[str] = BY_APP) -> DataFrame:
     """Keyword mentions per aspect and rating sentiment."""
-    tags = reviews.select(*by, "rating", F.explode(_aspect_tags(F.col("review"))).alias("tag"))
+    tags = reviews.select(*by, "rating", F.explode(_aspect_tags()).alias("tag"))
     label = rating_sentiment("rating")
     return tags.groupBy(*by, F.col("tag.aspect").alias("aspect")).agg(
         *[F.count_if(label == name).alias(name) for name in LEVELS]

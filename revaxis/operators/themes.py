@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import rating_sentiment, satisfaction_level, severity_level
-from ..functions.matching import contained_terms, contains_any, let
+from ..functions.matching import (
+    on_text,
+    sql_any,
+    sql_contained,
+    sql_first,
+    sql_let,
+    sql_literal,
+    sql_struct,
+)
 from ..functions.text import highlight_phrases, snippet, title_label
 from ..rules.themes import (
     BEST_FIRST_SEGMENTS,
@@ -24,39 +32,27 @@ from .common import explode_counting_all, ranked, share, spread_totals, top_k
 SENTIMENTS = ("positive", "negative", "neutral")
 
 
-def _theme_tags(text: Column, rating: Column) -> Column:
+def _theme_tags(text: str = "review", rating: str = "rating") -> Column:
     """Praise themes for 4-5 stars, complaint themes for 1-3 stars, one keyword each (C11)."""
 
-    def tags(t, side, themes, strength):
+    def tags(side, themes, strength):
         built = []
         for theme_id, (name, multiplier, terms) in themes.items():
-            keyword = F.get(contained_terms(t, terms), F.lit(0))
-            built.append(
-                let(
-                    keyword,
-                    lambda hit, theme_id=theme_id, name=name, multiplier=multiplier: F.when(
-                        hit.isNotNull(),
-                        F.struct(
-                            F.lit(side).alias("side"), F.lit(theme_id).alias("theme_id"),
-                            F.lit(name).alias("theme"), hit.alias("keyword"),
-                            strength.alias("strength"), F.lit(multiplier).alias("multiplier"),
-                        ),
-                    ),
-                )
+            tag = sql_struct(
+                side=sql_literal(side), theme_id=sql_literal(theme_id), theme=sql_literal(name),
+                keyword="_hit", strength=strength, multiplier=sql_literal(float(multiplier)),
             )
-        return F.array_compact(F.array(*built))
+            built.append(sql_let("_hit", sql_first("_t", terms), f"if(_hit IS NULL, NULL, {tag})"))
+        return f"array_compact(array({', '.join(built)}))"
 
-    return let(
-        F.lower(text),
-        lambda t: F.when(rating >= 4, tags(t, "positive", PRAISE_THEMES, rating)).otherwise(
-            tags(t, "negative", COMPLAINT_THEMES, F.lit(4) - rating)
-        ),
-    )
+    praise = tags("positive", PRAISE_THEMES, rating)
+    complaints = tags("negative", COMPLAINT_THEMES, f"4 - {rating}")
+    return on_text(text, f"if({rating} >= 4, {praise}, {complaints})")
 
 
 def sentiment_themes(reviews: DataFrame) -> DataFrame:
     """One row per review and praise or complaint theme, with score and highlights (C11)."""
-    tagged = reviews.withColumn("tag", F.explode(_theme_tags(F.col("review"), F.col("rating"))))
+    tagged = reviews.withColumn("tag", F.explode(_theme_tags()))
     text = F.lower(F.col("review"))
     return tagged.select(
         *reviews.columns, "tag.side", "tag.theme_id", "tag.theme", "tag.keyword",
@@ -69,7 +65,7 @@ def sentiment_themes(reviews: DataFrame) -> DataFrame:
 def sentiment_theme_summary(reviews: DataFrame, by: Sequence[str] = BY_APP) -> DataFrame:
     """Count, share, level, mean score and rating, votes and rank of each theme."""
     tagged = reviews.select(
-        *by, "rating", "thumbs_up", _theme_tags(F.col("review"), F.col("rating")).alias("tags")
+        *by, "rating", "thumbs_up", _theme_tags().alias("tags")
     )
     exploded = explode_counting_all(tagged, "tags", "tag")
     summed = exploded.groupBy(
@@ -98,7 +94,7 @@ def sentiment_theme_reviews(reviews: DataFrame, by: Sequence[str] = BY_APP, k: i
     """The ``k`` highest scored reviews of every theme."""
     wanted = reviews.select(*dict.fromkeys([*by, "review_id", "rating", "at", "review"]))
     # Highlights are worked out after the cut, for k rows per theme.
-    tagged = wanted.withColumn("tag", F.explode(_theme_tags(F.col("review"), F.col("rating"))))
+    tagged = wanted.withColumn("tag", F.explode(_theme_tags()))
     rows = tagged.select(
         *wanted.columns, "tag.side", "tag.theme_id", "tag.keyword",
         (F.col("tag.strength") * F.col("tag.multiplier")).alias("score"),
@@ -119,36 +115,28 @@ def sentiment_distribution(reviews: DataFrame, by: Sequence[str] = BY_APP) -> Da
     })
 
 
-def _segment_tags(text: Column, themes) -> Column:
+def _segment_tags(themes, text: str = "review") -> Column:
     """Array of ``(theme_id, subcategory, terms, first)``; ``first`` once per theme."""
 
-    def of_theme(t, theme_id, subcategories):
-        found = F.filter(
-            F.array(*[
-                F.struct(F.lit(name).alias("subcategory"), contained_terms(t, terms).alias("terms"))
-                for name, terms in subcategories.items()
-            ]),
-            lambda sub: F.size(sub["terms"]) > 0,
+    def of_theme(theme_id, subcategories):
+        listed = ", ".join(
+            sql_struct(subcategory=sql_literal(name), terms=sql_contained("_t", terms))
+            for name, terms in subcategories.items()
         )
-        return F.transform(
-            found,
-            lambda sub, i: F.struct(
-                F.lit(theme_id).alias("theme_id"), sub["subcategory"].alias("subcategory"),
-                sub["terms"].alias("terms"), (i == 0).alias("first"),
-            ),
+        tag = sql_struct(
+            theme_id=sql_literal(theme_id), subcategory="_s.subcategory", terms="_s.terms", first="_i = 0"
         )
+        return f"transform(filter(array({listed}), _s -> size(_s.terms) > 0), (_s, _i) -> {tag})"
 
-    return let(
-        F.lower(text),
-        lambda t: F.concat(*[of_theme(t, theme_id, subs) for theme_id, (_, subs) in themes.items()]),
-    )
+    parts = ", ".join(of_theme(theme_id, subs) for theme_id, (_, subs) in themes.items())
+    return on_text(text, f"concat({parts})")
 
 
 def _segment_rows(reviews, columns, sentiment, themes):
     label = rating_sentiment("rating")
     kept = reviews.where(label == sentiment) if sentiment else reviews
     return kept.select(
-        *columns, label.alias("sentiment"), _segment_tags(F.col("review"), themes).alias("tags")
+        *columns, label.alias("sentiment"), _segment_tags(themes).alias("tags")
     )
 
 
@@ -253,23 +241,17 @@ def segment_coverage(summary: DataFrame, by: Sequence[str] = BY_APP) -> DataFram
     ).withColumn("coverage", share(F.col("total_segmented"), F.col("total_reviews")))
 
 
-def _critical_tags(text: Column, themes) -> Column:
-    def tag(t, name, keywords, phrases):
-        found = contained_terms(t, phrases)
-        return let(
-            F.struct(found.alias("phrases"), contains_any(t, keywords).alias("hit")),
-            lambda pair: F.when(
-                pair["hit"] | (F.size(pair["phrases"]) > 0),
-                F.struct(F.lit(name).alias("theme"), pair["phrases"].alias("phrases")),
-            ),
+def _critical_tags(themes, text: str = "review") -> Column:
+    """Array of ``(theme, phrases)`` for themes with a keyword or phrase in the text."""
+
+    def of_theme(name, keywords, phrases):
+        tag = sql_struct(theme=sql_literal(name), phrases="_p")
+        return sql_let(
+            "_p", sql_contained("_t", phrases), f"if(size(_p) > 0 OR {sql_any('_t', keywords)}, {tag}, NULL)"
         )
 
-    return let(
-        F.lower(text),
-        lambda t: F.array_compact(
-            F.array(*[tag(t, name, keywords, phrases) for name, (keywords, phrases) in themes.items()])
-        ),
-    )
+    parts = ", ".join(of_theme(name, *terms) for name, terms in themes.items())
+    return on_text(text, f"array_compact(array({parts}))")
 
 
 def critical_themes(
@@ -277,7 +259,7 @@ def critical_themes(
 ) -> DataFrame:
     """Problem themes of 1-3 star reviews with share and severity, worst first (C17)."""
     tagged = reviews.where(F.col("rating") <= 3).select(
-        *by, "rating", _critical_tags(F.col("review"), themes).alias("tags")
+        *by, "rating", _critical_tags(themes).alias("tags")
     )
     exploded = explode_counting_all(tagged, "tags", "tag")
     summed = exploded.groupBy(*by, F.col("tag.theme").alias("theme")).agg(
@@ -306,7 +288,7 @@ def critical_theme_phrases(
 ) -> DataFrame:
     """The ``k`` most frequent problem phrases per theme with mean severity 0-1 (C17)."""
     tagged = reviews.where(F.col("rating") <= 3).select(
-        *by, "rating", F.explode(_critical_tags(F.col("review"), themes)).alias("tag")
+        *by, "rating", F.explode(_critical_tags(themes)).alias("tag")
     )
     phrases = tagged.select(
         *by, "rating", F.col("tag.theme").alias("theme"), F.explode("tag.phrases").alias("phrase")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("basics",)
+MODULES = ("basics", "sentiment", "classification")
 
 
 def load_all() -> None:

@@ -309,7 +309,7 @@ def _label_queries():
         return reviews(spark, sf).select(
             "review_id", levels.feedback_urgency("review").alias("urgency"),
             levels.comparison_type("review").alias("comparison"),
-            levels.cluster_label(F.when(F.col("rating") != 3, F.col("review")), "thumbs_up").alias("label"),
+            levels.cluster_label("if(rating <> 3, review, NULL)", "thumbs_up").alias("label"),
         )
 
 

@@ -8,6 +8,7 @@ event id. A third of the users belong to one app, so groups are skewed.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revaxis.functions.matching import term_array
 from revaxis.sources.normalize import normalize_reviews
 
 SENTENCES = (
@@ -85,7 +86,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.floor(F.col("event_id") / 5).cast("int")
 
     def pick(bank, index):
-        return F.get(F.array(*[F.lit(item) for item in bank]), index % len(bank))
+        return F.get(term_array(bank), index % len(bank))
 
     return events(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("reviewId"),
