@@ -56,9 +56,10 @@ def tfidf_features(
     """Add unit-length TF-IDF ``features`` of 1..n_max-grams; also returns the vocabulary."""
     kept = without_stopwords(word_tokens(text_column), stopwords)
     grams = texts.withColumn("__grams", ngrams(kept, 1, n_max))
-    counter = CountVectorizer(
-        inputCol="__grams", outputCol="__counts", vocabSize=vocabulary, minDF=min_df, maxDF=max_df
-    ).fit(grams)
+    vectorizer = CountVectorizer(inputCol="__grams", outputCol="__counts", vocabSize=vocabulary, minDF=min_df)
+    if max_df < 1:  # Spark reads 1 and above as a number of texts
+        vectorizer.setMaxDF(max_df)
+    counter = vectorizer.fit(grams)
     counted = counter.transform(grams)
     idf = IDF(inputCol="__counts", outputCol="__idf").fit(counted)
     # Weights ln((1+n)/(1+df)) + 1: Spark's inverse document frequency plus one.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matching import on_text, sql_contained
 from ..rules import Category
 
 # Terms are joined on their first characters, at most this many.
@@ -15,23 +16,29 @@ _KEY_LENGTH = 5
 
 def substring_join(
     texts: DataFrame, terms: DataFrame, id_column: str = "review_id", text_column: str = "review",
-    term_column: str = "term",
+    term_column: str = "term", literal_terms: int = 1000,
 ) -> DataFrame:
     """``(id, term columns)`` for every term contained in the lower-cased text.
 
-    Works without a cross join: every text position gives a window as long as the longest
-    term; windows and terms meet on their first characters, and the window must start
-    with the term. Use it when the rules are a table of unknown size; for a rule set in
-    code, the functions in ``functions.matching`` need no join at all.
+    Up to ``literal_terms`` distinct terms are matched inside the scan and then joined by
+    equality. A larger table goes through ``_window_join``. Neither is a cross join.
     """
+    few = terms.select(term_column).where(F.length(term_column) > 0).distinct().limit(literal_terms + 1).collect()
+    if len(few) > literal_terms:
+        return _window_join(texts, terms, id_column, text_column, term_column)
+    found = on_text(text_column, sql_contained("_t", sorted(row[0] for row in few)))
+    return texts.select(F.col(id_column), F.explode(found).alias(term_column)).join(terms, term_column)
+
+
+def _window_join(texts, terms, id_column, text_column, term_column):
+    """Every text position gives a window as long as the longest term; windows and terms
+    meet on their first characters, and the window must start with the term."""
     size = F.length(term_column)
     # One row: the longest term and the key lengths in use (1 to 5).
     limits = terms.agg(
         F.max(size).alias("longest"), F.collect_set(F.least(size, F.lit(_KEY_LENGTH))).alias("lengths")
     ).first()
     lengths = sorted(length for length in limits.lengths if length > 0)
-    if not lengths:
-        return texts.select(id_column).join(terms.where(F.lit(False)), F.lit(False))
     window_pattern = F.lit(f"(?s)(?=(.{{1,{limits.longest}}}))")
     windows = texts.select(
         F.col(id_column),

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("basics", "sentiment", "classification")
+MODULES = (
+    "basics", "sentiment", "classification", "themes", "signals", "phrases", "clusters", "streams",
+)
 
 
 def load_all() -> None:
