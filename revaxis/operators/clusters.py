@@ -176,6 +176,10 @@ def ward_merge(
     return labels
 
 
+# Centres a hierarchy is built over at most: a table of this many squared costs fits the driver.
+_MOST_CENTRES = 2048
+
+
 def ward_clusters(
     features: DataFrame,
     vector_column: str = "features",
@@ -189,36 +193,59 @@ def ward_clusters(
     Up to ``micro_clusters`` distinct vectors the result is exact Ward. Beyond, Spark's
     k-means first condenses the points to that many weighted centres and the hierarchy is
     built over those; every point follows its centre. Copies are one distinct vector, no
-    pairs of points are formed, and at most ``micro_clusters`` centres reach the driver.
+    pairs of points are formed, and only centres reach the driver. A threshold that
+    leaves more than half of the centres unmerged is tried with twice as many, and is an
+    error if even 2048 are too few to show its clusters.
     """
     if (k is None) == (threshold is None):
         raise ValueError("give either k or threshold")
-    spark = features.sparkSession
     is_vector = features.schema[vector_column].dataType.simpleString() == "vector"
     values = vector_to_array(F.col(vector_column)) if is_vector else F.col(vector_column).cast("array<double>")
     keyed = features.withColumn("__values", values)
+    size = micro_clusters
+    while True:
+        exact = _exact_ward(keyed, k, threshold, size, cluster_column)
+        if exact is not None:
+            return exact.drop("__values")
+        near, labels = _condensed_ward(keyed, k, threshold, size)
+        found = len(set(labels))
+        if threshold is None or found <= size // 2:
+            label_of = F.array(*[F.lit(int(label)) for label in labels])
+            return near.withColumn(cluster_column, F.get(label_of, F.col("__micro"))).drop(
+                "__values", "__vector", "__micro"
+            )
+        if size >= _MOST_CENTRES:
+            raise ValueError(f"threshold {threshold} leaves more than {size // 2} clusters; use a larger one")
+        size = min(size * 2, _MOST_CENTRES)
+
+
+def _exact_ward(keyed, k, threshold, size, cluster_column):
+    """Ward over the distinct vectors, or nothing if there are more than ``size``."""
     distinct = keyed.groupBy("__values").agg(F.count("*").alias("__n"))
-    few = distinct.limit(micro_clusters + 1).collect()
-    if len(few) <= micro_clusters:
-        few.sort(key=lambda row: tuple(row["__values"]))
-        labels = ward_merge(
-            np.array([row["__values"] for row in few]), np.array([row["__n"] for row in few]), k, threshold
-        )
-        table = spark.createDataFrame(
-            [(list(row["__values"]), int(label)) for row, label in zip(few, labels, strict=True)],
-            f"__values array<double>, {cluster_column} int",
-        )
-        return keyed.join(table, "__values").drop("__values")
+    few = distinct.limit(size + 1).collect()
+    if len(few) > size:
+        return None
+    few.sort(key=lambda row: tuple(row["__values"]))
+    labels = ward_merge(
+        np.array([row["__values"] for row in few]), np.array([row["__n"] for row in few]), k, threshold
+    )
+    table = keyed.sparkSession.createDataFrame(
+        [(list(row["__values"]), int(label)) for row, label in zip(few, labels, strict=True)],
+        f"__values array<double>, {cluster_column} int",
+    )
+    return keyed.join(table, "__values")
+
+
+def _condensed_ward(keyed, k, threshold, size):
+    """Points with the number of their centre, and the cluster of every centre."""
     vectors = keyed.withColumn("__vector", array_to_vector("__values"))
-    fitted = KMeans(k=micro_clusters, seed=SEED, featuresCol="__vector", predictionCol="__micro").fit(vectors)
-    near = fitted.transform(vectors)
+    fitted = KMeans(k=size, seed=SEED, featuresCol="__vector", predictionCol="__micro").fit(vectors)
     centres = np.array(fitted.clusterCenters())
-    sizes = np.array(fitted.summary.clusterSizes, dtype=float)
-    labels = ward_merge(centres, np.maximum(sizes, 1e-9), k, threshold)
-    label_of = F.array(*[F.lit(int(label)) for label in labels])
-    return near.withColumn(cluster_column, F.get(label_of, F.col("__micro"))).drop(
-        "__values", "__vector", "__micro"
-    )
+    # k-means may give fewer centres, and centres without points.
+    sizes = np.zeros(len(centres))
+    counted = np.array(fitted.summary.clusterSizes, dtype=float)
+    sizes[: len(counted)] = counted
+    return fitted.transform(vectors), ward_merge(centres, np.maximum(sizes, 1e-9), k, threshold)
 
 
 def bisecting_clusters(features: DataFrame, k: int, cluster_column: str = "cluster_id") -> DataFrame:
