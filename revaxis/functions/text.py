@@ -202,4 +202,5 @@ def counted_items(items: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(items), runs)
+    # sort_array compares natively; array_sort would run a comparator expression.
+    return let(F.sort_array(items), runs)

@@ -502,11 +502,17 @@ def theme_names(
     text_column: str = "review", themes=THEME_NAME_TERMS,
 ) -> DataFrame:
     """Theme name of each cluster by term occurrences over all its texts."""
-    weighted = {name: (1.0, terms) for name, terms in themes.items()}
-    return _named_by_terms(clustered, by, cluster, text_column, weighted, GENERAL_COMPLAINTS, False)
+    return _named_by_terms(clustered, by, cluster, text_column, _unweighted(themes), GENERAL_COMPLAINTS, False)
 
 
-def _named_by_terms(clustered, by, cluster, text_column, themes, otherwise, count_texts):
+def _unweighted(themes):
+    return {name: (1.0, terms) for name, terms in themes.items()}
+
+
+def _named_by_terms(
+    clustered, by, cluster, text_column, themes, otherwise, count_texts, keep=(), figures=()
+):
+    """Theme and its points per cluster; ``figures`` over ``keep`` columns come along."""
     names = list(themes)
 
     def points(terms):
@@ -519,16 +525,17 @@ def _named_by_terms(clustered, by, cluster, text_column, themes, otherwise, coun
         return " + ".join(f"({part})" for part in each)
 
     listed = ", ".join(points(themes[name][1]) for name in names)
-    rows = clustered.select(*by, cluster, on_text(text_column, f"array({listed})").alias("__points"))
+    rows = clustered.select(*by, cluster, *keep, on_text(text_column, f"array({listed})").alias("__points"))
     summed = rows.groupBy(*by, cluster).agg(
-        *[F.sum(F.get("__points", F.lit(i))).alias(f"__p{i}") for i in range(len(names))]
+        *[F.sum(F.get("__points", F.lit(i))).alias(f"__p{i}") for i in range(len(names))], *figures
     )
     scores = [F.col(f"__p{i}") * F.lit(float(themes[name][0])) for i, name in enumerate(names)]
     best = F.greatest(*scores)
     name = F.coalesce(*[
         F.when((score == best) & (score > 0), F.lit(label)) for label, score in zip(names, scores, strict=True)
     ], F.lit(otherwise))
-    return summed.select(*by, cluster, name.alias("theme"), best.alias("theme_score"))
+    carried = [c for c in summed.columns if c not in (*by, cluster) and not c.startswith("__p")]
+    return summed.select(*by, cluster, name.alias("theme"), best.alias("theme_score"), *carried)
 
 
 def phrase_theme(phrase: str) -> Column:
@@ -572,16 +579,34 @@ def critical_user_complaints(
     Clusters are the keyword clusters unless a ``cluster`` column is given. Clusters of
     at least two reviews are named by their terms, and those of one name are merged.
     """
-    themed = complaint_themes(negatives, by, cluster)
     votes = F.coalesce(F.col("thumbs_up"), F.lit(0))
-    row = F.struct("review_id", "review", "at", "rating")
-    summed = themed.groupBy(*by, "theme").agg(
-        F.count("*").alias("complaint_count"),
-        (exact_sum(complaint_severity(severity)) / F.count("*")).alias("avg_severity"),
-        F.sum(votes).alias("total_helpful_votes"),
+    keyed = negatives.select(
+        *by, "review", (cluster if cluster is not None else complaint_cluster("review")).alias("__cluster"),
+        complaint_severity(severity).cast("decimal(20,9)").alias("severity"), votes.alias("votes"),
+        F.struct("review_id", "at", "rating", snippet("review", 300).alias("text")).alias("row"),
+    )
+    # Names and figures of the clusters come from one aggregation over the reviews; what
+    # follows works on one row per cluster.
+    clusters = _named_by_terms(
+        keyed, by, "__cluster", "review", _unweighted(THEME_NAME_TERMS), GENERAL_COMPLAINTS, False,
+        keep=("severity", "votes", "row"),
+        figures=(
+            F.count("*").alias("size"),
+            F.sum("severity").alias("points"),
+            F.sum("votes").alias("votes"),
+            F.max("votes").alias("most"),
+            F.min_by("row", F.struct(-F.col("votes"), F.col("row.review_id"))).alias("helpful"),
+        ),
+    )
+    totals = clusters.groupBy(*by).agg(F.sum("size").alias("negative_reviews"))
+    kept = clusters.where(F.col("size") >= 2).join(totals.where(F.col("negative_reviews") >= 3), list(by))
+    summed = kept.groupBy(*by, "theme").agg(
+        F.sum("size").alias("complaint_count"),
+        (F.sum("points").cast("double") / F.sum("size")).alias("avg_severity"),
+        F.sum("votes").alias("total_helpful_votes"),
         F.max("negative_reviews").alias("negative_reviews"),
-        F.min_by(row, F.struct(-votes, F.col("review_id"))).alias("__helpful"),
-        F.max(votes).alias("most_votes"),
+        F.min_by("helpful", F.struct(-F.col("most"), F.col("helpful.review_id"))).alias("__helpful"),
+        F.max("most").alias("most_votes"),
     )
     scored = summed.withColumn(
         "criticality_score",
@@ -597,7 +622,7 @@ def critical_user_complaints(
         F.when(score > 75, "Critical").when(score > 35, "Major").otherwise("Minor").alias("criticality_label"),
         "avg_severity", "total_helpful_votes",
         F.col("__helpful.review_id").alias("most_helpful_id"),
-        snippet(F.col("__helpful.review"), 300).alias("most_helpful_text"),
+        F.col("__helpful.text").alias("most_helpful_text"),
         "most_votes",
     )
     return ranked(report, by, [F.desc("criticality_score"), F.asc("theme")])
@@ -611,16 +636,13 @@ def complaint_themes(
     Groups with fewer than three negatives and clusters with fewer than two are left out.
     """
     keyed = negatives.withColumn("__cluster", cluster if cluster is not None else complaint_cluster("review"))
-    names = theme_names(keyed, by, "__cluster")
-    sizes = keyed.groupBy(*by, "__cluster").agg(F.count("*").alias("__size"))
-    totals = sizes.groupBy(*by).agg(F.sum("__size").alias("negative_reviews"))
-    kept = (
-        names.join(sizes, [*by, "__cluster"])
-        .join(totals, list(by))
-        .where((F.col("__size") >= 2) & (F.col("negative_reviews") >= 3))
-    )
-    # One row per group and cluster: small enough to broadcast as a rule, and left to
-    # Spark to decide by its measured size.
+    names = _named_by_terms(
+        keyed, by, "__cluster", "review", _unweighted(THEME_NAME_TERMS), GENERAL_COMPLAINTS, False,
+        figures=(F.count("*").alias("size"),),
+    )
+    totals = names.groupBy(*by).agg(F.sum("size").alias("negative_reviews"))
+    kept = names.where(F.col("size") >= 2).join(totals.where(F.col("negative_reviews") >= 3), list(by))
+    # One row per group and cluster; Spark broadcasts it if its measured size allows.
     return keyed.join(
         kept.select(*by, "__cluster", "theme", "negative_reviews"), [*by, "__cluster"]
     ).drop("__cluster")

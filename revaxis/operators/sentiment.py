@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.matching import let, term_array
+from ..functions.matching import let, sql_array, sql_let, sql_literal, sql_struct
 from ..functions.sentiment import (
     compound_label,
     hybrid_confidence,
@@ -32,12 +32,13 @@ _NEGATION = -0.74
 _SHIFT = 0.293
 _FADING = (1.0, 0.95, 0.9)
 _POLARITY_NEGATION = -0.5
+_TOKEN = r"[\p{L}\p{N}_']+"
 LABELS = ("positive", "negative", "neutral")
 
 
 def _tokens_in_context(text: Column) -> Column:
     """Array of ``(token, previous)`` with the three tokens before, nearest first."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_']+"), 0)
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 0)
 
     def with_previous(items):
         return F.transform(
@@ -59,57 +60,100 @@ def lexicon_sentiment(
     negators: Iterable[str] = NEGATORS,
     boosters: Iterable[str] = BOOSTERS,
     dampeners: Iterable[str] = DAMPENERS,
+    literal_terms: int = 300,
 ) -> DataFrame:
     """Add ``compound, polarity, subjectivity`` from a table ``term, weight``.
 
     ``weight`` is on a scale of -4..4; optional ``polarity`` (-1..1) and ``subjectivity``
     (0..1) columns default to ``weight / 4`` and 0.5. A negator among the three words
     before flips a weight, an intensity word shifts it. Every token carries its context,
-    so no window over tokens is needed; the token-lexicon join is a plain equi join that
-    Spark broadcasts when the lexicon's measured size allows.
+    so no window over tokens is needed. A lexicon of up to ``literal_terms`` words is
+    looked up inside the scan; a larger one is joined by equality, and Spark broadcasts
+    it when its measured size allows.
     """
-    negator, booster, dampener = term_array(negators), term_array(boosters), term_array(dampeners)
     terms = lexicon.select(
         F.col("term").alias("token"),
         F.col("weight").cast("double").alias("weight"),
         (F.col("polarity") if "polarity" in lexicon.columns else F.col("weight") / 4).cast("double").alias("pol"),
         (F.col("subjectivity") if "subjectivity" in lexicon.columns else F.lit(0.5)).cast("double").alias("subj"),
     )
+    lists = (tuple(negators), tuple(boosters), tuple(dampeners))
+    few = terms.limit(literal_terms + 1).collect()
+    if len(few) <= literal_terms:
+        summed = reviews.withColumn("__s", F.expr(_literal_sums(few, lists, text_column)))
+        summed = summed.select(*reviews.columns, *[F.col(f"__s.{c}").alias(f"__{c}") for c in ("w", "pol", "subj", "n")])
+    else:
+        summed = _joined_sums(reviews, terms, lists, id_column, text_column)
+    total = F.coalesce(F.col("__w"), F.lit(0.0))
+    return (
+        summed.withColumn("compound", total / F.sqrt(total * total + _ALPHA))
+        .withColumn("polarity", F.coalesce(F.try_divide(F.col("__pol"), F.col("__n")), F.lit(0.0)))
+        .withColumn("subjectivity", F.coalesce(F.try_divide(F.col("__subj"), F.col("__n")), F.lit(0.5)))
+        .drop("__w", "__pol", "__subj", "__n")
+    )
+
+
+_DECIMAL = "decimal(20, 9)"
+
+
+def _hit_values(lists, hit: str = "") -> dict[str, str]:
+    """SQL for a hit's shifted and negated figures, as decimals; ``hit`` prefixes its fields."""
+    negators, boosters, dampeners = map(sql_array, lists)
+    shifts = " + ".join(
+        f"CASE WHEN array_contains({boosters}, get({hit}previous, {i})) THEN {_SHIFT * fade!r}D "
+        f"WHEN array_contains({dampeners}, get({hit}previous, {i})) THEN -{_SHIFT * fade!r}D ELSE 0.0D END"
+        for i, fade in enumerate(_FADING)
+    )
+    negated = f"exists({hit}previous, _n -> array_contains({negators}, _n))"
+    weight = f"({hit}weight + signum({hit}weight) * ({shifts}))"
+    return {
+        "w": f"cast({weight} * if({negated}, {_NEGATION}D, 1.0D) as {_DECIMAL})",
+        "pol": f"cast({hit}pol * if({negated}, {_POLARITY_NEGATION}D, 1.0D) as {_DECIMAL})",
+        "subj": f"cast({hit}subj as {_DECIMAL})",
+    }
+
+
+def _literal_sums(rows, lists, text_column: str) -> str:
+    """SQL struct of the sums over a text's lexicon words: no join, no shuffle."""
+    known = "map_from_arrays({}, array({}))".format(
+        sql_array(row.token for row in rows),
+        ", ".join(
+            sql_struct(weight=sql_literal(row.weight), pol=sql_literal(row.pol), subj=sql_literal(row.subj))
+            for row in rows
+        ),
+    ) if rows else "cast(map() as map<string, struct<weight:double, pol:double, subj:double>>)"
+    found = "filter(transform(_tok, (_w, _i) -> {}), _h -> _h.entry IS NOT NULL)".format(
+        sql_struct(entry=f"try_element_at({known}, _w)", at="_i")
+    )
+    with_context = sql_struct(
+        weight="_h.entry.weight", pol="_h.entry.pol", subj="_h.entry.subj",
+        previous="reverse(slice(_tok, greatest(_h.at - 2, 1), least(_h.at, 3)))",
+    )
+    hits = f"transform({found}, _h -> {with_context})"
+    values = _hit_values(lists, "_x.")
+
+    def total(name):
+        zero = f"cast(0 as {_DECIMAL})"
+        return f"aggregate(transform(_hits, _x -> {values[name]}), {zero}, (_a, _b) -> cast(_a + _b as {_DECIMAL}))"
+
+    sums = sql_struct(**{name: f"cast({total(name)} as double)" for name in values}, n="size(_hits)")
+    tokens = f"regexp_extract_all(lower({text_column}), {sql_literal(_TOKEN)}, 0)"
+    return sql_let("_tok", tokens, sql_let("_hits", hits, sums))
+
+
+def _joined_sums(reviews, terms, lists, id_column, text_column):
+    """The same sums with the lexicon as a table: an equi join on the token."""
     tokens = reviews.select(
         F.col(id_column), F.explode(_tokens_in_context(F.col(text_column))).alias("t")
     ).select(id_column, F.col("t.token").alias("token"), F.col("t.previous").alias("previous"))
     hits = tokens.join(terms, "token")
-    sign = F.signum("weight")
-    shifts = [
-        F.when(F.array_contains(booster, F.get("previous", F.lit(i))), F.lit(_SHIFT * fade))
-        .when(F.array_contains(dampener, F.get("previous", F.lit(i))), F.lit(-_SHIFT * fade))
-        .otherwise(F.lit(0.0))
-        for i, fade in enumerate(_FADING)
-    ]
-    negated = F.exists("previous", lambda word: F.array_contains(negator, word))
-    weight = F.col("weight") + sign * (shifts[0] + shifts[1] + shifts[2])
-    decimal = "decimal(20,9)"
-    scored = hits.select(
-        id_column,
-        F.when(negated, weight * _NEGATION).otherwise(weight).cast(decimal).alias("w"),
-        F.when(negated, F.col("pol") * _POLARITY_NEGATION).otherwise(F.col("pol")).cast(decimal).alias("pol"),
-        F.col("subj").cast(decimal).alias("subj"),
-    )
+    scored = hits.select(id_column, *[F.expr(value).alias(name) for name, value in _hit_values(lists).items()])
     # Tokens of one review sit in one map partition, so the map side sends one row each.
     sums = scored.groupBy(id_column).agg(
-        F.sum("w").cast("double").alias("__w"),
-        F.sum("pol").cast("double").alias("__pol"),
-        F.sum("subj").cast("double").alias("__subj"),
+        *[F.sum(name).cast("double").alias(f"__{name}") for name in ("w", "pol", "subj")],
         F.count("*").alias("__n"),
     )
-    total = F.coalesce(F.col("__w"), F.lit(0.0))
-    return (
-        reviews.join(sums, id_column, "left")
-        .withColumn("compound", total / F.sqrt(total * total + _ALPHA))
-        .withColumn("polarity", F.coalesce(F.try_divide(F.col("__pol"), F.col("__n")), F.lit(0.0)))
-        .withColumn("subjectivity", F.coalesce(F.try_divide(F.col("__subj"), F.col("__n")), F.lit(0.5)))
-        .drop("__w", "__pol", "__subj", "__n")
-    )
+    return reviews.join(sums, id_column, "left")
 
 
 def hybrid_sentiment(scored: DataFrame, text_column: str = "review") -> DataFrame:
