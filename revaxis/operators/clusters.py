@@ -32,7 +32,7 @@ from ..rules.themes import (
 )
 from ..rules.words import STOPWORDS
 from ..schema import BY_APP
-from ..session import checkpointed
+from ..session import materialized
 from .classify import complaint_cluster
 from .common import exact_sum, ranked, share, top_k
 from .phrases import ngram_counts
@@ -98,14 +98,14 @@ def topics(
     the centres (k x 200 numbers) reach the driver.
     """
     cleaned = texts.withColumn("__clean", clean_text(text_column)).where(word_count("__clean") > 3)
+    if cleaned.limit(3).count() < 3:
+        raise ValueError("not enough valid texts for topics (at least 3)")
     features, names = tfidf_features(
         cleaned, "__clean", vocabulary=200, n_max=2, min_df=2, max_df=0.8, stopwords=stopwords
     )
-    # Fitting passes over the features many times; a checkpoint spares recomputing text.
-    features = checkpointed(features.select(id_column, "__clean", "features"))
+    # Fitting passes over the features many times; the written table spares the text work.
+    features = materialized(features.select(id_column, "__clean", "features"))
     total = features.count()
-    if total < 3:
-        raise ValueError("not enough valid texts for topics (at least 3)")
     k = max(2, min(n_topics, total // 2))
     fitted = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="topic_id").fit(features)
     assigned = fitted.transform(features).drop("features").withColumnRenamed("__clean", "clean_review")
@@ -270,11 +270,11 @@ def complaint_text_clusters(
     The fixed settings of the known reports: K3 ``(5, 2, 10, 2, 100, 'ward')``, K7
     ``(20, 2, 10, 5, 1000)``, K9 ``(10, 2, 5, 3, 100)``. Too few reviews give no rows.
     """
+    if negatives.limit(minimum).count() < minimum:
+        return negatives.withColumn("cluster_id", F.lit(None).cast("int")).where(F.lit(False))
     features, _ = tfidf_features(negatives, text_column, vocabulary, stopwords=stopwords)
-    features = checkpointed(features)
+    features = materialized(features)
     total = features.count()
-    if total < minimum:
-        return negatives.withColumn("cluster_id", F.lit(None).cast("int")).where(F.lit(False))
     k = min(k_max, max(k_min, total // per_cluster))
     if method == "ward":
         clustered = ward_clusters(features, k=k)

@@ -11,6 +11,7 @@ from ..functions.matching import as_column
 from ..functions.text import alpha_tokens, counted_items, ngrams, without_stopwords, word_tokens
 from ..rules.words import GENERIC_PHRASES, STOPWORDS
 from ..schema import BY_APP
+from ..session import materialized
 from .common import exact_sum, explode_counting_all, share, spread_totals, top_k
 
 TOKENS = {"alpha": alpha_tokens, "word": word_tokens}
@@ -154,8 +155,10 @@ def _substring_scores(texts, counted, by, k, text_column):
 
     The score of a phrase is at most frequency x the cluster's highest severity. The most
     frequent phrases are scored first; their k-th score is a floor, and phrases whose
-    bound stays below it are dropped. Nothing that could rank is lost.
+    bound stays below it are dropped. Nothing that could rank is lost. The phrase counts
+    and the few candidates are written out: both are read more than once.
     """
+    counted = materialized(counted)
     narrow = texts.select(*by, "__severity", text_column)
     seeds = top_k(counted, by, [F.desc("frequency"), F.asc("phrase")], _PRUNING_SEEDS)
     seeded = (
@@ -169,7 +172,7 @@ def _substring_scores(texts, counted, by, k, text_column):
         F.col("__floor").isNull()
         | (F.col("frequency") * F.col("max_severity") >= F.col("__floor") * (1 - 1e-9))
     )
-    candidates = bounded.drop("avg_severity", "max_severity", "__floor")
+    candidates = materialized(bounded.drop("avg_severity", "max_severity", "__floor"))
     return candidates.join(containing_severity(narrow, candidates, by, text_column), [*by, "phrase"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def materialized(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and go on from the written table.
+
+    The table lies in the shared checkpoint folder, so losing executors costs no
+    recomputation; its size is known to the optimizer, and readers fetch only the columns
+    they use. The folder's owner cleans it up, as with checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/revaxis-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
