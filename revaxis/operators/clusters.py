@@ -151,7 +151,8 @@ def ward_merge(
     """Ward linkage over at most a few hundred weighted points; returns a label per point."""
     count = len(centres)
     sizes = weights.astype(float).copy()
-    gaps = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(-1).astype(float)
+    # Row by row, so that no count x count x dimension block is built.
+    gaps = np.array([((centres - centre) ** 2).sum(1) for centre in centres], dtype=float)
     cost = 2 * np.outer(sizes, sizes) / (sizes[:, None] + sizes[None, :]) * gaps
     np.fill_diagonal(cost, np.inf)
     members = {i: [i] for i in range(count)}

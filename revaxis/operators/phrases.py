@@ -12,7 +12,7 @@ from ..functions.text import alpha_tokens, counted_items, ngrams, without_stopwo
 from ..rules.words import GENERIC_PHRASES, STOPWORDS
 from ..schema import BY_APP
 from ..session import materialized
-from .common import exact_sum, explode_counting_all, share, spread_totals, top_k
+from .common import exact_sum, share, top_k
 
 TOKENS = {"alpha": alpha_tokens, "word": word_tokens}
 _PRUNING_SEEDS = 20
@@ -25,16 +25,10 @@ def phrase_array(
     return ngrams(without_stopwords(TOKENS[tokens](text), stopwords), n_min, n_max)
 
 
-def _phrase_rows(texts, keep, n_min, n_max, stopwords, tokens, text_column):
-    """Rows ``keep + (phrase, tf)``; every text also gives one row with a null phrase."""
-    return _exploded(texts, keep, phrase_array(text_column, n_min, n_max, stopwords, tokens))
-
-
-def _exploded(texts, keep, grams):
-    counted = texts.select(*keep, counted_items(grams).alias("__grams"))
-    return explode_counting_all(counted, "__grams", "__gram").select(
-        *keep, F.col("__gram.phrase").alias("phrase"), F.col("__gram.tf").alias("tf")
-    )
+def _phrase_rows(texts, keep, grams):
+    """Rows ``keep + (phrase, tf)``, one per text and distinct phrase."""
+    counted = texts.select(*keep, F.explode(counted_items(grams)).alias("__gram"))
+    return counted.select(*keep, F.col("__gram.phrase").alias("phrase"), F.col("__gram.tf").alias("tf"))
 
 
 def ngram_counts(
@@ -60,16 +54,16 @@ def ngram_counts(
     if severity is not None:
         texts = texts.withColumn("__severity", as_column(severity))
         keep.append("__severity")
-    rows = _phrase_rows(texts, keep, n_min, n_max, stopwords, tokens, text_column)
+    rows = _phrase_rows(texts, keep, phrase_array(text_column, n_min, n_max, stopwords, tokens))
     figures = [F.sum("tf").alias("frequency"), F.count("*").alias("doc_count")]
+    whole = [F.count("*").alias("total_docs")]
     if severity is not None:
         figures.append(exact_sum("__severity").alias("__points"))
-        figures.append(F.max("__severity").alias("__most"))
+        whole.append(F.max("__severity").alias("max_severity"))
     counted = rows.groupBy(*by, "phrase").agg(*figures)
-    totals = {"doc_count": "total_docs"}
-    if severity is not None:
-        totals["__most"] = "max_severity"
-    spread = spread_totals(counted, by, "phrase", totals)
+    # Totals are joined, not taken from a window: a group may have any number of phrases,
+    # and a window would gather them in one task.
+    spread = counted.join(texts.groupBy(*by).agg(*whole), list(by))
     # A limit by share says nothing about a single text.
     frequent = (F.col("total_docs") < 2) | (F.col("doc_count") <= F.col("total_docs") * max_df)
     kept = spread.where((F.col("doc_count") >= min_df) & frequent)
@@ -81,33 +75,45 @@ def ngram_counts(
     return kept.select(*by, "phrase", "frequency", "doc_count", "total_docs", *extra)
 
 
-def _boundary_keys(text: Column) -> Column:
-    """Distinct five character windows around single spaces: two letters on both sides.
+def _boundary_windows(text: Column, before: int, after: int) -> Column:
+    """Distinct pieces of text around single spaces with two letters on both sides.
 
-    The look-ahead lets windows overlap, as around a two letter word.
+    Each has ``before`` characters up to the space and at most ``after`` behind it. The
+    look-ahead lets pieces overlap.
     """
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?=([a-z]{2} [a-z]{2}))"), 1))
-
-
-def _boundary_key(phrase: Column) -> Column:
-    """The window around the phrase's first space."""
-    return F.regexp_extract(phrase, "^[a-z]*([a-z]{2} [a-z]{2})", 1)
+    padded = F.concat(F.repeat(F.lit(" "), F.lit(before)), text)
+    pattern = f"(?s)(?=(.{{{before - 2}}}[a-z]{{2}} [a-z]{{2}}.{{0,{max(after - 2, 0)}}}))"
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(pattern), 1))
 
 
 def containing_severity(
-    texts: DataFrame, candidates: DataFrame, by: Sequence[str], text_column: str = "review"
+    texts: DataFrame, candidates: DataFrame, by: Sequence[str], text_column: str = "review",
+    id_column: str = "review_id",
 ) -> DataFrame:
     """Mean severity of the texts containing each candidate phrase as a substring.
 
-    ``texts`` has ``by``, the text and ``__severity``; ``candidates`` has ``by`` and
-    ``phrase`` (at least two words). Both meet on the characters around a space, which a
-    text must share with every phrase it contains; there is no cross join.
+    ``texts`` has ``by``, a unique id, the text and ``__severity``; ``candidates`` has
+    ``by`` and ``phrase`` (at least two words). Both meet on the four letters around a
+    space, which a text must share with every phrase it contains, and the piece of text
+    there must contain the phrase. No cross join, and no copies of whole texts.
     """
-    lowered = texts.select(*by, "__severity", F.lower(F.col(text_column)).alias("__text"))
-    keyed_texts = lowered.withColumn("__key", F.explode(_boundary_keys(F.col("__text"))))
-    keyed = candidates.select(*by, "phrase").withColumn("__key", _boundary_key(F.col("phrase")))
-    pairs = keyed_texts.join(keyed, [*by, "__key"]).where(F.contains(F.col("__text"), F.col("phrase")))
-    return pairs.groupBy(*by, "phrase").agg(
+    first_word = F.length(F.substring_index("phrase", " ", 1))
+    # One row: how far phrases reach to both sides of their first space.
+    reach = candidates.agg(
+        F.max(first_word).alias("before"), F.max(F.length("phrase") - first_word - 1).alias("after")
+    ).first()
+    before, after = max(reach.before or 2, 2), max(reach.after or 2, 2)
+    windows = texts.select(
+        *by, id_column, "__severity",
+        F.explode(_boundary_windows(F.lower(F.col(text_column)), before, after)).alias("__window"),
+    ).withColumn("__key", F.substring("__window", before - 1, 5))
+    keyed = candidates.select(*by, "phrase").withColumn(
+        "__key", F.regexp_extract("phrase", "^[a-z]*([a-z]{2} [a-z]{2})", 1)
+    )
+    pairs = windows.join(keyed, [*by, "__key"]).where(F.contains(F.col("__window"), F.col("phrase")))
+    # A text counts once, however often it holds the phrase.
+    once = pairs.groupBy(*by, "phrase", id_column).agg(F.max("__severity").alias("__severity"))
+    return once.groupBy(*by, "phrase").agg(
         F.count("*").alias("matching_texts"), exact_sum("__severity").alias("__points")
     ).withColumn("avg_severity", F.col("__points") / F.col("matching_texts")).drop("__points")
 
@@ -123,6 +129,7 @@ def cluster_phrases(
     severity: Column | str = "severity",
     match: str = "substring",
     text_column: str = "review",
+    id_column: str = "review_id",
 ) -> DataFrame:
     """Top ``k`` phrases per cluster by frequency times mean severity (G2; G3 with ``max_df=1``).
 
@@ -138,7 +145,7 @@ def cluster_phrases(
     if match == "token":
         scored = counted
     elif match == "substring":
-        scored = _substring_scores(texts, counted, by, k, text_column)
+        scored = _substring_scores(texts, counted, by, k, text_column, id_column)
     else:
         raise ValueError("match must be 'substring' or 'token'")
     combined = scored.withColumn("combined_score", F.col("frequency") * F.col("avg_severity"))
@@ -150,7 +157,7 @@ def cluster_phrases(
     )
 
 
-def _substring_scores(texts, counted, by, k, text_column):
+def _substring_scores(texts, counted, by, k, text_column, id_column):
     """Severity over containing texts for every phrase that can still reach the top ``k``.
 
     The score of a phrase is at most frequency x the cluster's highest severity. The most
@@ -159,10 +166,10 @@ def _substring_scores(texts, counted, by, k, text_column):
     and the few candidates are written out: both are read more than once.
     """
     counted = materialized(counted)
-    narrow = texts.select(*by, "__severity", text_column)
+    narrow = texts.select(*by, id_column, "__severity", text_column)
     seeds = top_k(counted, by, [F.desc("frequency"), F.asc("phrase")], _PRUNING_SEEDS)
     seeded = (
-        containing_severity(narrow, seeds, by, text_column)
+        containing_severity(narrow, seeds, by, text_column, id_column)
         .join(seeds.select(*by, "phrase", "frequency"), [*by, "phrase"])
         .withColumn("__score", F.col("frequency") * F.col("avg_severity"))
     )
@@ -173,7 +180,8 @@ def _substring_scores(texts, counted, by, k, text_column):
         | (F.col("frequency") * F.col("max_severity") >= F.col("__floor") * (1 - 1e-9))
     )
     candidates = materialized(bounded.drop("avg_severity", "max_severity", "__floor"))
-    return candidates.join(containing_severity(narrow, candidates, by, text_column), [*by, "phrase"])
+    scores = containing_severity(narrow, candidates, by, text_column, id_column)
+    return candidates.join(scores, [*by, "phrase"])
 
 
 def simple_cluster_phrases(
@@ -182,12 +190,14 @@ def simple_cluster_phrases(
     k: int = 5,
     severity: Column | str = "severity",
     text_column: str = "review",
+    id_column: str = "review_id",
 ) -> DataFrame:
     """Phrases with stopwords kept: the 20 most frequent, rescored by severity."""
     size = F.abs(F.coalesce(as_column(severity), F.lit(0.5)))
     texts = texts.withColumn("__severity", size)
-    counted = ngram_counts(texts, by, 2, 4, (), max_features=20, text_column=text_column)
-    matched = containing_severity(texts.select(*by, "__severity", text_column), counted, by, text_column)
+    counted = materialized(ngram_counts(texts, by, 2, 4, (), max_features=20, text_column=text_column))
+    narrow = texts.select(*by, id_column, "__severity", text_column)
+    matched = containing_severity(narrow, counted, by, text_column, id_column)
     scored = counted.join(matched, [*by, "phrase"]).withColumn(
         "combined_score", F.col("frequency") * F.col("avg_severity")
     )
@@ -263,14 +273,11 @@ def key_phrases(
     grams = phrase_array(text_column, 1, n_max, stopwords)
     wanted = F.filter(grams, lambda p: (F.length(p) > 2) & ~p.isin(*ignored))
     keep = list(dict.fromkeys([*by, id_column]))
-    rows = _exploded(texts, keep, wanted)
-    frequencies = spread_totals(
-        rows.groupBy(*by, "phrase").agg(F.count("*").alias("df")), by, "phrase", {"df": "n"}
-    )
-    weights = frequencies.select(
+    counts = _phrase_rows(texts, keep, wanted)
+    frequencies = counts.groupBy(*by, "phrase").agg(F.count("*").alias("df"))
+    weights = frequencies.join(texts.groupBy(*by).agg(F.count("*").alias("n")), list(by)).select(
         *by, "phrase", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf")
     )
-    counts = rows.where(F.col("phrase").isNotNull())
     scored = counts.join(weights, [*by, "phrase"]).withColumn("relevance", F.col("tf") * F.col("idf"))
     return top_k(scored, keep, [F.desc("relevance"), F.asc("phrase")], k, rank="rank").select(
         *keep, "rank", "phrase", "tf", "relevance"

@@ -24,14 +24,15 @@ ALIASES = {
 
 def normalize_reviews(
     df: DataFrame,
-    app_id: str | None = None,
+    app_id: str = "unknown",
     votes_default: int | None = 0,
     as_of: Column | None = None,
     keep: Iterable[str] = (),
 ) -> DataFrame:
     """Resolve aliases, fill defaults, cast, and drop rows without text.
 
-    Rows without an id get a hash of their columns, so an exact copy shares its id.
+    Rows without an id get a hash of their columns, so an exact copy shares its id. Rows
+    without an app get ``app_id``: reports join on it, and null keys would drop out.
     ``keep`` names further columns (e.g. ``cluster_id``) to pass through.
     """
     names = {name.lower(): name for name in df.columns}

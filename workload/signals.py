@@ -233,13 +233,25 @@ def _(spark, sf):
     return clusters.pipeline_summary(signals.enhance_reviews(reviews(spark, sf)))
 
 
-@query("cluster_report")
-def _(spark, sf):
-    rows = _buckets(spark, sf)
-    from revaxis.operators.phrases import ngram_counts
+def _report_query():
     from revaxis.operators.common import ranked
+    from revaxis.operators.phrases import ngram_counts
+
+    from .phrases import ALPHA, grams_sql
+
+    @query("cluster_report", f"""{_STATS}, {grams_sql('bucketed', 'app_id, cluster_id', 2, 3, ALPHA)},
+  top AS (SELECT app_id, cluster_id, phrase, row_number() OVER (PARTITION BY app_id, cluster_id ORDER BY count(*) DESC, phrase) AS n
+    FROM grams GROUP BY 1, 2, 3),
+  lists AS (SELECT app_id, cluster_id, string_agg(phrase, '|' ORDER BY n) AS top_phrases FROM top WHERE n <= 3 GROUP BY 1, 2)
+  SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY "count" DESC, cluster_id) AS INTEGER) AS rank,
+    cluster_id, "count", top_phrases FROM stats LEFT JOIN lists USING (app_id, cluster_id)""")
+    def _(spark, sf):
+        rows = _buckets(spark, sf)
+        counted = ngram_counts(rows, ["app_id", "cluster_id"], 2, 3, max_features=5)
+        phrases = ranked(counted, ["app_id", "cluster_id"], [F.desc("frequency"), F.asc("phrase")])
+        report = clusters.cluster_report(clusters.cluster_stats(rows), phrases)
+        return report.select(
+            "app_id", "rank", "cluster_id", "count", F.array_join("top_phrases", "|").alias("top_phrases"))
+
 
-    counted = ngram_counts(rows, ["app_id", "cluster_id"], 2, 3, max_features=5)
-    phrases = ranked(counted, ["app_id", "cluster_id"], [F.desc("frequency"), F.asc("phrase")])
-    report = clusters.cluster_report(clusters.cluster_stats(rows), phrases)
-    return report.select("app_id", "rank", "cluster_id", "count", F.array_join("top_phrases", "|").alias("top_phrases"))
+_report_query()
