@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, pairwise_quality, site_lines
+from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,59 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_pairwise_quality")
+def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = pairwise_quality.learn_quality(docs, labels.where(pairwise_quality.training_part(F.col("doc_id"))))
+    return pairwise_quality.score_documents(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(~pairwise_quality.training_part(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+SITE_LINES_SQL = f"""
+WITH text AS (
+  SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1), '') AS host,
+    regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<(script|style)[^>]*>.*?</(script|style)>', chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS t
+  FROM pages),
+numbered AS (SELECT row_number() OVER () AS r, * FROM text),
+lines AS (
+  SELECT r, host, unnest(string_split(t, chr(10))) AS raw, unnest(range(len(string_split(t, chr(10))))) AS i
+  FROM numbered),
+trimmed AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines),
+per_host AS (SELECT host, count(*) AS total FROM numbered GROUP BY host),
+counted AS (SELECT host, line, count(DISTINCT r) AS n FROM trimmed WHERE line <> '' GROUP BY host, line),
+boilerplate AS (
+  SELECT c.host, c.line FROM counted c JOIN per_host p ON c.host IS NOT DISTINCT FROM p.host
+  WHERE n >= {site_lines.MIN_PAGES} AND n > {site_lines.RATIO} * total),
+marked AS (
+  SELECT t.*, b.line IS NOT NULL AS gone
+  FROM trimmed t LEFT JOIN boilerplate b ON t.host IS NOT DISTINCT FROM b.host AND t.line = b.line),
+cleaned AS (
+  SELECT r, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS t,
+    CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped
+  FROM marked GROUP BY r)
+SELECT page_id, host, n_dropped, sha256(c.t) AS text_sha256
+FROM numbered JOIN cleaned c USING (r)
+"""
+
+
+@query("op6_site_lines", SITE_LINES_SQL)
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", site_lines.host_of(F.col("url")).alias("host"), site_lines.page_lines(F.col("html")).alias("text"))
+    return site_lines.drop_boilerplate(pages, "host", "text", dropped="n_dropped").select(
+        "page_id", "host", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    planned = mixing.plan_mix(docs, size="size", source="source", doc_id="doc_id", weight=mixing.repeating_weights)
+    return planned.select(
+        "doc_id", "size", "source_size", "target", mixing.taken(F.col("size"), F.col("copies")).alias("taken"))
