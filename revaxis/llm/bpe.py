@@ -35,8 +35,8 @@ from .common import free_name
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries of a worker's tables; a full table is emptied and filled anew, so results don't change.
-WORD_ENTRIES = 300_000
-TABLE_ENTRIES = 600_000
+WORD_ENTRIES = 120_000
+TABLE_ENTRIES = 250_000
 
 
 def byte_letters() -> dict[str, int]:
