@@ -6,11 +6,12 @@ Each query applies its operator, with production parameters, to its whole table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pairwise_quality, site_lines
+from . import bpe, mixing, pairwise_quality, set_join, site_lines
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(docs, size="size", source="source", doc_id="doc_id", weight=mixing.repeating_weights)
     return planned.select(
         "doc_id", "size", "source_size", "target", mixing.taken(F.col("size"), F.col("copies")).alias("taken"))
+
+
+@query("op4_set_join")
+def op4_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return set_join.near_duplicates(docs, n=4, threshold=Fraction(85, 100)).select("doc_id", "n_shingles", "component_id")
