@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pairwise_quality, set_join, site_lines
+from . import bpe, mixing, pairwise_quality, pii, rule_list, set_join, site_lines
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,27 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return set_join.near_duplicates(docs, n=4, threshold=Fraction(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_bilstm_crf_pii")
+def op2_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal(docs, pii.learn_tagger(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(
+            F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+            for kind in pii.KINDS
+        ),
+        F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256"),
+        pii.joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op3_rule_list")
+def op3_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = rule_list.learn_rules(docs, table(spark, sf_dir, "labels"))
+    return rule_list.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
