@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pairwise_quality, pii, rule_list, set_join, site_lines
+from . import bpe, code_search, mixing, pairwise_quality, pii, rule_list, set_join, site_lines
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,9 @@ def op3_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rule_list.learn_rules(docs, table(spark, sf_dir, "labels"))
     return rule_list.judge(docs, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_code_search")
+def op1_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return code_search.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
