@@ -5,14 +5,15 @@ Each query applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, code_search, mixing, pairwise_quality, pii, rule_list, set_join, site_lines
-from .common import word_count
+from . import bpe, code_search, mixing, pairwise_quality, pii, preferences, rule_list, set_join, site_lines, token_rollup
+from .common import shared_folder, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +29,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Rows in each batch sent to Python: texts are long, and a worker holds one batch at a time.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -139,3 +145,92 @@ def op3_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return code_search.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+TOKEN_ROLLUP_SQL = """
+WITH counted AS (
+  SELECT doc_id, source, lang,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')) AS BIGINT) AS words,
+    CAST(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '.,;:!?', '')) AS BIGINT) AS marks,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM documents),
+current AS (
+  SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-2' ELSE 'words-1' END AS tokenizer,
+    words + CASE WHEN lang = 'en' THEN marks ELSE 0 END AS tokens
+  FROM counted WHERE NOT coalesce(toxic, false))
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM current GROUP BY ALL
+"""
+
+
+@query("op7_token_rollup", TOKEN_ROLLUP_SQL)
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, English ones are revised to a version that counts marks too, and toxic ones deleted."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
+    marks = F.length(text) - F.length(F.translate(text, ".,;:!?", ""))
+    counted = written(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", word_count(text).alias("words"), marks.cast("long").alias("marks")), "counts")
+    counted = counted.join(toxic, "doc_id", "left")
+    english, none = F.col("lang") == "en", F.lit(None)
+
+    def change(op: str, new: tuple | None, old: tuple | None) -> list:
+        def side(prefix: str, values: tuple | None) -> list:
+            tokenizer, tokens = values or (none, none)
+            keys = [(F.col(k) if values else none).cast("string").alias(prefix + k) for k in ("source", "lang")]
+            return [*keys, tokenizer.cast("string").alias(f"{prefix}tokenizer"), tokens.cast("long").alias(f"{prefix}tokens")]
+
+        return [F.lit(op).alias("op"), *side("", new), *side("old_", old)]
+
+    first, second = (F.lit("words-1"), F.col("words")), (F.lit("words-2"), F.col("words") + F.col("marks"))
+    now = tuple(F.when(english, b).otherwise(a) for a, b in zip(first, second))
+    load = counted.select(*change("insert", first, None))
+    revise = counted.where(english).select(*change("revise", second, first))
+    delete = counted.where("toxic").select(*change("delete", None, now))
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    for name, changes in (("load", load), ("revise", revise), ("delete", delete), ("revise", revise)):
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
+PREFERENCES_SQL = """
+WITH said AS (
+  SELECT conv_id AS pair_id, CAST(turn AS BIGINT) AS turn, role, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS n
+    FROM conversations WHERE conv_id IS NOT NULL) WHERE n = 1),
+last AS (SELECT pair_id, max(turn) AS last FROM said WHERE role = 'assistant' GROUP BY pair_id),
+kept AS (SELECT s.*, l.last FROM said s LEFT JOIN last l USING (pair_id) WHERE l.last IS NULL OR s.turn <= l.last),
+reply AS (SELECT xor(pair_id, 1) AS pair_id, text AS reply FROM kept WHERE turn = last),
+rejected AS (
+  SELECT pair_id, turn, role, text FROM kept WHERE last IS NULL OR turn < last
+  UNION ALL SELECT k.pair_id, k.turn, k.role, r.reply FROM kept k JOIN reply r USING (pair_id) WHERE k.turn = k.last),
+matched AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn,
+    c.pair_id IS NOT NULL AS in_c, c.role AS c_role, c.text AS c_text,
+    r.pair_id IS NOT NULL AS in_r, r.role AS r_role, r.text AS r_text,
+    c.pair_id IS NOT NULL AND r.pair_id IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role
+      AND c.text IS NOT DISTINCT FROM r.text AS same
+  FROM kept c FULL JOIN rejected r ON c.pair_id = r.pair_id AND c.turn = r.turn),
+differing AS (SELECT pair_id, min(turn) AS differs FROM matched WHERE NOT same GROUP BY pair_id),
+parts AS (
+  SELECT m.pair_id, 'prompt' AS part, turn, c_role AS role, c_text AS text
+  FROM matched m LEFT JOIN differing d USING (pair_id) WHERE d.differs IS NULL OR turn < d.differs
+  UNION ALL
+  SELECT m.pair_id, 'chosen', turn, c_role, c_text FROM matched m JOIN differing d USING (pair_id) WHERE turn >= d.differs AND in_c
+  UNION ALL
+  SELECT m.pair_id, 'rejected', turn, r_role, r_text FROM matched m JOIN differing d USING (pair_id) WHERE turn >= d.differs AND in_r),
+shown AS (
+  SELECT *, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS head,
+    coalesce(text, '') || '<|im_end|>' || chr(10) AS body, part <> 'prompt' AND coalesce(role = 'assistant', false) AS trained
+  FROM parts)
+SELECT pair_id, part, turn, head || body AS segment,
+  CASE WHEN trained THEN CAST(length(head) AS BIGINT) END AS train_from,
+  CASE WHEN trained THEN CAST(length(head) + length(body) AS BIGINT) END AS train_to
+FROM shown
+"""
+
+
+@query("op9_preferences", PREFERENCES_SQL)
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = preferences.swapped_replies(table(spark, sf_dir, "conversations"))
+    return preferences.format_preferences(chosen, rejected)

@@ -6,8 +6,8 @@ link between different sets is missed, and no group is expanded into all its pai
 
 1. Equal sets are one node.
 2. Each set's n-grams stand in one order for all sets: n-grams not known as frequent first.
-   Linked sets share an n-gram among the first ``n - ceil(threshold * n) + 1``. These make
-   the index lists, and every entry holds the set's size and the n-gram's position.
+   Linked sets share an n-gram among the first ``n - ceil(threshold * n) + 1``, the prefix.
+   These make the index lists.
 3. Every list has a pivot, its set with the fewest infrequent n-grams. A set joins the
    cluster of the pivot it meets most often if their measure is at least ``near``, and from
    then on it is what it lacks (L) and adds (A) against the pivot.
@@ -16,9 +16,10 @@ link between different sets is missed, and no group is expanded into all its pai
    can only link if both link to the pivot, which adds nothing to the component. So only
    sets that do not link to the pivot look for others, through lists of A, or through lists of
    L for sets that lack more than they add.
-5. Between clusters the index lists are read by position: a list whose sets are all in one
-   cluster is skipped, and so is an entry whose size or position cannot reach the
-   intersection that is needed.
+5. Between clusters the index lists are read by blocks: a list whose sets are all in one
+   cluster is skipped, and so are entries whose sizes differ too much. Two sets are compared
+   only if the part of the prefixes that they share and what stands behind it can
+   reach the intersection that is needed.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ FREQUENT_COUNT = 4
 FREQUENT_GRAMS = 500_000
 #: Measure from which a set is described by its pivot.
 NEAR = Fraction(1, 2)
-WORD_ENTRIES = 200_000
+#: A set may join the cluster of a pivot that it meets in this share of its prefix.
+MET_SHARE = 0.3
+WORD_ENTRIES = 100_000
+# A node is the number of a row: its partition and its place, below 2 ** 57 in all.
+_NODE_BITS, _MOST_RARE = 57, 31
 #: Nodes up to this number (8 bytes each) are sent to all executors; more are joined.
 BROADCAST_NODES = 1_000_000
 
@@ -92,6 +97,12 @@ def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]
     return np.concatenate([tokens[~known], tokens[known]]), int((~known).sum())
 
 
+def _prefix(threshold: Fraction, size: Column) -> Column:
+    """Length of the index prefix of a set."""
+    p, q = threshold.numerator, threshold.denominator
+    return size - F.floor((F.lit(p) * size + F.lit(q - 1)) / F.lit(q)) + 1
+
+
 def _needed(threshold: Fraction, a: Column, b: Column) -> Column:
     """At least the intersection that is needed, in whole numbers."""
     p, q = threshold.numerator, threshold.denominator
@@ -216,12 +227,14 @@ def near_duplicates(
     named = nodes.select(F.col("node").alias("row"))
     named = F.broadcast(named) if nodes.count() <= BROADCAST_NODES else named
     entries = rows.join(named, "row", "left_semi").select(
-        F.col("row").alias("node"), "size", "rare", F.posexplode("prefix").alias("at", "gram"))
+        F.col("row").alias("node"), "size", "rare", F.explode("prefix").alias("gram"))
+    # The fewest infrequent n-grams first, then the smallest node, as one number.
+    rank = F.shiftleft(F.least(F.col("rare"), F.lit(_MOST_RARE)).cast("long"), _NODE_BITS).bitwiseOR(F.col("node"))
     pivots = (
-        entries.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("rare", "size", "node")).alias("pivot"))
-        .where("n > 1").select("gram", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size"))
+        entries.groupBy("gram").agg(F.count("*").alias("n"), F.min(rank).alias("rank")).where("n > 1")
+        .select("gram", F.col("rank").bitwiseAND(F.lit((1 << _NODE_BITS) - 1)).alias("pivot"))
     )
-    lists = written(entries.drop("rare").join(pivots, "gram"), "lists")
+    lists = written(entries.drop("rare", "at").join(pivots, "gram"), "lists")
     members, sets = _clusters(docs, lists, nodes, n, threshold)
     edges = members.where("linked").select(F.col("node").alias("x"), F.col("root").alias("y"))
     edges = edges.union(_inner_links(members, threshold)).union(_outer_links(docs, lists, members, nodes, sets, n, threshold))
@@ -242,8 +255,9 @@ def near_duplicates(
 def _clusters(docs, lists, nodes, n, threshold) -> tuple[DataFrame, DataFrame]:
     """Members of clusters by what they lack and add against the pivot; the sets read for that."""
     met = (
-        lists.where("node <> pivot and 2 * size >= pivot_size and 2 * pivot_size >= size")
-        .groupBy("node", "pivot").agg(F.count("*").alias("n"))
+        lists.where("node <> pivot")
+        .groupBy("node", "pivot").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        .where(F.col("n") >= F.lit(MET_SHARE) * _prefix(threshold, F.col("size")))
         .groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     )
     met = written(met, "pivots")
@@ -305,25 +319,27 @@ def _inner_links(members: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _outer_links(docs, lists, members, nodes, sets, n, threshold) -> DataFrame:
-    """Links between sets of different clusters, from the index lists."""
+    """Links between sets of different clusters, from the index lists.
+
+    Of x and y take the one whose prefix ends first in the common order. What it shares with
+    the other lies in both prefixes or behind its own, so the n-grams that both prefixes hold
+    and its size behind the prefix bound the intersection from above.
+    """
     p, q = threshold.numerator, threshold.denominator
     roots = members.select("node", "root")
-    own = lists.select("gram", "node", "size", "at").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
+    own = lists.select("gram", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = written(own, "placed")
     mixed = own.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
         "low < high").select("gram")
     own = own.join(mixed, "gram")
-    other = own.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "at", "root")))
-    rest = 1 + F.least(F.col("size") - F.col("at") - 1, F.col("o_size") - F.col("o_at") - 1)
-    possible = (
-        (F.col("root") < F.col("o_root"))
-        & (F.lit(q) * F.col("size") >= F.lit(p) * F.col("o_size"))
-        & (F.lit(q) * F.col("o_size") >= F.lit(p) * F.col("size"))
-        & (F.lit(p + q) * rest >= F.lit(p) * (F.col("size") + F.col("o_size")))
-    )
-    pairs = written(own.join(other, "gram").where(possible).select(
-        F.col("node").alias("x"), F.col("o_node").alias("y")).distinct(), "pairs")
+    other = own.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root")))
+    size, o_size = F.col("size"), F.col("o_size")
+    met = own.join(other, "gram").where(
+        (F.col("root") < F.col("o_root")) & (F.lit(q) * size >= F.lit(p) * o_size) & (F.lit(q) * o_size >= F.lit(p) * size)
+    ).groupBy("node", "o_node").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("o_size").alias("o_size"))
+    behind = F.greatest(size - _prefix(threshold, size), o_size - _prefix(threshold, o_size))
+    pairs = written(met.where(F.col("n") + behind >= _needed(threshold, size, o_size)).select(
+        F.col("node").alias("x"), F.col("o_node").alias("y")), "pairs")
     involved = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
     missing = involved.join(sets.select("node"), "node", "left_anti")
     more = sets.unionByName(written(_sets_of(docs, nodes.join(missing, "node"), n), "tokens"))
