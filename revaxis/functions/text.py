@@ -21,7 +21,7 @@ _SPACES = r"[\s\p{Z}]+"
 _LINKS = r"http\S+|www\S+|(?<!\S)\S+@\S+"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PHRASE_EDGES = " ,!?.-"
-_ALPHA_TOKEN = r"\b[a-zA-Z]{2,}\b"
+_ALPHA_TOKEN = r"(?<![\p{L}\p{N}_])[a-zA-Z]{2,}(?![\p{L}\p{N}_])"
 _WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -55,10 +55,11 @@ def tokenize(text: Column | str, stopwords: Iterable[str] = STOPWORDS) -> Column
     return F.filter(bare, lambda word: ~F.array_contains(stop, word))
 
 
-def mask_handles(text: Column | str, limit: int = 400) -> Column:
-    """Handles to ``@user``, links to ``http``, cut to the model's input size."""
+def mask_handles(text: Column | str, limit: int | None = None) -> Column:
+    """Handles to ``@user``, links to ``http`` (T3); ``limit`` cuts to a model's input size."""
     masked = F.regexp_replace(as_column(text), r"@[\p{L}\p{N}_]+", "@user")
-    return F.substring(F.regexp_replace(masked, r"http\S+|www\S+", "http"), 1, limit)
+    masked = F.regexp_replace(masked, r"http\S+|www\S+", "http")
+    return masked if limit is None else F.substring(masked, 1, limit)
 
 
 def snippet(text: Column | str, size: int) -> Column:

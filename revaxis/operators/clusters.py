@@ -8,13 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import cluster_label
-from ..functions.matching import as_column, on_text, sql_literal
+from ..functions.matching import as_column, on_text, sql_literal, sql_pattern
 from ..functions.text import (
     clean_text,
     negative_highlights,
@@ -177,8 +177,8 @@ def ward_merge(
     return labels
 
 
-# Centres a hierarchy is built over at most: a table of this many squared costs fits the driver.
-_MOST_CENTRES = 2048
+# Weighted centres a hierarchy is built over: a table of this many squared costs fits the driver.
+CENTRES = 256
 
 
 def ward_clusters(
@@ -186,67 +186,32 @@ def ward_clusters(
     vector_column: str = "features",
     k: int | None = None,
     threshold: float | None = None,
-    micro_clusters: int = 256,
+    centres: int = CENTRES,
     cluster_column: str = "cluster_id",
 ) -> DataFrame:
-    """Hierarchical clustering with Ward linkage, by number or distance threshold (K3, K7).
-
-    Up to ``micro_clusters`` distinct vectors the result is exact Ward. Beyond, Spark's
-    k-means first condenses the points to that many weighted centres and the hierarchy is
-    built over those; every point follows its centre. Copies are one distinct vector, no
-    pairs of points are formed, and only centres reach the driver. A threshold that
-    leaves more than half of the centres unmerged is tried with twice as many, and is an
-    error if even 2048 are too few to show its clusters.
+    """Ward clusters over condensed points, by number or distance threshold (K3, K7).
+
+    For any number of rows Spark's k-means condenses the points to at most ``centres``
+    weighted centres, Ward linkage merges the centres, and every point follows its centre.
+    No pairs of points are formed and only centres reach the driver. There are never more
+    than ``centres`` clusters, however small the threshold; without rows there are none.
     """
     if (k is None) == (threshold is None):
         raise ValueError("give either k or threshold")
     is_vector = features.schema[vector_column].dataType.simpleString() == "vector"
-    values = vector_to_array(F.col(vector_column)) if is_vector else F.col(vector_column).cast("array<double>")
-    keyed = features.withColumn("__values", values)
-    size = micro_clusters
-    while True:
-        exact = _exact_ward(keyed, k, threshold, size, cluster_column)
-        if exact is not None:
-            return exact.drop("__values")
-        near, labels = _condensed_ward(keyed, k, threshold, size)
-        found = len(set(labels))
-        if threshold is None or found <= size // 2:
-            label_of = F.array(*[F.lit(int(label)) for label in labels])
-            return near.withColumn(cluster_column, F.get(label_of, F.col("__micro"))).drop(
-                "__values", "__vector", "__micro"
-            )
-        if size >= _MOST_CENTRES:
-            raise ValueError(f"threshold {threshold} leaves more than {size // 2} clusters; use a larger one")
-        size = min(size * 2, _MOST_CENTRES)
-
-
-def _exact_ward(keyed, k, threshold, size, cluster_column):
-    """Ward over the distinct vectors, or nothing if there are more than ``size``."""
-    distinct = keyed.groupBy("__values").agg(F.count("*").alias("__n"))
-    few = distinct.limit(size + 1).collect()
-    if len(few) > size:
-        return None
-    few.sort(key=lambda row: tuple(row["__values"]))
-    labels = ward_merge(
-        np.array([row["__values"] for row in few]), np.array([row["__n"] for row in few]), k, threshold
-    )
-    table = keyed.sparkSession.createDataFrame(
-        [(list(row["__values"]), int(label)) for row, label in zip(few, labels, strict=True)],
-        f"__values array<double>, {cluster_column} int",
-    )
-    return keyed.join(table, "__values")
-
-
-def _condensed_ward(keyed, k, threshold, size):
-    """Points with the number of their centre, and the cluster of every centre."""
-    vectors = keyed.withColumn("__vector", array_to_vector("__values"))
-    fitted = KMeans(k=size, seed=SEED, featuresCol="__vector", predictionCol="__micro").fit(vectors)
-    centres = np.array(fitted.clusterCenters())
+    values = F.col(vector_column) if is_vector else array_to_vector(F.col(vector_column).cast("array<double>"))
+    vectors = features.withColumn("__vector", values)
+    if vectors.limit(1).count() == 0:
+        return features.withColumn(cluster_column, F.lit(None).cast("int"))
+    fitted = KMeans(k=max(centres, 2), seed=SEED, featuresCol="__vector", predictionCol="__micro").fit(vectors)
+    found = np.array(fitted.clusterCenters())
     # k-means may give fewer centres, and centres without points.
-    sizes = np.zeros(len(centres))
-    counted = np.array(fitted.summary.clusterSizes, dtype=float)
+    sizes = np.zeros(len(found))
+    counted = np.array(fitted.summary.clusterSizes, dtype=float)[: len(found)]
     sizes[: len(counted)] = counted
-    return fitted.transform(vectors), ward_merge(centres, np.maximum(sizes, 1e-9), k, threshold)
+    labels = ward_merge(found, np.maximum(sizes, 1e-9), k, threshold)
+    label_of = F.array(*[F.lit(int(label)) for label in labels])
+    return fitted.transform(vectors).withColumn(cluster_column, F.get(label_of, F.col("__micro"))).drop("__vector", "__micro")
 
 
 def bisecting_clusters(features: DataFrame, k: int, cluster_column: str = "cluster_id") -> DataFrame:
@@ -542,7 +507,7 @@ def _named_by_terms(
 def phrase_theme(phrase: str) -> Column:
     """Theme of a phrase: first matching pattern, else its words over two letters."""
     cases = " ".join(
-        f"WHEN rlike(_t, {sql_literal(pattern)}) THEN {sql_literal(name)}" for pattern, name in PHRASE_THEMES
+        f"WHEN rlike(_t, {sql_pattern(pattern)}) THEN {sql_literal(name)}" for pattern, name in PHRASE_THEMES
     )
     known = on_text(phrase, f"CASE {cases} END")
     phrase = F.lower(phrase)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import on_text, sql_contained
+from ..functions.matching import let
 from ..rules import Category
 
 # Terms are joined on their first characters, at most this many.
@@ -16,43 +16,35 @@ _KEY_LENGTH = 5
 
 def substring_join(
     texts: DataFrame, terms: DataFrame, id_column: str = "review_id", text_column: str = "review",
-    term_column: str = "term", literal_terms: int = 1000,
+    term_column: str = "term",
 ) -> DataFrame:
     """``(id, term columns)`` for every term contained in the lower-cased text.
 
-    Up to ``literal_terms`` distinct terms are matched inside the scan and then joined by
-    equality. A larger table goes through ``_window_join``. Neither is a cross join.
+    One row for each id, text and distinct row of ``terms``, for tables of any size. Texts
+    and terms meet on the terms' first characters: every text gives its distinct pieces of
+    the (at most five) lengths in use. A term as short as its piece is found by that; of
+    longer ones the few texts that hold the start are checked. No term is tried on all texts.
     """
-    few = terms.select(term_column).where(F.length(term_column) > 0).distinct().limit(literal_terms + 1).collect()
-    if len(few) > literal_terms:
-        return _window_join(texts, terms, id_column, text_column, term_column)
-    found = on_text(text_column, sql_contained("_t", sorted(row[0] for row in few)))
-    return texts.select(F.col(id_column), F.explode(found).alias(term_column)).join(terms, term_column)
-
-
-def _window_join(texts, terms, id_column, text_column, term_column):
-    """Every text position gives a window as long as the longest term; windows and terms
-    meet on their first characters, and the window must start with the term."""
-    size = F.length(term_column)
-    # One row: the longest term and the key lengths in use (1 to 5).
-    limits = terms.agg(
-        F.max(size).alias("longest"), F.collect_set(F.least(size, F.lit(_KEY_LENGTH))).alias("lengths")
-    ).first()
-    lengths = sorted(length for length in limits.lengths if length > 0)
-    window_pattern = F.lit(f"(?s)(?=(.{{1,{limits.longest}}}))")
-    windows = texts.select(
-        F.col(id_column),
-        F.explode(F.regexp_extract_all(F.lower(text_column), window_pattern, 1)).alias("__window"),
-    )
-    keys = F.array(*[F.substring("__window", 1, length) for length in lengths])
-    keyed_windows = windows.withColumn("__key", F.explode(F.array_distinct(keys)))
-    keyed_terms = terms.where(size > 0).withColumn("__key", F.substring(term_column, 1, _KEY_LENGTH))
-    found = keyed_windows.join(keyed_terms, "__key").where(
-        F.startswith(F.col("__window"), F.col(term_column))
-    )
-    # A term may occur several times in a text; occurrences of one text sit together, so
-    # most of this happens before the shuffle.
-    return found.drop("__key", "__window").distinct()
+    terms = terms.where(F.length(term_column) > 0).distinct()
+    text = F.lower(F.col(text_column))
+    of = F.struct(F.xxhash64(text), F.hash(text))
+    size = F.least(F.length(term_column), F.lit(_KEY_LENGTH))
+    # One row with five numbers at most; without terms any length will do.
+    lengths = terms.agg(F.sort_array(F.collect_set(size))).first()[0] or [_KEY_LENGTH]
+
+    def pieces(t: Column) -> Column:
+        found = [F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths]
+        return F.array_distinct(F.concat(*found))
+
+    keyed_texts = texts.select(F.col(id_column), of.alias("__text"), F.explode(let(text, pieces)).alias("__key"))
+    keyed_terms = terms.withColumn("__key", F.substring(term_column, 1, _KEY_LENGTH))
+    found = keyed_texts.join(keyed_terms, "__key").drop("__key").distinct()
+    is_long = F.length(term_column) > _KEY_LENGTH
+    whole = texts.select(F.col(id_column).alias("__id"), text.alias("__lower"), of.alias("__of"))
+    checked = found.where(is_long).join(
+        whole, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of"))
+    ).where(F.contains(F.col("__lower"), F.col(term_column))).select(*found.columns).distinct()
+    return found.where(~is_long).unionByName(checked).drop("__text")
 
 
 def first_label_join(
@@ -94,11 +86,9 @@ def merge_rules_tables(base: DataFrame, override: DataFrame) -> DataFrame:
     return kept.unionByName(override)
 
 
-def rules_from_table(table: DataFrame, limit: int = 2000) -> tuple[Category, ...]:
-    """A rule table as a rule set; larger ones belong in ``substring_join``."""
-    rows = table.orderBy("category_id", "ord").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rule rows: use substring_join with the table instead")
+def rules_from_table(table: DataFrame) -> tuple[Category, ...]:
+    """A rule table as a rule set, which is part of plans; for terms as data see ``substring_join``."""
+    rows = table.orderBy("category_id", "ord").collect()
     grouped: dict[str, dict] = {}
     for row in rows:
         rule = grouped.setdefault(row.category_id, {"first": row, "keywords": [], "subs": {}})

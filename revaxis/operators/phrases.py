@@ -191,11 +191,12 @@ def simple_cluster_phrases(
     severity: Column | str = "severity",
     text_column: str = "review",
     id_column: str = "review_id",
+    max_features: int | None = None,
 ) -> DataFrame:
-    """Phrases with stopwords kept: the 20 most frequent, rescored by severity."""
+    """Phrases with stopwords kept, scored by severity (G4); ``max_features`` keeps the most frequent ones."""
     size = F.abs(F.coalesce(as_column(severity), F.lit(0.5)))
     texts = texts.withColumn("__severity", size)
-    counted = materialized(ngram_counts(texts, by, 2, 4, (), max_features=20, text_column=text_column))
+    counted = materialized(ngram_counts(texts, by, 2, 4, (), max_features=max_features, text_column=text_column))
     narrow = texts.select(*by, id_column, "__severity", text_column)
     matched = containing_severity(narrow, counted, by, text_column, id_column)
     scored = counted.join(matched, [*by, "phrase"]).withColumn(
@@ -223,7 +224,7 @@ def document_phrases(
     n_min: int = 2,
     n_max: int = 4,
     stopwords: Iterable[str] = STOPWORDS,
-    max_features: int = 50,
+    max_features: int | None = None,
     severity: Column | str = "confidence",
     text_column: str = "review",
 ) -> DataFrame:
@@ -246,11 +247,10 @@ def problem_phrases(
     k: int = 5,
     stopwords: Iterable[str] = STOPWORDS,
     text_column: str = "review",
+    min_df: int = 2,
 ) -> DataFrame:
-    """Two and three word phrases in at least two texts, most frequent first."""
-    counted = ngram_counts(
-        texts, by, 2, 3, stopwords, min_df=2, max_features=15, tokens="word", text_column=text_column
-    )
+    """Two and three word phrases in at least ``min_df`` texts, most frequent first."""
+    counted = ngram_counts(texts, by, 2, 3, stopwords, min_df=min_df, tokens="word", text_column=text_column)
     best = top_k(counted, by, [F.desc("frequency"), F.asc("phrase")], k, rank="rank")
     return best.select(*by, "rank", "phrase", "frequency")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.matching import let, sql_array, sql_let, sql_literal, sql_struct
+from ..functions.matching import let, sql_array
 from ..functions.sentiment import (
     compound_label,
     hybrid_confidence,
@@ -37,14 +37,14 @@ LABELS = ("positive", "negative", "neutral")
 
 
 def _tokens_in_context(text: Column) -> Column:
-    """Array of ``(token, previous)`` with the three tokens before, nearest first."""
+    """Array of ``(at, token, previous)`` with the three tokens before, nearest first."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 0)
 
     def with_previous(items):
         return F.transform(
             items,
             lambda token, i: F.struct(
-                token.alias("token"),
+                i.alias("at"), token.alias("token"),
                 F.reverse(F.slice(items, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))).alias("previous"),
             ),
         )
@@ -55,35 +55,28 @@ def _tokens_in_context(text: Column) -> Column:
 def lexicon_sentiment(
     reviews: DataFrame,
     lexicon: DataFrame,
-    id_column: str = "review_id",
     text_column: str = "review",
     negators: Iterable[str] = NEGATORS,
     boosters: Iterable[str] = BOOSTERS,
     dampeners: Iterable[str] = DAMPENERS,
-    literal_terms: int = 300,
 ) -> DataFrame:
     """Add ``compound, polarity, subjectivity`` from a table ``term, weight``.
 
     ``weight`` is on a scale of -4..4; optional ``polarity`` (-1..1) and ``subjectivity``
-    (0..1) columns default to ``weight / 4`` and 0.5. A negator among the three words
-    before flips a weight, an intensity word shifts it. Every token carries its context,
-    so no window over tokens is needed. A lexicon of up to ``literal_terms`` words is
-    looked up inside the scan; a larger one is joined by equality, and Spark broadcasts
-    it when its measured size allows.
+    (0..1) columns default to ``weight / 4`` and 0.5. A term in several rows counts with the
+    means of their figures. A negator among the three words before flips a weight, an
+    intensity word shifts it. Every token carries its context, so no window over tokens is
+    needed. The lexicon, of any size, is joined by equality on the token, and the sums are
+    joined back by the text, so rows that share an id or a text do not mix.
     """
     terms = lexicon.select(
         F.col("term").alias("token"),
         F.col("weight").cast("double").alias("weight"),
         (F.col("polarity") if "polarity" in lexicon.columns else F.col("weight") / 4).cast("double").alias("pol"),
         (F.col("subjectivity") if "subjectivity" in lexicon.columns else F.lit(0.5)).cast("double").alias("subj"),
-    )
+    ).groupBy("token").agg(*[F.avg(c).alias(c) for c in ("weight", "pol", "subj")])
     lists = (tuple(negators), tuple(boosters), tuple(dampeners))
-    few = terms.limit(literal_terms + 1).collect()
-    if len(few) <= literal_terms:
-        summed = reviews.withColumn("__s", F.expr(_literal_sums(few, lists, text_column)))
-        summed = summed.select(*reviews.columns, *[F.col(f"__s.{c}").alias(f"__{c}") for c in ("w", "pol", "subj", "n")])
-    else:
-        summed = _joined_sums(reviews, terms, lists, id_column, text_column)
+    summed = _joined_sums(reviews, terms, lists, text_column)
     total = F.coalesce(F.col("__w"), F.lit(0.0))
     return (
         summed.withColumn("compound", total / F.sqrt(total * total + _ALPHA))
@@ -113,47 +106,27 @@ def _hit_values(lists, hit: str = "") -> dict[str, str]:
     }
 
 
-def _literal_sums(rows, lists, text_column: str) -> str:
-    """SQL struct of the sums over a text's lexicon words: no join, no shuffle."""
-    known = "map_from_arrays({}, array({}))".format(
-        sql_array(row.token for row in rows),
-        ", ".join(
-            sql_struct(weight=sql_literal(row.weight), pol=sql_literal(row.pol), subj=sql_literal(row.subj))
-            for row in rows
-        ),
-    ) if rows else "cast(map() as map<string, struct<weight:double, pol:double, subj:double>>)"
-    found = "filter(transform(_tok, (_w, _i) -> {}), _h -> _h.entry IS NOT NULL)".format(
-        sql_struct(entry=f"try_element_at({known}, _w)", at="_i")
-    )
-    with_context = sql_struct(
-        weight="_h.entry.weight", pol="_h.entry.pol", subj="_h.entry.subj",
-        previous="reverse(slice(_tok, greatest(_h.at - 2, 1), least(_h.at, 3)))",
-    )
-    hits = f"transform({found}, _h -> {with_context})"
-    values = _hit_values(lists, "_x.")
-
-    def total(name):
-        zero = f"cast(0 as {_DECIMAL})"
-        return f"aggregate(transform(_hits, _x -> {values[name]}), {zero}, (_a, _b) -> cast(_a + _b as {_DECIMAL}))"
+def _joined_sums(reviews, terms, lists, text_column):
+    """Sums over a text's lexicon words, attached to every row with that text.
 
-    sums = sql_struct(**{name: f"cast({total(name)} as double)" for name in values}, n="size(_hits)")
-    tokens = f"regexp_extract_all(lower({text_column}), {sql_literal(_TOKEN)}, 0)"
-    return sql_let("_tok", tokens, sql_let("_hits", hits, sums))
+    Texts are known by two hashes. A text that stands in several rows brings the same hits
+    several times; its hits are a set, so each position counts once.
+    """
+    text = F.col(text_column)
+    keyed = reviews.withColumn("__key", F.struct(F.xxhash64(text), F.hash(text)))
+    tokens = keyed.select("__key", F.explode(_tokens_in_context(text)).alias("t")).select("__key", "t.*")
+    hits = tokens.join(terms, "token")
+    figures = F.struct("at", *[F.expr(value).alias(name) for name, value in _hit_values(lists).items()])
+    # Bounded by the words of one text.
+    found = hits.groupBy("__key").agg(F.collect_set(figures).alias("__hits"))
 
+    def total(name):
+        values = F.transform("__hits", lambda hit: hit[name])
+        zero = F.lit(0).cast(_DECIMAL)
+        return F.aggregate(values, zero, lambda a, b: (a + b).cast(_DECIMAL)).cast("double").alias(f"__{name}")
 
-def _joined_sums(reviews, terms, lists, id_column, text_column):
-    """The same sums with the lexicon as a table: an equi join on the token."""
-    tokens = reviews.select(
-        F.col(id_column), F.explode(_tokens_in_context(F.col(text_column))).alias("t")
-    ).select(id_column, F.col("t.token").alias("token"), F.col("t.previous").alias("previous"))
-    hits = tokens.join(terms, "token")
-    scored = hits.select(id_column, *[F.expr(value).alias(name) for name, value in _hit_values(lists).items()])
-    # Tokens of one review sit in one map partition, so the map side sends one row each.
-    sums = scored.groupBy(id_column).agg(
-        *[F.sum(name).cast("double").alias(f"__{name}") for name in ("w", "pol", "subj")],
-        F.count("*").alias("__n"),
-    )
-    return reviews.join(sums, id_column, "left")
+    sums = found.select("__key", *[total(name) for name in ("w", "pol", "subj")], F.size("__hits").alias("__n"))
+    return keyed.join(sums, "__key", "left").drop("__key")
 
 
 def hybrid_sentiment(scored: DataFrame, text_column: str = "review") -> DataFrame:
@@ -184,13 +157,14 @@ def score_with_model(
     make_predict_fn: Callable | None,
     text_column: str = "review",
     batch_size: int = 256,
-    limit: int = 400,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add ``sentiment, confidence, polarity`` from a classifier of the caller.
 
     ``make_predict_fn()`` loads the model once per Python worker and returns a function
-    from an array of texts to ``{"label": ..., "score": ...}``. Without a model the label
-    is ``unknown`` with confidence 0.
+    from an array of texts to ``{"label": ..., "score": ...}``. The model gets whole texts;
+    ``limit`` cuts them for a model that takes no more characters. Without a model the
+    label is ``unknown`` with confidence 0.
     """
     if make_predict_fn is None:
         return reviews.withColumns({

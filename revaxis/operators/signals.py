@@ -15,6 +15,7 @@ from ..functions.matching import (
     sql_contained,
     sql_let,
     sql_literal,
+    sql_pattern,
     sql_struct,
 )
 from ..functions.severity import complaint_tags, issue_flags, severity_of
@@ -53,7 +54,7 @@ def _signal_tags(text: str = "review") -> Column:
         tag = sql_struct(
             signal=sql_literal(signal), level=f"cast({sql_literal(level)} as string)", pattern=str(i), phrase="_m"
         )
-        match = f"regexp_extract(_t, {sql_literal(pattern)}, 0)"
+        match = f"regexp_extract(_t, {sql_pattern(pattern)}, 0)"
         built.append(sql_let("_m", match, f"if(_m = '', NULL, {tag})"))
     return on_text(text, f"array_compact(array({', '.join(built)}))")
 
@@ -91,7 +92,7 @@ def _emotion_tags(text: str = "review") -> Column:
     listed = ", ".join(
         sql_struct(
             emotion=sql_literal(emotion), pattern=str(i),
-            phrases=f"regexp_extract_all(_t, {sql_literal(pattern)}, 1)",
+            phrases=f"regexp_extract_all(_t, {sql_pattern(pattern)}, 1)",
         )
         for i, (emotion, pattern) in enumerate(specs)
     )
@@ -132,7 +133,7 @@ def _mention_tags(text: str = "review") -> Column:
 
     def of_app(category, app):
         contexts = ", ".join(
-            f"regexp_extract(_t, {sql_literal(template.format(app=app))}, 0)" for template in MENTION_TEMPLATES
+            f"regexp_extract(_t, {sql_pattern(template.format(app=app))}, 0)" for template in MENTION_TEMPLATES
         )
         tag = sql_struct(
             category=sql_literal(category), competitor=sql_literal(app), pattern="_i", context="_m"

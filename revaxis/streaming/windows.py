@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sentiment import keyword_boost
 from ..operators.classify import CRITICAL, classification_flags, review_tags
-from ..operators.common import share
+from ..operators.common import share, top_k
 from ..operators.signals import enhance_reviews
 from ..rules import DEFAULT_RULES
 from ..schema import BY_APP
@@ -58,7 +58,12 @@ def windowed_alerts(
 
 
 def deduplicated(reviews: DataFrame, delay: str = "1 day", id_column: str = "review_id") -> DataFrame:
-    """One row per review id among rows up to ``delay`` apart."""
+    """One row per review id among rows up to ``delay`` apart.
+
+    Of a batch the earliest row of an id stays; of rows at the same time the one whose other
+    columns are lowest, so reruns agree. A stream keeps the row that arrives first.
+    """
     if not reviews.isStreaming:
-        return reviews.dropDuplicates([id_column])
+        order = [F.asc("at"), *[F.asc(c) for c in reviews.columns if c not in ("at", id_column)]]
+        return top_k(reviews, [id_column], order, 1)
     return reviews.withWatermark("at", delay).dropDuplicatesWithinWatermark([id_column])

@@ -134,3 +134,11 @@ def test_keyword_boost(spark):
 def test_dates(spark, written, shown):
     as_of = F.lit("2024-02-01").cast("timestamp")
     assert value(spark, dates.normalize_review_date(F.col("d").cast("string"), as_of), d=written) == shown
+
+
+def test_patterns_know_accented_letters_and_line_ends(make_reviews):
+    """A border lies beside any letter, and of line ends only a line feed stops a dot."""
+    rows = make_reviews((1, "a", 3, "éslow"), (2, "a", 3, "slow"), (3, "a", 3, "lost\rdata"), (4, "a", 3, "lost\ndata"))
+    found = {r.review_id: r.s for r in rows.select("review_id", severity.severity_of("review").alias("s")).collect()}
+    assert found["1"].severity_score < found["2"].severity_score
+    assert (found["3"].severity, found["4"].severity) == ("critical", "severe")

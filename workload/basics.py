@@ -201,8 +201,8 @@ def _(spark, sf):
 
 
 @query("mask_handles", r"""
-  SELECT review_id, substr(regexp_replace(regexp_replace(review, '@\w+', '@user', 'g'),
-    'http\S+|www\S+', 'http', 'g'), 1, 400) AS masked FROM reviews""")
+  SELECT review_id, regexp_replace(regexp_replace(review, '@\w+', '@user', 'g'),
+    'http\S+|www\S+', 'http', 'g') AS masked FROM reviews""")
 def _(spark, sf):
     return reviews(spark, sf).select("review_id", text.mask_handles("review").alias("masked"))
 

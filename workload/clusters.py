@@ -62,15 +62,15 @@ def _(spark, sf):
 @query("distance_clusters")
 def _(spark, sf):
     """Ward clusters of the embeddings by distance threshold (K7)."""
-    vectors = table(spark, sf, "embeddings", "vec_id")
-    found = clusters.ward_clusters(vectors, "embedding", threshold=1.0)
+    vectors = table(spark, sf, "embeddings")
+    found = clusters.ward_clusters(vectors, "embedding", threshold=2.5)
     return found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
 
 
 @query("embedding_kmeans")
 def _(spark, sf):
     """K-means over given vectors, three to eight clusters."""
-    vectors = table(spark, sf, "embeddings", "vec_id").withColumn(
+    vectors = table(spark, sf, "embeddings").withColumn(
         "features", array_to_vector(F.col("embedding").cast("array<double>")))
     return clusters.kmeans_clusters(vectors, 8).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
@@ -97,8 +97,7 @@ def _(spark, sf):
 @query("negative_cluster_report", f"""{_FIGURES}, {grams_sql('clustered', 'app_id, cluster_id', 2, 4, WORD, extra=', confidence')},
   per_text AS (SELECT app_id, cluster_id, phrase, review_id, any_value(confidence) AS confidence, count(*) AS tf FROM grams GROUP BY 1, 2, 3, 4),
   counted AS (SELECT app_id, cluster_id, phrase, count(*) * (sum(CAST(confidence AS DECIMAL(20, 9)))::DOUBLE / count(*)) AS score
-    FROM per_text GROUP BY 1, 2, 3
-    QUALIFY row_number() OVER (PARTITION BY app_id, cluster_id ORDER BY sum(tf) DESC, phrase) <= 50),
+    FROM per_text GROUP BY 1, 2, 3),
   top AS (SELECT app_id, cluster_id, arg_min(phrase, (-score, phrase)) AS t FROM counted GROUP BY 1, 2)
   SELECT app_id, cluster_id, {_first_label_sql('top.t', CLUSTER_LABELS, 'General Complaints')} AS cluster_label, review_count,
     review_count / total * 100 AS percent, total_votes, avg_confidence AS avg_severity, avg_votes,
@@ -114,14 +113,15 @@ def _(spark, sf):
 
 
 @query("cluster_coverage", f"""{CLUSTERED_SQL},
-  sizes AS (SELECT app_id, cluster_id, count(*) AS n FROM clustered WHERE thumbs_up > 38 GROUP BY 1, 2),
+  sizes AS (SELECT app_id, cluster_id || '-' || user_name AS c, count(*) AS n FROM clustered GROUP BY 1, 2),
   s AS (SELECT app_id, CAST(sum(n) AS BIGINT) AS total_negative_reviews, CAST(coalesce(sum(n) FILTER (n >= 2), 0) AS BIGINT) AS total_clustered_reviews
     FROM sizes GROUP BY 1)
   SELECT *, total_clustered_reviews / total_negative_reviews * 100 AS coverage_percentage,
     'Showing AI clusters from ' || total_clustered_reviews || ' of ' || total_negative_reviews || ' negative reviews ('
       || printf('%.1f', total_clustered_reviews / total_negative_reviews * 100) || '% coverage)' AS coverage_sentence FROM s""")
 def _(spark, sf):
-    return clusters.cluster_coverage(clustered(spark, sf).where("thumbs_up > 38"))
+    small = clustered(spark, sf).withColumn("cluster_id", F.concat_ws("-", "cluster_id", "user_name"))
+    return clusters.cluster_coverage(small)
 
 
 def _named_sql(themes, otherwise, count_texts, weights=False):

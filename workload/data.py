@@ -77,18 +77,12 @@ def _list(items) -> str:
     return "[" + ", ".join(_quoted(item) for item in items) + "]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table, spread over all cores if it comes in fewer pieces than there are cores.
-
-    The test tables are single small files; a table of many files stays as it is read.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", "event_id")
+    return table(spark, sf_dir, "events")
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +126,7 @@ reviews AS (SELECT *, lower(review) AS t FROM raw WHERE length(trim(review)) > 0
 
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as long multilingual reviews; a source is an app."""
-    return table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("review_id"),
         F.col("source").alias("app_id"),
         (F.col("doc_id") % 5 + 1).cast("int").alias("rating"),

@@ -71,18 +71,15 @@ def _(spark, sf):
     return phrases.ngram_counts(document_reviews(spark, sf), n_min=1, n_max=2, min_df=3, tokens="word")
 
 
-def _scored_sql(max_df, match, n=5, stopwords=STOPWORDS, candidates=None):
+def _scored_sql(max_df, match, n=5, stopwords=STOPWORDS):
     """Phrase scores per cluster, brute force: every phrase against every text."""
-    limit = f"WHERE n <= {candidates}" if candidates else ""
     tested = "contains(c.t, k.phrase)" if match == "substring" else (
         "c.review_id IN (SELECT review_id FROM grams g WHERE g.phrase = k.phrase AND g.app_id = k.app_id "
         "AND g.cluster_id = k.cluster_id)")
     return f"""{CLUSTERED_SQL}, {grams_sql('clustered', 'app_id, cluster_id', 2, 4, ALPHA, stopwords)},
   totals AS (SELECT app_id, cluster_id, count(*) AS total FROM clustered GROUP BY 1, 2),
   counted AS (SELECT app_id, cluster_id, phrase, count(*) AS frequency, count(DISTINCT review_id) AS df FROM grams GROUP BY 1, 2, 3),
-  kept AS (SELECT *, row_number() OVER (PARTITION BY app_id, cluster_id ORDER BY frequency DESC, phrase) AS n
-    FROM counted JOIN totals USING (app_id, cluster_id) WHERE total < 2 OR df <= total * {max_df}::DOUBLE),
-  cand AS (SELECT * FROM kept {limit}),
+  cand AS (SELECT * FROM counted JOIN totals USING (app_id, cluster_id) WHERE total < 2 OR df <= total * {max_df}::DOUBLE),
   sev AS (SELECT k.app_id, k.cluster_id, k.phrase, sum(CAST(severity AS DECIMAL(20, 9)))::DOUBLE / count(*) AS avg_severity
     FROM cand k JOIN clustered c ON c.app_id = k.app_id AND c.cluster_id = k.cluster_id AND {tested} GROUP BY 1, 2, 3),
   ranked AS (SELECT app_id, cluster_id, phrase, frequency, avg_severity, frequency * avg_severity AS combined_score,
@@ -123,7 +120,7 @@ def _(spark, sf):
 
 
 @query("simple_cluster_phrases",
-       f"{_scored_sql(1.0, 'substring', stopwords=(), candidates=20)} SELECT * EXCLUDE review_count FROM ranked")
+       f"{_scored_sql(1.0, 'substring', stopwords=())} SELECT * EXCLUDE review_count FROM ranked")
 def _(spark, sf):
     return phrases.simple_cluster_phrases(clustered(spark, sf))
 
@@ -132,7 +129,7 @@ def _(spark, sf):
   per_text AS (SELECT app_id, cluster_id, phrase, review_id, any_value(confidence) AS confidence, count(*) AS tf FROM grams GROUP BY 1, 2, 3, 4),
   counted AS (SELECT app_id, cluster_id, phrase, sum(tf) AS tf, count(*) AS frequency,
       sum(CAST(confidence AS DECIMAL(20, 9)))::DOUBLE / count(*) AS avg_severity FROM per_text GROUP BY 1, 2, 3
-    QUALIFY row_number() OVER (PARTITION BY app_id, cluster_id ORDER BY sum(tf) DESC, phrase) <= 50)
+)
   SELECT app_id, cluster_id, phrase, frequency, avg_severity, frequency * avg_severity AS combined_score,
     CAST(row_number() OVER (PARTITION BY app_id, cluster_id ORDER BY frequency * avg_severity DESC, phrase) AS INTEGER) AS rank
   FROM counted QUALIFY rank <= 3""")
