@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from ..functions.levels import cluster_label
 from ..functions.matching import as_column, on_text, sql_literal, sql_pattern
 from ..functions.text import (
     clean_text,
+    counted_items,
     negative_highlights,
     ngrams,
     snippet,
@@ -53,22 +55,44 @@ def tfidf_features(
     max_df: float = 1.0,
     stopwords: Iterable[str] = STOPWORDS,
 ) -> tuple[DataFrame, list[str]]:
-    """Add unit-length TF-IDF ``features`` of 1..n_max-grams; also returns the vocabulary."""
+    """Add unit-length TF-IDF ``features`` of 1..n_max-grams; also returns the vocabulary.
+
+    The vocabulary holds the ``vocabulary`` most frequent terms of at least ``min_df`` and at
+    most ``max_df`` texts (a share up to 1, a number above); equal terms go by name. It and
+    the document frequencies come from one aggregation, and only it reaches the driver.
+    Weights are ``tf * (ln((1 + n) / (1 + df)) + 1)``.
+    """
     kept = without_stopwords(word_tokens(text_column), stopwords)
     grams = texts.withColumn("__grams", ngrams(kept, 1, n_max))
-    vectorizer = CountVectorizer(inputCol="__grams", outputCol="__counts", vocabSize=vocabulary, minDF=min_df)
-    if max_df < 1:  # Spark reads 1 and above as a number of texts
-        vectorizer.setMaxDF(max_df)
-    counter = vectorizer.fit(grams)
-    counted = counter.transform(grams)
-    idf = IDF(inputCol="__counts", outputCol="__idf").fit(counted)
-    # Weights ln((1+n)/(1+df)) + 1: Spark's inverse document frequency plus one.
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.idf.toArray() + 1), inputCol="__counts", outputCol="__weighted"
-    )
+    chosen, total = tfidf_vocabulary(grams, "__grams", vocabulary, min_df, max_df)
+    names = [row["term"] for row in chosen]
+    if not names:
+        return grams.withColumn("features", array_to_vector(F.array(F.lit(0.0)))).drop("__grams"), []
+    counter = CountVectorizerModel.from_vocabulary(names, "__grams", "__counts")
+    weights = Vectors.dense([log((1 + total) / (1 + row["df"])) + 1 for row in chosen])
+    weigh = ElementwiseProduct(scalingVec=weights, inputCol="__counts", outputCol="__weighted")
     scale = Normalizer(inputCol="__weighted", outputCol="features")
-    weighted = scale.transform(weigh.transform(counted))
-    return weighted.drop("__grams", "__counts", "__weighted"), counter.vocabulary
+    weighted = scale.transform(weigh.transform(counter.transform(grams)))
+    return weighted.drop("__grams", "__counts", "__weighted"), names
+
+
+def tfidf_vocabulary(grams: DataFrame, column: str, size: int, min_df: float, max_df: float):
+    """The chosen ``(term, tf, df)`` rows, at most ``size``, and the number of texts."""
+    # The null term stands for the text itself, so the number of texts comes along.
+    counted = grams.select(F.explode(F.concat(
+        F.array(F.lit(None).cast("struct<phrase:string,tf:bigint>")), counted_terms(column)
+    )).alias("t")).groupBy(F.col("t.phrase").alias("term")).agg(F.sum("t.tf").alias("tf"), F.count("*").alias("df"))
+    total = counted.where("term is null").select("df").first()
+    total = total[0] if total else 0
+    most = max_df * total if max_df <= 1 else max_df
+    least = min_df if min_df >= 1 else min_df * total
+    kept = counted.where(F.col("term").isNotNull() & (F.col("df") >= least) & (F.col("df") <= most))
+    return kept.orderBy(F.desc("tf"), F.asc("term")).limit(size).collect(), total
+
+
+def counted_terms(column: str) -> Column:
+    kind = "array<struct<phrase:string,tf:bigint>>"
+    return F.coalesce(counted_items(F.col(column)).cast(kind), F.array().cast(kind))
 
 
 def kmeans_clusters(features: DataFrame, k: int, cluster_column: str = "cluster_id") -> DataFrame:
@@ -91,17 +115,18 @@ def topics(
     text_column: str = "review",
     id_column: str = "review_id",
     stopwords: Iterable[str] = STOPWORDS,
+    vocabulary: int = 200,
 ) -> Topics:
     """TF-IDF + k-means topics over all texts: top terms, size, rank by size (K1).
 
     Texts of more than three cleaned words take part; fewer than three is an error. Only
-    the centres (k x 200 numbers) reach the driver.
+    the vocabulary and the centres (k x ``vocabulary`` numbers) reach the driver.
     """
     cleaned = texts.withColumn("__clean", clean_text(text_column)).where(word_count("__clean") > 3)
     if cleaned.limit(3).count() < 3:
         raise ValueError("not enough valid texts for topics (at least 3)")
     features, names = tfidf_features(
-        cleaned, "__clean", vocabulary=200, n_max=2, min_df=2, max_df=0.8, stopwords=stopwords
+        cleaned, "__clean", vocabulary=vocabulary, n_max=2, min_df=2, max_df=0.8, stopwords=stopwords
     )
     # Fitting passes over the features many times; the written table spares the text work.
     features = materialized(features.select(id_column, "__clean", "features"))
@@ -359,17 +384,11 @@ def criticality(
 def _cluster_figures(clustered, by, cluster, severity, minimum):
     """Count, total of the group, mean severity and votes per cluster from one shuffle."""
     votes = F.coalesce(F.col("thumbs_up"), F.lit(1))
-    keyed = clustered.select(
-        *by, cluster, severity.cast("decimal(20,9)").alias("__severity"), votes.alias("__votes"),
-        F.struct("review_id", "review", "at", "rating").alias("__row"),
-    )
+    keyed = clustered.select(*by, cluster, severity.cast("decimal(20,9)").alias("__severity"), votes.alias("__votes"))
     summed = keyed.groupBy(*by, cluster).agg(
         F.count("*").alias("review_count"),
         (F.sum("__severity").cast("double") / F.count("*")).alias("avg_severity"),
         F.sum("__votes").alias("total_votes"),
-        # Most votes first, then the lowest id.
-        F.min_by("__row", F.struct(-F.col("__votes"), F.col("__row.review_id"))).alias("__helpful"),
-        F.max("__votes").alias("most_votes"),
     )
     group = summed.groupBy(*by).agg(F.sum("review_count").alias("negative_reviews"))
     joined = summed.join(group, list(by)).where(F.col("review_count") >= minimum)
@@ -407,6 +426,10 @@ def negative_cluster_report(
 ) -> DataFrame:
     """Negative clusters of at least two reviews with label, concern and criticality (K9)."""
     figures = _cluster_figures(clustered, by, cluster, F.abs(as_column(severity)), 2)
+    helpful = top_cluster_reviews(clustered, by, cluster, 1, None).select(
+        *by, cluster, F.struct("review_id", F.col("text").alias("review")).alias("__helpful"), F.col("votes").alias("most_votes"))
+    # One row per cluster on both sides.
+    figures = figures.join(helpful, [*by, cluster])
     votes, count = F.col("total_votes"), F.col("review_count")
     scored = figures.withColumns({
         "criticality": criticality(
@@ -433,6 +456,25 @@ def negative_cluster_report(
     return ranked(report, by, [F.desc("criticality"), F.asc(cluster)])
 
 
+def top_cluster_reviews(
+    clustered: DataFrame, by: Sequence[str] = BY_APP, cluster: str = "cluster_id", k: int = 2, size: int | None = 150,
+    minimum: int = 0,
+) -> DataFrame:
+    """The ``k`` reviews with most votes of each cluster, lowest ids first (K8: 2, K9: 3).
+
+    ``size`` cuts the texts; groups with fewer than ``minimum`` reviews are left out. Every map
+    task keeps ``k`` rows of a cluster before the shuffle.
+    """
+    votes = F.coalesce(F.col("thumbs_up"), F.lit(1))
+    text = F.col("review") if size is None else snippet("review", size)
+    rows = clustered.select(*by, cluster, "review_id", "rating", votes.alias("votes"), text.alias("text"))
+    best = top_k(rows, [*by, cluster], [F.desc("votes"), F.asc("review_id")], k, rank="rank")
+    if minimum:
+        large = clustered.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= minimum).drop("__n")
+        best = best.join(large, list(by), "left_semi")
+    return best
+
+
 def cluster_coverage(clustered: DataFrame, by: Sequence[str] = BY_APP, cluster: str = "cluster_id") -> DataFrame:
     """How many negative reviews sit in clusters of at least two, as a sentence (K9)."""
     sizes = clustered.groupBy(*by, cluster).agg(F.count("*").alias("n"))
@@ -555,15 +597,15 @@ def critical_user_complaints(
     # follows works on one row per cluster.
     clusters = _named_by_terms(
         keyed, by, "__cluster", "review", _unweighted(THEME_NAME_TERMS), GENERAL_COMPLAINTS, False,
-        keep=("severity", "votes", "row"),
+        keep=("severity", "votes"),
         figures=(
             F.count("*").alias("size"),
             F.sum("severity").alias("points"),
             F.sum("votes").alias("votes"),
-            F.max("votes").alias("most"),
-            F.min_by("row", F.struct(-F.col("votes"), F.col("row.review_id"))).alias("helpful"),
         ),
     )
+    first = [F.desc("votes"), F.asc("row.review_id")]
+    helpful = top_k(keyed.select(*by, "__cluster", "votes", "row"), [*by, "__cluster"], first, 1)
     totals = clusters.groupBy(*by).agg(F.sum("size").alias("negative_reviews"))
     kept = clusters.where(F.col("size") >= 2).join(totals.where(F.col("negative_reviews") >= 3), list(by))
     summed = kept.groupBy(*by, "theme").agg(
@@ -571,9 +613,11 @@ def critical_user_complaints(
         (F.sum("points").cast("double") / F.sum("size")).alias("avg_severity"),
         F.sum("votes").alias("total_helpful_votes"),
         F.max("negative_reviews").alias("negative_reviews"),
-        F.min_by("helpful", F.struct(-F.col("most"), F.col("helpful.review_id"))).alias("__helpful"),
-        F.max("most").alias("most_votes"),
     )
+    named = helpful.join(kept.select(*by, "__cluster", "theme"), [*by, "__cluster"])
+    shown = top_k(named, [*by, "theme"], first, 1).select(
+        *by, "theme", F.col("row").alias("__helpful"), F.col("votes").alias("most_votes"))
+    summed = summed.join(shown, [*by, "theme"])
     scored = summed.withColumn(
         "criticality_score",
         criticality(
@@ -632,22 +676,16 @@ def representative_reviews_v2(
 ) -> DataFrame:
     """The most helpful review, then by votes, length and low rating, with the reason.
 
-    Both orders start with the votes, so one ranking with the id as the last key decides;
-    the first row is the most helpful one with the lowest id.
+    The first row is the most helpful one with the lowest id. Both orders are cut before the
+    shuffle; what is left of a theme are ``k + 1`` rows at most. Rows that share an id are one.
     """
     votes = F.coalesce(F.col("thumbs_up"), F.lit(0))
     rows = themed.select(*by, "review_id", "rating", "at", "review", votes.alias("thumbs_up"))
-    helpful = rows.groupBy(*by).agg(
-        F.min_by("review_id", F.struct(-F.col("thumbs_up"), F.col("review_id"))).alias("__helpful_id")
-    )
-    marked = rows.join(helpful, list(by)).withColumn(
-        "__rest", (F.col("review_id") != F.col("__helpful_id")).cast("int")
-    )
-    best = top_k(
-        marked, by,
-        [F.asc("__rest"), F.desc("thumbs_up"), F.desc(F.length("review")), F.asc("rating"), F.asc("review_id")],
-        k, rank="rank",
-    )
+    others = [F.desc("thumbs_up"), F.desc(F.length("review")), F.asc("rating"), F.asc("review_id")]
+    helpful = top_k(rows, by, [F.desc("thumbs_up"), F.asc("review_id")], 1).withColumn("__rest", F.lit(0))
+    likely = top_k(rows, by, others, k).withColumn("__rest", F.lit(1))
+    once = top_k(helpful.unionByName(likely), [*by, "review_id"], [F.asc("__rest"), *others], 1)
+    best = top_k(once, by, [F.asc("__rest"), *others], k, rank="rank")
     votes_text = F.col("thumbs_up").cast("string")
     return best.select(
         *by, "rank", "review_id", "rating", "thumbs_up", "at",
@@ -661,6 +699,5 @@ def representative_reviews_v2(
 def most_helpful(themed: DataFrame, by: Sequence[str] = ("app_id", "theme")) -> DataFrame:
     """The review with most votes per theme, lowest id first."""
     votes = F.coalesce(F.col("thumbs_up"), F.lit(0))
-    row = F.struct("review_id", "rating", "review", votes.alias("thumbs_up"))
-    best = themed.groupBy(*by).agg(F.min_by(row, F.struct(-votes, F.col("review_id"))).alias("best"))
-    return best.select(*by, "best.*")
+    rows = themed.select(*by, "review_id", "rating", "review", votes.alias("thumbs_up"))
+    return top_k(rows, by, [F.desc("thumbs_up"), F.asc("review_id")], 1)

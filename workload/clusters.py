@@ -1,5 +1,7 @@
 """Cluster queries."""
 
+from math import log
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -232,3 +234,39 @@ def _(spark, sf):
 def _(spark, sf):
     best = clusters.representative_reviews_v2(clusters.complaint_themes(clustered(spark, sf)))
     return best.drop("at", "text", "highlights")
+
+
+def _examples_sql(k, size, minimum):
+    return f"""{CLUSTERED_SQL},
+  large AS (SELECT app_id FROM clustered GROUP BY 1 HAVING count(*) >= {minimum})
+  SELECT app_id, cluster_id, CAST(row_number() OVER (PARTITION BY app_id, cluster_id ORDER BY thumbs_up DESC, review_id) AS INTEGER) AS rank,
+    review_id, rating, thumbs_up AS votes, {clip('review', size)} AS text
+  FROM clustered SEMI JOIN large USING (app_id) QUALIFY rank <= {k}"""
+
+
+@query("complaint_cluster_examples", _examples_sql(2, 150, 0))
+def _(spark, sf):
+    """The two most voted reviews of each complaint cluster (K8)."""
+    return clusters.top_cluster_reviews(clustered(spark, sf), k=2, size=150)
+
+
+@query("negative_cluster_examples", _examples_sql(3, 200, 3))
+def _(spark, sf):
+    """The three most voted reviews of each negative cluster, of apps with three negatives or more (K9)."""
+    return clusters.top_cluster_reviews(clustered(spark, sf), k=3, size=200, minimum=3)
+
+
+@query("tfidf_vocabulary", documents=True, sql=f"""
+  d AS (SELECT review_id, 1 AS g, lower(review) AS t FROM docs),
+  {grams_sql('d', 'g', 1, 1, WORD)}, n AS (SELECT count(*) AS n FROM d),
+  counted AS (SELECT phrase AS term, count(*) AS tf, count(DISTINCT review_id) AS df FROM grams GROUP BY 1)
+  SELECT term, tf, df, ln((1 + n) / (1 + df)) + 1 AS weight FROM counted, n WHERE df >= 2 AND df <= 0.8 * n
+  ORDER BY tf DESC, term LIMIT 200""")
+def _(spark, sf):
+    """The terms and weights that K1 builds its features from (a top list)."""
+    from revaxis.functions.text import ngrams, without_stopwords, word_tokens
+
+    grams = document_reviews(spark, sf).withColumn("g", ngrams(without_stopwords(word_tokens("review"), STOPWORDS), 1, 1))
+    chosen, total = clusters.tfidf_vocabulary(grams, "g", 200, 2, 0.8)
+    rows = [(row["term"], row["tf"], row["df"], log((1 + total) / (1 + row["df"])) + 1) for row in chosen]
+    return spark.createDataFrame(rows, "term string, tf bigint, df bigint, weight double")
