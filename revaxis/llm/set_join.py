@@ -169,7 +169,8 @@ def _sets_of(docs: DataFrame, listed: DataFrame, n: int) -> DataFrame:
     wanted = listed.select(F.col("doc_id").alias("wanted")).distinct()
     wanted = F.broadcast(wanted) if listed.count() <= BROADCAST_NODES else wanted
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    read = texts.select(sets(F.col("text")).alias("set")).select("set.*")
+    # Said to be non-deterministic, so that no filter moves its evaluation before the join.
+    read = texts.select(sets.asNondeterministic()(F.col("text")).alias("set")).select("set.*")
     # Rows that share an id may bring a set twice; one is enough.
     return read.join(listed.select("node", "sig"), "sig").drop("sig").dropDuplicates(["node"])
 
