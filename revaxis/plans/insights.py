@@ -21,8 +21,11 @@ from ..operators.classify import (
 from ..operators.clusters import (
     cluster_coverage,
     complaint_cluster_report,
+    complaint_text_clusters,
     critical_user_complaints,
+    key_themes,
     negative_cluster_report,
+    topics,
 )
 from ..operators.common import share, top_k
 from ..operators.phrases import document_phrases
@@ -31,6 +34,7 @@ from ..operators.themes import critical_theme_phrases, critical_themes, tech_sum
 from ..rules import DEFAULT_RULES
 from ..rules.advice import PRIORITY_ORDER, RECOMMENDATIONS, URGENCY_CAPS, URGENCY_VOLUME, URGENCY_WEIGHTS
 from ..schema import BY_APP
+from ..session import materialized
 from .statistics import rating_distribution, review_statistics, top_helpful
 
 
@@ -193,7 +197,7 @@ def executive_summary(
     )
 
 
-SECTIONS = ("statistics", "sentiment", "classification", "insights", "clusters")
+SECTIONS = ("statistics", "sentiment", "classification", "insights", "clusters", "topics")
 
 
 def analysis_meta(reviews: DataFrame, by: Sequence[str] = BY_APP) -> DataFrame:
@@ -213,19 +217,21 @@ def comprehensive_report(
 ) -> dict[str, DataFrame]:
     """All report sections by name (A10); sections left out cost nothing.
 
-    Sentiment and both category summaries feed several sections; cache ``reviews`` or
-    the summaries' outputs (they are small) if all sections are written.
+    Reviews are scored once into a table in the shared folder that all sections read, and
+    the category summaries, which feed several sections, are written once too. ``topics`` is
+    over all groups together and needs three valid texts, as ``operators.clusters.topics`` does.
     """
     include = set(include)
     unknown = include - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections {sorted(unknown)}; known: {SECTIONS}")
     report: dict[str, DataFrame] = {"meta": analysis_meta(reviews, by)}
-    scored = score_sentiment(reviews, lexicon)
+    scored = materialized(score_sentiment(reviews, lexicon))
+    reviews = scored.select(*reviews.columns)
     sentiments = sentiment_summary(scored, by)
-    by_issue = category_summary(reviews, rules, by)
-    by_sub = category_summary(reviews, rules, by, level="subcategory")
-    alerts = critical_alerts(reviews, rules, by, summary=by_issue)
+    if include & {"classification", "insights"}:
+        by_issue = materialized(category_summary(reviews, rules, by))
+        alerts = critical_alerts(reviews, rules, by, summary=by_issue)
     if "statistics" in include:
         report["review_statistics"] = review_statistics(reviews, by)
         report["rating_distribution"] = rating_distribution(reviews, by)
@@ -242,6 +248,7 @@ def comprehensive_report(
         tech = priority_issues(by_issue, "tech_issues", by)
         features = priority_issues(by_issue, FEATURES, by)
         critical = critical_complaint_summary(by_issue, by)
+        by_sub = materialized(category_summary(reviews, rules, by, level="subcategory"))
         urgency = urgency_score(by_sub, sentiments, by)
         themes = critical_themes(reviews, by)
         report |= {
@@ -269,5 +276,11 @@ def comprehensive_report(
             ),
             "cluster_coverage": cluster_coverage(negatives, by),
             "critical_user_complaints": critical_user_complaints(negative_reviews(scored, "any_signal"), by),
+            "text_clusters": complaint_cluster_report(
+                complaint_text_clusters(negative_reviews(scored, "rating_and_label"), 20, 2, 10, 5, 1000), by,
+                severity="confidence",
+            ),
         }
+    if "topics" in include:
+        report["key_themes"] = key_themes(topics(reviews).summary)
     return report
