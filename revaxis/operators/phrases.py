@@ -16,6 +16,8 @@ from .common import exact_sum, share, top_k
 
 TOKENS = {"alpha": alpha_tokens, "word": word_tokens}
 _PRUNING_SEEDS = 20
+# Pieces of text around a space reach so far; longer phrases are checked against the text.
+_REACH_BEFORE, _REACH_AFTER = 24, 80
 
 
 def phrase_array(
@@ -98,19 +100,32 @@ def containing_severity(
     there must contain the phrase. No cross join, and no copies of whole texts.
     """
     first_word = F.length(F.substring_index("phrase", " ", 1))
-    # One row: how far phrases reach to both sides of their first space.
-    reach = candidates.agg(
-        F.max(first_word).alias("before"), F.max(F.length("phrase") - first_word - 1).alias("after")
-    ).first()
-    before, after = max(reach.before or 2, 2), max(reach.after or 2, 2)
+    rest = F.length("phrase") - first_word - 1
+    # One row: how far phrases reach to both sides of their first space, within bounds.
+    reach = candidates.agg(F.max(first_word).alias("before"), F.max(rest).alias("after")).first()
+    before = min(max(reach.before or 2, 2), _REACH_BEFORE)
+    after = min(max(reach.after or 2, 2), _REACH_AFTER)
+    text = F.lower(F.col(text_column))
     windows = texts.select(
-        *by, id_column, "__severity",
-        F.explode(_boundary_windows(F.lower(F.col(text_column)), before, after)).alias("__window"),
+        *by, id_column, "__severity", F.xxhash64(text).alias("__text"),
+        F.explode(_boundary_windows(text, before, after)).alias("__window"),
     ).withColumn("__key", F.substring("__window", before - 1, 5))
-    keyed = candidates.select(*by, "phrase").withColumn(
-        "__key", F.regexp_extract("phrase", "^[a-z]*([a-z]{2} [a-z]{2})", 1)
+    start = F.greatest(first_word - before, F.lit(0)) + 1
+    end = first_word + 1 + F.least(rest, F.lit(after))
+    keyed = candidates.select(
+        *by, "phrase", F.regexp_extract("phrase", "^[a-z]*([a-z]{2} [a-z]{2})", 1).alias("__key"),
+        F.substring(F.col("phrase"), start, end - start + 1).alias("__piece"),
+        ((first_word > before) | (rest > after)).alias("__long"),
     )
-    pairs = windows.join(keyed, [*by, "__key"]).where(F.contains(F.col("__window"), F.col("phrase")))
+    pairs = windows.join(keyed, [*by, "__key"]).where(F.contains(F.col("__window"), F.col("__piece")))
+    kept = [*by, "phrase", id_column, "__severity"]
+    # Of a phrase beyond the bounds the piece is a part; the few texts with it are looked at.
+    whole = texts.select(*by, id_column, F.xxhash64(text).alias("__text"), text.alias("__whole"))
+    checked = (
+        pairs.where("__long").select(*kept, "__text").distinct().join(whole, [*by, id_column, "__text"])
+        .where(F.contains(F.col("__whole"), F.col("phrase"))).select(*kept)
+    )
+    pairs = pairs.where("not __long").select(*kept).unionByName(checked)
     # A text counts once, however often it holds the phrase.
     once = pairs.groupBy(*by, "phrase", id_column).agg(F.max("__severity").alias("__severity"))
     return once.groupBy(*by, "phrase").agg(

@@ -6,11 +6,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 
-def terms(text: str) -> tuple[str, ...]:
-    """``"a, b c, d"`` -> ``("a", "b c", "d")``."""
-    return tuple(part.strip() for part in text.split(",") if part.strip())
-
-
 @dataclass(frozen=True)
 class Category:
     """One classification rule: gate keywords plus ordered subcategories."""
@@ -41,8 +36,8 @@ def category(id, name, threshold, multiplier, keywords, **subcategories) -> Cate
     return Category(
         id,
         name,
-        terms(keywords),
-        {key: terms(value) for key, value in subcategories.items()},
+        keywords,
+        subcategories,
         threshold,
         multiplier,
     )

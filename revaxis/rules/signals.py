@@ -1,7 +1,5 @@
 """Regular expressions and word lists of the issue and business signals."""
 
-from .model import terms
-
 # Severity patterns per level, in the order ties are decided.
 SEVERITY_PATTERNS = {
     "critical": (
@@ -104,10 +102,10 @@ EMOTIONS = {
 
 # Competitors by category and the mention templates.
 COMPETITORS = {
-    "social_media": terms("instagram, facebook, twitter, tiktok, snapchat"),
-    "messaging": terms("whatsapp, telegram, signal, discord"),
-    "productivity": terms("notion, slack, teams, zoom, asana"),
-    "entertainment": terms("netflix, spotify, youtube, twitch"),
+    "social_media": ("instagram", "facebook", "twitter", "tiktok", "snapchat"),
+    "messaging": ("whatsapp", "telegram", "signal", "discord"),
+    "productivity": ("notion", "slack", "teams", "zoom", "asana"),
+    "entertainment": ("netflix", "spotify", "youtube", "twitch"),
 }
 MENTION_TEMPLATES = (
     "(better than {app}|{app} is better|compared to {app})",
@@ -117,10 +115,10 @@ MENTION_TEMPLATES = (
 
 # Comparison type by words, first match wins.
 COMPARISON_TYPES = (
-    ("competitor_advantage", terms("better, superior, prefer")),
-    ("our_advantage", terms("worse, not as good, inferior")),
-    ("feature_comparison", terms("like, similar, reminds")),
-    ("churn_signal", terms("switch, moving, leaving")),
+    ("competitor_advantage", ("better", "superior", "prefer")),
+    ("our_advantage", ("worse", "not as good", "inferior")),
+    ("feature_comparison", ("like", "similar", "reminds")),
+    ("churn_signal", ("switch", "moving", "leaving")),
 )
 
 # Pain point with suggested solution -> (pattern, last group).
@@ -132,17 +130,17 @@ SOLUTION_PATTERNS = (
 
 # Urgency by words, first match wins.
 URGENCY_WORDS = (
-    ("critical", terms("urgent, immediate, asap, critical, emergency")),
-    ("high", terms("important, serious, soon, really need")),
-    ("medium", terms("would like, hope, suggestion, nice to have")),
+    ("critical", ("urgent", "immediate", "asap", "critical", "emergency")),
+    ("high", ("important", "serious", "soon", "really need")),
+    ("medium", ("would like", "hope", "suggestion", "nice to have")),
 )
 
 # Aspects and their keywords.
 ASPECTS = {
-    "user_interface": terms("ui, interface, design, layout, look, appearance"),
-    "performance": terms("speed, fast, slow, lag, performance, responsive"),
-    "features": terms("feature, function, capability, tool, option"),
-    "customer_support": terms("support, help, customer service, assistance"),
-    "pricing": terms("price, cost, expensive, cheap, subscription, premium"),
-    "reliability": terms("reliable, stable, crash, bug, error, work"),
+    "user_interface": ("ui", "interface", "design", "layout", "look", "appearance"),
+    "performance": ("speed", "fast", "slow", "lag", "performance", "responsive"),
+    "features": ("feature", "function", "capability", "tool", "option"),
+    "customer_support": ("support", "help", "customer service", "assistance"),
+    "pricing": ("price", "cost", "expensive", "cheap", "subscription", "premium"),
+    "reliability": ("reliable", "stable", "crash", "bug", "error", "work"),
 }

@@ -1,53 +1,49 @@
 """Word lists used by the text, sentiment and classification functions."""
 
-from .model import terms
-
 # Stopwords used when the caller gives no list of their own.
-STOPWORDS = terms(
-    "the, a, an, and, or, but, in, on, at, to, for, of, with, by, "
-    "is, are, was, were, be, been, being, have, has, had, do, does, did, "
-    "will, would, could, should, may, might, must, shall, can, this, that, "
-    "these, those, i, you, he, she, it, we, they, me, him, her, us, "
-    "them, my, your, his, its, our, their"
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "this", "that", "these", "those", "i", "you", "he", "she",
+    "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their",
 )
 
 # Sentiment words of the keyword boost.
-POSITIVE_WORDS = terms(
-    "excellent, amazing, great, love, perfect, awesome, fantastic, brilliant, "
-    "wonderful, outstanding, superb, incredible, good, nice, helpful, useful, "
-    "easy, simple, fast, quick, smooth, reliable, stable, clean, beautiful"
+POSITIVE_WORDS = (
+    "excellent", "amazing", "great", "love", "perfect", "awesome", "fantastic", "brilliant", "wonderful",
+    "outstanding", "superb", "incredible", "good", "nice", "helpful", "useful", "easy", "simple", "fast",
+    "quick", "smooth", "reliable", "stable", "clean", "beautiful",
 )
-NEGATIVE_WORDS = terms(
-    "terrible, awful, horrible, hate, worst, bad, poor, useless, broken, "
-    "annoying, frustrating, disappointing, slow, laggy, buggy, crash, freeze, "
-    "confusing, difficult, hard, complicated, ugly, outdated, spam, ads"
+NEGATIVE_WORDS = (
+    "terrible", "awful", "horrible", "hate", "worst", "bad", "poor", "useless", "broken", "annoying",
+    "frustrating", "disappointing", "slow", "laggy", "buggy", "crash", "freeze", "confusing", "difficult",
+    "hard", "complicated", "ugly", "outdated", "spam", "ads",
 )
 
 # Negators and intensity words of the published VADER method
 # (a negator within three tokens scales a word's weight, an intensity word shifts it).
-NEGATORS = terms(
-    "not, no, never, none, nothing, nowhere, neither, nor, cannot, cant, can't, "
-    "dont, don't, doesnt, doesn't, didnt, didn't, isnt, isn't, wasnt, wasn't, "
-    "wont, won't, without, hardly, rarely"
+NEGATORS = (
+    "not", "no", "never", "none", "nothing", "nowhere", "neither", "nor", "cannot", "cant", "can't", "dont",
+    "don't", "doesnt", "doesn't", "didnt", "didn't", "isnt", "isn't", "wasnt", "wasn't", "wont", "won't",
+    "without", "hardly", "rarely",
 )
-BOOSTERS = terms("very, really, so, extremely, absolutely, completely, totally, incredibly")
-DAMPENERS = terms("slightly, somewhat, barely, partly, kinda, almost, occasionally")
+BOOSTERS = ("very", "really", "so", "extremely", "absolutely", "completely", "totally", "incredibly")
+DAMPENERS = ("slightly", "somewhat", "barely", "partly", "kinda", "almost", "occasionally")
 
 # Words that mark a general feature request.
-REQUEST_INDICATORS = terms(
-    "wish, want, need, should add, would be nice, please add, "
-    "hope, request, suggest, could you, feature request"
+REQUEST_INDICATORS = (
+    "wish", "want", "need", "should add", "would be nice", "please add", "hope", "request", "suggest",
+    "could you", "feature request",
 )
 
 # General terms of phrase highlighting.
-HIGHLIGHT_TERMS = terms("need, want, add, feature, would like, should have, missing, wish, hope")
+HIGHLIGHT_TERMS = ("need", "want", "add", "feature", "would like", "should have", "missing", "wish", "hope")
 
 # Words that make a sentence a complaint highlight.
-NEGATIVE_INDICATORS = terms(
-    "terrible, awful, horrible, worst, hate, broken, useless, "
-    "doesn't work, not working, can't, won't, never, always, "
-    "frustrated, disappointed, angry, annoyed"
+NEGATIVE_INDICATORS = (
+    "terrible", "awful", "horrible", "worst", "hate", "broken", "useless", "doesn't work", "not working",
+    "can't", "won't", "never", "always", "frustrated", "disappointed", "angry", "annoyed",
 )
 
 # Phrases never reported as key phrases.
-GENERIC_PHRASES = terms("app, good, bad, nice")
+GENERIC_PHRASES = ("app", "good", "bad", "nice")

@@ -166,13 +166,16 @@ def brute_phrases(data, k, max_df):
     return best
 
 
-def test_pruned_substring_phrases_equal_brute_force(spark):
+@pytest.mark.parametrize("reach", [(24, 80), (3, 5)])
+def test_pruned_substring_phrases_equal_brute_force(spark, monkeypatch, reach):
+    monkeypatch.setattr(phrases, "_REACH_BEFORE", reach[0])
+    monkeypatch.setattr(phrases, "_REACH_AFTER", reach[1])
     rng = np.random.default_rng(7)
     vocabulary = ["app", "crash", "login", "slow", "update", "screen", "pay", "refund", "smart", "art", "phone"]
     data = [
         (int(rng.integers(3)), " ".join(rng.choice(vocabulary, int(rng.integers(2, 9)))), float(rng.integers(1, 10)) / 10)
         for _ in range(120)
-    ] + [(9, "only one text here", 0.5)]
+    ] + [(9, "only one text here", 0.5), (8, "z" * 10_000 + " app crash", 0.4), (8, "app " + "z" * 10_000, 0.2)]
     df = spark.createDataFrame([(str(i), *row) for i, row in enumerate(data)], "review_id string, cluster_id int, review string, severity double")
     for max_df in (0.9, 1.0):
         got = phrases.cluster_phrases(df, ["cluster_id"], max_df=max_df, stopwords=())
@@ -272,7 +275,7 @@ def test_report_sections(spark):
     reviews = table_reviews(spark, SF_DIR)
     report = insights.comprehensive_report(reviews, include=("sentiment", "clusters"))
     assert set(report) == {"meta", "sentiment_summary", "sentiment_trends", "complaint_clusters", "negative_clusters",
-                           "cluster_coverage", "critical_user_complaints"}
+                           "cluster_coverage", "critical_user_complaints", "text_clusters"}
     assert report["meta"].count() > 0 and report["critical_user_complaints"].count() > 0
     with pytest.raises(ValueError):
         insights.comprehensive_report(reviews, include=("nothing",))
