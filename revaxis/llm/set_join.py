@@ -45,9 +45,9 @@ FREQUENT_COUNT = 4
 #: Frequent n-grams sent to all executors, 8 bytes each; others are ordered like rare ones.
 FREQUENT_GRAMS = 500_000
 #: Measure from which a set is described by its pivot.
-NEAR = Fraction(1, 2)
+NEAR = Fraction(1, 4)
 #: A set may join the cluster of a pivot that it meets in this share of its prefix.
-MET_SHARE = 0.3
+MET_SHARE = 0.08
 WORD_ENTRIES = 100_000
 # A node is the number of a row: its partition and its place, below 2 ** 57 in all.
 _NODE_BITS, _MOST_RARE = 57, 31
