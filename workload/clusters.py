@@ -270,3 +270,49 @@ def _(spark, sf):
     chosen, total = clusters.tfidf_vocabulary(grams, "g", 200, 2, 0.8)
     rows = [(row["term"], row["tf"], row["df"], log((1 + total) / (1 + row["df"])) + 1) for row in chosen]
     return spark.createDataFrame(rows, "term string, tf bigint, df bigint, weight double")
+
+
+_METHODS = ("ward", "bisecting", "kmeans")
+
+
+@query("cluster_facts", f"""
+  SELECT method, count(*) AS n_reviews, least(10, greatest(2, count(*) // 5)) AS k, CAST(0 AS BIGINT) AS unassigned,
+    false AS more_than_k
+  FROM reviews, (SELECT unnest([{', '.join(map(quoted, _METHODS))}]) AS method) WHERE rating <= 3 GROUP BY 1""")
+def _(spark, sf):
+    """What holds for any fitted model: every negative review has one of at most k clusters (K3, K7)."""
+    rows = negative_reviews(reviews(spark, sf), "rating")
+    facts = None
+    for method in _METHODS:
+        found = clusters.complaint_text_clusters(rows, 5, 2, 10, 2, 100, method=method)
+        k = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.count("*") / 5)))
+        fact = found.agg(
+            F.count("*").alias("n_reviews"), k.cast("bigint").alias("k"),
+            F.count_if(F.col("cluster_id").isNull()).alias("unassigned"),
+            (F.count_distinct("cluster_id") > k).alias("more_than_k"),
+        ).withColumn("method", F.lit(method))
+        facts = fact if facts is None else facts.unionByName(fact)
+    return facts
+
+
+@query("topic_facts", f"""
+  valid AS (SELECT count(*) AS n FROM reviews WHERE len(list_filter(string_split_regex(
+    trim(regexp_replace(regexp_replace(regexp_replace(t, 'http\\S+|www\\S+|\\S+@\\S+', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '\\s+', ' ', 'g')),
+    ' '), lambda w: w <> '')) > 3)
+  SELECT n AS total_texts, CAST(5 AS BIGINT) AS topics, n AS assigned, CAST(40 AS BIGINT) AS keywords FROM valid""")
+def _(spark, sf):
+    """Every valid text has one of five topics, each named by eight words (K1)."""
+    found = clusters.topics(reviews(spark, sf))
+    return found.summary.agg(
+        F.max("total_texts").cast("bigint").alias("total_texts"), F.count("*").alias("topics"),
+        F.sum("size").alias("assigned"), F.sum(F.size("keywords")).cast("bigint").alias("keywords"))
+
+
+@query("distance_cluster_facts", """
+  SELECT count(*) AS n, CAST(0 AS BIGINT) AS unassigned, false AS too_many FROM embeddings""", ctes=False)
+def _(spark, sf):
+    """Every vector has a cluster, and there are at most as many as centres (K7)."""
+    found = clusters.ward_clusters(table(spark, sf, "embeddings"), "embedding", threshold=2.5)
+    return found.agg(
+        F.count("*").alias("n"), F.count_if(F.col("cluster_id").isNull()).alias("unassigned"),
+        (F.count_distinct("cluster_id") > clusters.CENTRES).alias("too_many"))
