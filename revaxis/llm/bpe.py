@@ -17,11 +17,13 @@ met. A word is read forward through the table and its tokens are picked from the
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -104,6 +106,12 @@ class Automaton:
         self._empty_table()
         self._words = Words(self)
 
+    def close(self) -> None:
+        """Let go of the tables; the automaton can go on, with empty ones."""
+        self._empty_table()
+        self._words = Words(self)
+        self._closed = {}
+
     # --- the token automaton -------------------------------------------------
 
     def _gadgets(self, size: int, merges: list[tuple[int, int, int]]) -> None:
@@ -284,23 +292,23 @@ def _intervals(parents: list[int], rank: list[int], size: int):
     return place, after
 
 
-_LOADED: dict[int, Automaton] = {}
-
-
-def _automaton(vocabulary) -> Automaton:
-    """One automaton for each Python worker and vocabulary."""
-    key = vocabulary.value["key"]
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Automaton(vocabulary.value["json"])
-    return _LOADED[key]
+@contextmanager
+def _automaton(vocabulary):
+    """The automaton for one task. Workers live on, so its memory is given back at the end."""
+    loaded = [Automaton(vocabulary.value)]
+    try:
+        yield loaded[0]
+    finally:
+        loaded[0].close()
+        loaded.clear()
+        gc.collect()
 
 
 def _sent(spark, vocabulary_path: str):
     """The vocabulary, a file of fixed size on the driver, for all workers."""
     with open(vocabulary_path, encoding="utf-8") as file:
         content = file.read()
-    return spark.sparkContext.broadcast({"key": hash(content), "json": content})
+    return spark.sparkContext.broadcast(content)
 
 
 def bpe_codec(spark, vocabulary_path: str):
@@ -312,12 +320,12 @@ def bpe_codec(spark, vocabulary_path: str):
 
     @F.pandas_udf("n_tokens long, ids binary, decoded string")
     def codec(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(sent)
-        for texts in batches:
-            ids = [automaton.encode(t or "") for t in texts]
-            yield pd.DataFrame({
-                "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [automaton.decode(i) for i in ids],
-            })
+        with _automaton(sent) as automaton:
+            for texts in batches:
+                ids = [automaton.encode(t or "") for t in texts]
+                yield pd.DataFrame({
+                    "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [automaton.decode(i) for i in ids],
+                })
 
     return codec
 
@@ -341,9 +349,9 @@ def decode_documents(df: DataFrame, vocabulary_path: str, ids: str = "ids", into
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = _automaton(sent)
-        for packed in batches:
-            yield packed.map(lambda p: None if p is None else automaton.decode(p))
+        with _automaton(sent) as automaton:
+            for packed in batches:
+                yield packed.map(lambda p: None if p is None else automaton.decode(p))
 
     return df.withColumn(into, decoded(F.col(ids)))
 
