@@ -22,8 +22,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents of their source contain; no document goes."""
-    clean = site_lines.drop_boilerplate(docs, "source", "text")
+    """Texts without the lines that many documents of their source contain; no document goes.
+
+    Copies and near copies count as one document there: they are left to the next stage.
+    """
+    clean = site_lines.drop_boilerplate(docs, "source", "text", copies_once=True)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, free_name, written
+from .common import WHITESPACE, free_name, words_of, written
+from .components import connected_components
 
 RATIO = 0.02
 MIN_PAGES = 5
 #: Boilerplate hashes up to this number (8 bytes each) are sent to all executors; more are joined.
 BROADCAST_LINES = 250_000
+#: Near copies are compared by n-grams of so many words; up to so many pivots go to all executors.
+GRAM_WORDS, BROADCAST_PIVOTS = 5, 5_000
 
 
 def bare(line: Column) -> Column:
@@ -43,21 +46,18 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(bare(line))
 
 
-def boilerplate_lines(
-    pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
-) -> DataFrame:
-    """``(host, lines)``: for each host the sorted hashes of its boilerplate lines.
+def _page_lines(text: Column) -> Column:
+    """Hashes of the distinct lines of a page, sorted."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: bare(x) != "")
+    return F.sort_array(F.array_distinct(F.transform(lines, line_key)))
 
-    A host has less than (mean lines of its pages / ratio) of them, whatever its size.
-    """
+
+def _common_lines(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """``(host, lines)`` of boilerplate from the ``(host, lines)`` of pages."""
     counted = pages.select(
-        F.col(host).alias("host"),
-        F.explode(F.array_union(
-            F.array(F.lit(None).cast("long")),  # the page itself, which gives the host's total
-            F.transform(
-                F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: bare(x) != ""), line_key
-            ),
-        )).alias("line"),
+        "host",
+        # Null is the page itself, which gives the host's total.
+        F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("lines"))).alias("line"),
     ).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("line").isNull() | (F.col("n") >= min_pages))
     counted = written(counted, "lines")
     totals = counted.where(F.col("line").isNull()).select(F.col("host").alias("of"), F.col("n").alias("total"))
@@ -69,17 +69,87 @@ def boilerplate_lines(
     )
 
 
+def boilerplate_lines(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
+    """``(host, lines)``: for each host the sorted hashes of its boilerplate lines.
+
+    A host has less than (mean lines of its pages / ratio) of them, whatever its size. With
+    ``copies_once`` pages of the same lines count once, in lines and totals alike, and so do
+    near copies: pages with boilerplate whose word 5-grams have a Jaccard measure of 4/5.
+    """
+    texts = pages.select(F.col(host).alias("host"), F.col(text).alias("text"), _page_lines(F.col(text)).alias("lines"))
+    if not copies_once:
+        return written(_common_lines(texts, ratio, min_pages), "boilerplate")
+    pages = texts.select("host", "lines").distinct()
+    seen = found = written(_common_lines(pages, ratio, min_pages), "boilerplate")
+    # Totals shrink with copies, so lines of more copies may come above the ratio.
+    while not found.isEmpty():
+        copies = _near_copies(texts, seen).select(F.col("host").alias("of"), F.col("lines").alias("same"))
+        counted = pages.join(
+            copies, F.col("host").eqNullSafe(F.col("of")) & (F.col("lines") == F.col("same")), "left_anti")
+        found = written(_common_lines(counted, ratio, min_pages), "boilerplate")
+        both = written(found.union(seen).select("host", F.explode("lines").alias("line")).groupBy("host").agg(
+            F.sort_array(F.collect_set("line")).alias("lines")), "boilerplate")
+        sizes = [df.agg(F.sum(F.size("lines"))).first()[0] for df in (seen, both)]
+        if sizes[0] == sizes[1]:
+            break
+        seen = both
+    return found
+
+
+def _grams(df: DataFrame) -> DataFrame:
+    """Add ``grams``: hashes of the distinct word 5-grams of ``text``; a shorter text is one."""
+    df = df.withColumn("words", words_of(F.lower("text")))
+    size = F.size("words")
+    many = F.transform(F.sequence(F.lit(0), size - GRAM_WORDS), lambda i: F.xxhash64(
+        *(F.get(F.col("words"), i + k) for k in range(GRAM_WORDS))))
+    return df.withColumn("grams", F.array_distinct(
+        F.when(size >= GRAM_WORDS, many).otherwise(F.array(F.xxhash64("words"))))).drop("words")
+
+
+def _near_copies(texts: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(host, lines)`` of pages that hold lines of ``seen`` and copy another page: all of a class but one.
+
+    Each line has two pivots among its pages. Pages are compared with the pivots of their
+    lines, and classes are the connected components, so no pairs of a group are formed.
+    """
+    gone = seen.select(F.col("host").alias("of"), F.col("lines").alias("gone"))
+    suspects = texts.join(gone, F.col("host").eqNullSafe(F.col("of"))).where(F.arrays_overlap("lines", "gone"))
+    suspects = suspects.groupBy("host", "lines", "gone").agg(F.min("text").alias("text")).select(
+        "host", "lines", "text", F.monotonically_increasing_id().alias("page"),
+        F.transform(F.array_intersect("lines", "gone"), lambda x: F.xxhash64("host", x)).alias("common"))
+    suspects = written(suspects, "suspects")
+    lines = suspects.select("page", F.explode("common").alias("line"))
+    pivots = lines.groupBy("line").agg(F.array(F.min("page"), F.max("page")).alias("pivots")).select(
+        "line", F.explode("pivots").alias("pivot"))
+    pivots = written(pivots, "pivots")
+    met = lines.join(pivots, "line").where("page <> pivot").groupBy("page").agg(F.collect_set("pivot").alias("pivots"))
+    named = pivots.select("pivot").distinct()
+    side = _grams(suspects.join(named, F.col("page") == F.col("pivot")).select("pivot", "text")).select(
+        "pivot", F.col("grams").alias("others"))
+    side = F.broadcast(side) if named.count() <= BROADCAST_PIVOTS else side
+    compared = _grams(suspects.select("page", "text").join(met, "page")).select(
+        "page", "grams", F.explode("pivots").alias("pivot")).join(side, "pivot")
+    links = compared.where(
+        9 * F.size(F.array_intersect("grams", "others")) >= 4 * (F.size("grams") + F.size("others"))
+    ).select(F.col("page").alias("x"), F.col("pivot").alias("y"))
+    others = connected_components(links).where("node <> component").select(F.col("node").alias("page"))
+    return suspects.join(others, "page", "left_semi").select("host", "lines")
+
+
 def drop_boilerplate(
     pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    dropped: str | None = None,
+    dropped: str | None = None, copies_once: bool = False,
 ) -> DataFrame:
     """All rows and columns of ``pages``, with boilerplate lines gone from ``text``.
 
     A null text stays null; a page of boilerplate only becomes empty; pages without a host
-    are one site. Equal rows count as pages of their own. ``dropped`` names a column for the
-    number of lines that went.
+    are one site. Equal rows count as pages of their own, or once with near copies if
+    ``copies_once`` is set: a group of copies alone then loses no line. ``dropped`` names a
+    column for the number of lines that went.
     """
-    found = written(boilerplate_lines(pages, host, text, ratio, min_pages), "boilerplate")
+    found = boilerplate_lines(pages, host, text, ratio, min_pages, copies_once)
     size = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     site, gone = free_name(pages, "site"), free_name(pages, "gone")
     found = found.select(F.col("host").alias(site), F.col("lines").alias(gone))

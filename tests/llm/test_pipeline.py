@@ -91,3 +91,23 @@ def test_odd_documents(spark, tmp_path):
         docs.write.parquet(str(folder / "documents.parquet"))
         spark.createDataFrame([(3, 1, 0), (2, 0, 0)] if name == "some" else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
         assert corpus_pipeline.run(spark, str(folder)).count() >= (5 if name == "some" else 0)
+
+
+def test_a_group_of_copies_keeps_one_text(spark):
+    """Exact and near copies above 2 % of a source lose the source's boilerplate and nothing else."""
+    def body(name, lines=24):
+        return [" ".join(f"{name}w{i}x{k}" for k in range(12)) for i in range(lines)]
+
+    def near(i):
+        lines = body("near")
+        lines[i % 24] = lines[i % 24].replace("x5", f"edit{i}")
+        return lines
+
+    texts = [body(f"own{i}", 4) for i in range(200)] + [body("exact")] * 30 + [near(i) for i in range(30)]
+    texts = ["\n".join([*lines, "all rights reserved"]) for lines in texts]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    clean = corpus_pipeline.without_boilerplate(spark, docs, "")
+    rows = sorted(clean.collect())
+    assert [r["text"] for r in rows] == [t.removesuffix("\nall rights reserved") for t in texts]
+    clean = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    assert [r["doc_id"] for r in sorted(corpus_pipeline.distinct_documents(spark, clean, "").collect())] == [*range(201), 230]
