@@ -26,7 +26,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Copies and near copies count as one document there: they are left to the next stage.
     """
-    clean = site_lines.drop_boilerplate(docs, "source", "text", copies_once=True)
+    clean = site_lines.drop_boilerplate(docs, "source", "text", copies_once=True, small_hosts=True)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 

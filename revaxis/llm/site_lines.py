@@ -6,7 +6,7 @@ compared without white space around them; blank lines stay.
 
 Only built-in functions run. Lines travel as 64-bit hashes, one for each page and distinct
 line, and are counted before the shuffle, so a host with a third of all pages sends no more
-than others. Lines on fewer than ``min_pages`` pages go before anything is joined.
+than others. Lines on too few pages for any host go before anything is joined.
 """
 
 from __future__ import annotations
@@ -52,43 +52,48 @@ def _page_lines(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(lines, line_key)))
 
 
-def _common_lines(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+def _common_lines(pages: DataFrame, ratio: float, min_pages: int, small_hosts: bool) -> DataFrame:
     """``(host, lines)`` of boilerplate from the ``(host, lines)`` of pages."""
+    least = min(2, min_pages) if small_hosts else min_pages
     counted = pages.select(
         "host",
         # Null is the page itself, which gives the host's total.
         F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("lines"))).alias("line"),
-    ).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("line").isNull() | (F.col("n") >= min_pages))
+    ).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("line").isNull() | (F.col("n") >= least))
     counted = written(counted, "lines")
     totals = counted.where(F.col("line").isNull()).select(F.col("host").alias("of"), F.col("n").alias("total"))
+    floor = F.least(F.lit(min_pages), F.floor(F.col("total") / 2) + 1) if small_hosts else F.lit(min_pages)
     return (
         counted.where(F.col("line").isNotNull())
         .join(totals, F.col("host").eqNullSafe(F.col("of")))
-        .where(F.col("n") > F.lit(ratio) * F.col("total"))
+        .where((F.col("n") > F.lit(ratio) * F.col("total")) & (F.col("n") >= floor))
         .groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     )
 
 
 def boilerplate_lines(
-    pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies_once: bool = False, small_hosts: bool = False,
 ) -> DataFrame:
     """``(host, lines)``: for each host the sorted hashes of its boilerplate lines.
 
     A host has less than (mean lines of its pages / ratio) of them, whatever its size. With
     ``copies_once`` pages of the same lines count once, in lines and totals alike, and so do
     near copies: pages with boilerplate whose word 5-grams have a Jaccard measure of 4/5.
+    With ``small_hosts`` a host too small for ``min_pages`` to be at most half of its pages has
+    lines on more than half of them, and on two at least, as boilerplate.
     """
     texts = pages.select(F.col(host).alias("host"), F.col(text).alias("text"), _page_lines(F.col(text)).alias("lines"))
     if not copies_once:
-        return written(_common_lines(texts, ratio, min_pages), "boilerplate")
+        return written(_common_lines(texts, ratio, min_pages, small_hosts), "boilerplate")
     pages = texts.select("host", "lines").distinct()
-    seen = found = written(_common_lines(pages, ratio, min_pages), "boilerplate")
+    seen = found = written(_common_lines(pages, ratio, min_pages, small_hosts), "boilerplate")
     # Totals shrink with copies, so lines of more copies may come above the ratio.
     while not found.isEmpty():
         copies = _near_copies(texts, seen).select(F.col("host").alias("of"), F.col("lines").alias("same"))
         counted = pages.join(
             copies, F.col("host").eqNullSafe(F.col("of")) & (F.col("lines") == F.col("same")), "left_anti")
-        found = written(_common_lines(counted, ratio, min_pages), "boilerplate")
+        found = written(_common_lines(counted, ratio, min_pages, small_hosts), "boilerplate")
         both = written(found.union(seen).select("host", F.explode("lines").alias("line")).groupBy("host").agg(
             F.sort_array(F.collect_set("line")).alias("lines")), "boilerplate")
         sizes = [df.agg(F.sum(F.size("lines"))).first()[0] for df in (seen, both)]
@@ -140,16 +145,17 @@ def _near_copies(texts: DataFrame, seen: DataFrame) -> DataFrame:
 
 def drop_boilerplate(
     pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    dropped: str | None = None, copies_once: bool = False,
+    dropped: str | None = None, copies_once: bool = False, small_hosts: bool = False,
 ) -> DataFrame:
     """All rows and columns of ``pages``, with boilerplate lines gone from ``text``.
 
     A null text stays null; a page of boilerplate only becomes empty; pages without a host
     are one site. Equal rows count as pages of their own, or once with near copies if
-    ``copies_once`` is set: a group of copies alone then loses no line. ``dropped`` names a
-    column for the number of lines that went.
+    ``copies_once`` is set: a group of copies alone then loses no line. With ``small_hosts`` hosts
+    of few pages lose the lines on more than half of them. ``dropped`` names a column for the
+    number of lines that went.
     """
-    found = boilerplate_lines(pages, host, text, ratio, min_pages, copies_once)
+    found = boilerplate_lines(pages, host, text, ratio, min_pages, copies_once, small_hosts)
     size = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     site, gone = free_name(pages, "site"), free_name(pages, "gone")
     found = found.select(F.col("host").alias(site), F.col("lines").alias(gone))

@@ -157,5 +157,13 @@ def test_lines_against_brute_force(spark, monkeypatch, limit):
     assert site_lines.drop_boilerplate(docs.limit(0), "host", "text").count() == 0
 
 
+def test_small_hosts_lose_lines_of_most_pages(spark):
+    pages = [(1, 1), (2, 2), (2, 1), (4, 3), (4, 2), (9, 5), (9, 4), (40, 5), (40, 4), (300, 7), (300, 6)]
+    rows = [(f"{total}-{n}", f"own {i}\nfoot" if i < n else f"own {i}") for total, n in pages for i in range(total)]
+    docs = spark.createDataFrame(rows, "host string, text string")
+    out = site_lines.drop_boilerplate(docs, "host", "text", dropped="gone", small_hosts=True).where("gone > 0")
+    assert Counter(r["host"] for r in out.collect()) == {"2-2": 2, "4-3": 3, "9-5": 5, "40-5": 5, "300-7": 7}
+
+
 def test_op6_has_sql_twin():
     assert "op6_site_lines" in ORACLES
