@@ -1,6 +1,7 @@
 """Quality rules: a decision list learnt by sequential covering, run as Spark conditions.
 
-Statistics of labelled texts are cut at quantiles and counted by cell and label. Rules for
+Statistics of labelled texts are cut at quantiles (of all texts, of those that are not 0 there,
+and of bad ones) and counted by cell and label. Rules for
 bad texts are then learnt one after the other: a conjunction of thresholds is grown by
 information gain on two thirds of the labelled rows, pruned on the other third, and the
 rows it covers are taken out. The list becomes one ordered ``CASE WHEN``.
@@ -224,12 +225,19 @@ def learn_rules(
     found = written(text_statistics(labelled).select(
         "_label", "statistics", (F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(3)) == 0).alias("_held")), "statistics")
     share = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
-    row = found.agg(*(F.percentile_approx(F.col("statistics")[i], share, 10_000) for i in range(len(STATISTICS)))).first()
-    cuts = [sorted(set(values or [])) for values in row]
+
+    def cuts_of(value: Column) -> list[Column]:
+        """Of all rows, of those that are not 0, which may be few, and of bad ones."""
+        some, bad = F.when(value != 0, value), F.when(F.col("_label") == 0, value)
+        return [*(F.percentile_approx(v, share, 10_000) for v in (value, some, bad)), F.array_compact(F.array(F.min(some)))]
+
+    row = found.agg(*(F.array_distinct(F.concat(*(
+        F.coalesce(c, F.array().cast("array<double>")) for c in cuts_of(F.col("statistics")[i])))) for i in range(len(STATISTICS)))).first()
+    cuts = [sorted(set(values)) for values in row]
     if not any(cuts):
         return RuleList(())
     bins = [
-        sum((F.when(F.col("statistics")[i] >= F.lit(c), 1).otherwise(0) for c in values), F.lit(0)).cast("int").alias(f"b{i}")
+        F.size(F.filter(F.array(*map(F.lit, values)), lambda c: c <= F.col("statistics")[i])).alias(f"b{i}")  # noqa: B023
         for i, values in enumerate(cuts)
     ]
     cells = found.select("_label", "_held", *bins).groupBy("_held", *(f"b{i}" for i in range(len(cuts)))).agg(

@@ -58,6 +58,15 @@ def test_covering_finds_a_conjunction():
     assert "otherwise keep" in str(found)
 
 
+def test_a_rare_kind_of_bad_text_gets_a_rule(spark):
+    """1 % of the labelled rows, told by a statistic that is 0 everywhere else."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + ("!" if i % 100 == 0 else "."), int(i % 100 != 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    rules = rule_list.learn_rules(docs, docs)
+    kept = {r["doc_id"] for r in rule_list.judge(docs, rules).collect() if r["kept"]}
+    assert kept == {i for i, _, quality in rows if quality}
+
+
 def test_op3(spark):
     sf_dir = "/root/testdata/sf0.1"
     df = QUERIES["op3_rule_list"](spark, sf_dir)
