@@ -9,11 +9,14 @@ import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, code_search, mixing, pairwise_quality, pii, preferences, rule_list, set_join, site_lines, token_rollup
-from .common import shared_folder, word_count, written
+from . import (
+    bpe, code_search, hard_negatives, mixing, pairwise_quality, pii, preferences, rule_list, runs, set_join, simhash, site_lines,
+    token_rollup,
+)
+from .common import shared_folder, word_count, words_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +237,62 @@ FROM shown
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen, rejected = preferences.swapped_replies(table(spark, sf_dir, "conversations"))
     return preferences.format_preferences(chosen, rejected)
+
+
+@query("op11_kruskal_runs")
+def op11_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents; of a tenth of them, picked by a hash, the words repeat from some place on."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    group = F.floor(code / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.greatest(F.size(words), F.lit(1))
+        start = F.pmod(group, n).cast("int")
+        period = F.floor((n - start) / (3 + F.pmod(group, F.lit(8)))).cast("int") + 1
+        turns = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))
+        return F.slice(F.concat(F.slice(words, 1, start), turns), 1, n)
+
+    # Bound to a name, so that the words are found once a text.
+    words = F.transform(F.array(words_of(F.col("text"))), lambda w: F.when(F.pmod(code, F.lit(10)) == 0, repeated(w)).otherwise(w))[0]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("text"))
+    found = runs.find_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        (r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+HARD_NEGATIVES_SQL = """
+WITH taken AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM taken a JOIN taken r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op13_simhash_grid")
+def op13_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -14,6 +14,11 @@ from revaxis.llm.queries import QUERIES
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@pytest.fixture
+def sf_dir():
+    return "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def automaton():
     with open(PATH, encoding="utf-8") as file:

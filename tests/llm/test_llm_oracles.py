@@ -7,6 +7,11 @@ from check_oracles import TABLES, compare
 from revaxis.llm.queries import ORACLES, QUERIES
 
 
+@pytest.fixture
+def sf_dir():
+    return "/root/testdata/sf0.001"
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sf_dir, name):
     connection = duckdb.connect()

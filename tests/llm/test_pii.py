@@ -18,6 +18,11 @@ PLAIN = {
 }
 
 
+@pytest.fixture
+def sf_dir():
+    return "/root/testdata/sf0.001"
+
+
 def plain_spans(text):
     out = []
     for number, (kind, pattern) in enumerate(PLAIN.items()):
