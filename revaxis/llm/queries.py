@@ -32,12 +32,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-#: Rows in each batch sent to Python: texts are long, and a worker holds one batch at a time.
-BATCH_ROWS = "1000"
+#: Rows and bytes in each batch sent to Python: texts are long, and a worker holds one batch at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

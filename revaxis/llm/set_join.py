@@ -16,10 +16,12 @@ link between different sets is missed, and no group is expanded into all its pai
    can only link if both link to the pivot, which adds nothing to the component. So only
    sets that do not link to the pivot look for others, through lists of A, or through lists of
    L for sets that lack more than they add.
-5. Between clusters the index lists are read by blocks: a list whose sets are all in one
-   cluster is skipped, and so are entries whose sizes differ too much. Two sets are compared
-   only if the part of the prefixes that they share and what stands behind it can
-   reach the intersection that is needed.
+5. Between clusters the index lists are read by blocks of like sizes: a list whose sets are all
+   in one cluster is skipped, and so are blocks and entries whose sizes differ too much. An n-gram
+   at places i and j of two sets leaves room for ``min(i, j)`` common ones before it and for
+   the shorter rest behind it: entries whose places cannot reach the intersection that is needed are
+   skipped too. Two sets are compared only if the part of the prefixes that they share and
+   what stands behind it can reach it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -51,8 +54,8 @@ MET_SHARE = 0.08
 WORD_ENTRIES = 100_000
 # A node is the number of a row: its partition and its place, below 2 ** 57 in all.
 _NODE_BITS, _MOST_RARE = 57, 31
-#: Nodes up to this number (8 bytes each) are sent to all executors; more are joined.
-BROADCAST_NODES = 1_000_000
+#: Nodes up to so many bytes are sent to all executors, at the size they have in a hash table; more are joined.
+BROADCAST_BYTES, NODE_BYTES = 16 << 20, 64
 
 
 class WordHashes(dict):
@@ -109,6 +112,13 @@ def _needed(threshold: Fraction, a: Column, b: Column) -> Column:
     return F.floor((F.lit(p) * (a + b) + F.lit(p + q - 1)) / F.lit(p + q))
 
 
+def _band(threshold: Fraction, size: Column) -> Column:
+    """A block of sizes; those of linked sets are the same or next to each other."""
+    step = log(threshold.denominator / threshold.numerator) if threshold < 1 else 1.0
+    # A little less than the quotient, so that rounding cannot put linked sets two blocks apart.
+    return F.floor(F.log(size.cast("double")) * F.lit((1 - 1e-9) / step)).cast("int")
+
+
 def _token_lists(texts: Column, n: int) -> Column:
     @F.pandas_udf("array<long>")
     def lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -116,7 +126,7 @@ def _token_lists(texts: Column, n: int) -> Column:
         for batch in batches:
             yield batch.map(lambda t: grams(t, n, hashes))
 
-    return lists(texts)
+    return lists.asNondeterministic()(texts)
 
 
 def frequent_grams(docs: DataFrame, text: str, n: int) -> np.ndarray:
@@ -131,7 +141,7 @@ def frequent_grams(docs: DataFrame, text: str, n: int) -> np.ndarray:
         part.select(F.explode(_token_lists(F.col(text), n)).alias("gram")).groupBy("gram").count()
         .where(F.col("count") >= FREQUENT_COUNT).orderBy(F.desc("count"), "gram").limit(FREQUENT_GRAMS)
     )
-    return np.sort(np.array([r[0] for r in counted.select("gram").collect()], np.int64))
+    return np.sort(counted.select("gram").toPandas()["gram"].to_numpy(np.int64))
 
 
 def _described(docs: DataFrame, n: int, threshold: Fraction, frequent) -> DataFrame:
@@ -157,22 +167,13 @@ def _signature(tokens: np.ndarray) -> bytes:
     return hashlib.md5(tokens.tobytes()).digest()
 
 
-def _sets_of(docs: DataFrame, listed: DataFrame, n: int) -> DataFrame:
-    """``(node, tokens)`` of the listed ``(node, doc_id, sig)``, from the texts once more."""
-    @F.pandas_udf("sig binary, tokens array<long>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            found = [grams(text, n, hashes) for text in batch]
-            yield pd.DataFrame({"sig": [_signature(t) for t in found], "tokens": found})
-
-    wanted = listed.select(F.col("doc_id").alias("wanted")).distinct()
-    wanted = F.broadcast(wanted) if listed.count() <= BROADCAST_NODES else wanted
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The ``wanted`` rows, which have a column ``node``, with the n-grams of their texts, read once more."""
+    wanted = F.broadcast(wanted) if wanted.count() * NODE_BYTES <= BROADCAST_BYTES else wanted
+    found = docs.select("text", F.col("row").alias("node")).join(wanted, "node")
     # Said to be non-deterministic, so that no filter moves its evaluation before the join.
-    read = texts.select(sets.asNondeterministic()(F.col("text")).alias("set")).select("set.*")
-    # Rows that share an id may bring a set twice; one is enough.
-    return read.join(listed.select("node", "sig"), "sig").drop("sig").dropDuplicates(["node"])
+    lists = _token_lists(F.col("text"), n)
+    return found.select(*wanted.columns, lists.alias("tokens"))
 
 
 def _pair_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,25 +183,9 @@ def _pair_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y")
 
 
-def _relation(x: Column, y: Column) -> Column:
-    """What x lacks and adds against y, and the size of the intersection."""
-    @F.pandas_udf("shared int, lacks array<long>, adds array<long>")
-    def relation(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(xs, ys):
-            both = np.intersect1d(a, b, assume_unique=True)
-            out.append((len(both), np.setdiff1d(b, both, True), np.setdiff1d(a, both, True)))
-        return pd.DataFrame(out, columns=["shared", "lacks", "adds"])
-
-    return relation(x, y)
-
-
-def _shared(x: Column, y: Column) -> Column:
-    @F.pandas_udf("int")
-    def shared(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(xs, ys)], dtype="int32")
-
-    return shared(x, y)
+def _shared(x: str, y: str) -> Column:
+    """Size of the intersection; sets are compared in the JVM, so no pair of them is sent to Python."""
+    return F.size(F.array_intersect(x, y))
 
 
 def near_duplicates(
@@ -218,27 +203,28 @@ def near_duplicates(
     spark = docs.sparkSession
     number = F.col(row) if row else F.monotonically_increasing_id()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), number.alias("row"))
+    # Texts are read again by their rows, whose numbers must be the same then.
+    docs = docs if row else written(docs, "numbered")
     frequent = spark.sparkContext.broadcast(frequent_grams(docs, "text", n))
     rows = written(_described(docs, n, threshold, frequent), "sets")
-    docs = docs.drop("row")
     # A node is a distinct set, named by its row of the smallest id.
     nodes = written(
         rows.where("size > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
         .select("sig", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id")), "nodes")
     named = nodes.select(F.col("node").alias("row"))
-    named = F.broadcast(named) if nodes.count() <= BROADCAST_NODES else named
+    named = F.broadcast(named) if nodes.count() * NODE_BYTES <= BROADCAST_BYTES else named
     entries = rows.join(named, "row", "left_semi").select(
-        F.col("row").alias("node"), "size", "rare", F.explode("prefix").alias("gram"))
+        F.col("row").alias("node"), "size", "rare", F.posexplode("prefix").alias("at", "gram"))
     # The fewest infrequent n-grams first, then the smallest node, as one number.
     rank = F.shiftleft(F.least(F.col("rare"), F.lit(_MOST_RARE)).cast("long"), _NODE_BITS).bitwiseOR(F.col("node"))
     pivots = (
         entries.groupBy("gram").agg(F.count("*").alias("n"), F.min(rank).alias("rank")).where("n > 1")
         .select("gram", F.col("rank").bitwiseAND(F.lit((1 << _NODE_BITS) - 1)).alias("pivot"))
     )
-    lists = written(entries.drop("rare", "at").join(pivots, "gram"), "lists")
-    members, sets = _clusters(docs, lists, nodes, n, threshold)
+    lists = written(entries.drop("rare").join(pivots, "gram"), "lists")
+    members, sets = _clusters(docs, lists, n, threshold)
     edges = members.where("linked").select(F.col("node").alias("x"), F.col("root").alias("y"))
-    edges = edges.union(_inner_links(members, threshold)).union(_outer_links(docs, lists, members, nodes, sets, n, threshold))
+    edges = edges.union(_inner_links(members, threshold)).union(_outer_links(docs, lists, members, sets, n, threshold))
     labels = connected_components(edges)
     labelled = written(nodes.join(labels, "node", "left").select(
         "sig", "node", "doc_id", F.coalesce("component", "node").alias("component")), "labels")
@@ -253,7 +239,7 @@ def near_duplicates(
     )
 
 
-def _clusters(docs, lists, nodes, n, threshold) -> tuple[DataFrame, DataFrame]:
+def _clusters(docs, lists, n, threshold) -> tuple[DataFrame, DataFrame]:
     """Members of clusters by what they lack and add against the pivot; the sets read for that."""
     met = (
         lists.where("node <> pivot")
@@ -266,15 +252,18 @@ def _clusters(docs, lists, nodes, n, threshold) -> tuple[DataFrame, DataFrame]:
         up = met.select(F.col("node").alias("pivot"), F.col("pivot").alias("above"))
         met = met.join(up, "pivot", "left").select("node", F.coalesce("above", "pivot").alias("pivot"))
     met = written(met.where("node <> pivot"), "roots")
-    involved = met.select("node").union(met.select(F.col("pivot").alias("node"))).distinct()
-    sets = written(_sets_of(docs, nodes.join(involved, "node"), n), "tokens")
-    pairs = _pair_sets(met.select(F.col("node").alias("x"), F.col("pivot").alias("y")), sets)
+    # A pivot stands for itself; a set has one pivot, so its n-grams are sent to it once.
+    involved = met.select("node", F.col("pivot").alias("root")).union(met.select("pivot", F.col("pivot").alias("root")).distinct())
+    sets = written(_sets_of(docs, involved, n), "tokens")
+    own = sets.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"), F.col("tokens").alias("x_tokens"))
+    pairs = own.join(sets.where("node = root").select(F.col("node").alias("y"), F.col("tokens").alias("y_tokens")), "y")
     size, root_size = F.size("x_tokens"), F.size("y_tokens")
-    members = pairs.withColumn("r", _relation(F.col("x_tokens"), F.col("y_tokens"))).select(
+    members = pairs.select(
         F.col("x").alias("node"), F.col("y").alias("root"), size.alias("size"), root_size.alias("root_size"),
-        F.col("r.shared").alias("shared"), F.col("r.lacks").alias("lacks"), F.col("r.adds").alias("adds"),
-    ).where(F.col("shared") >= _needed(NEAR, F.col("size"), F.col("root_size"))).withColumn(
-        "linked", F.col("shared") >= _needed(threshold, F.col("size"), F.col("root_size")))
+        F.array_except("y_tokens", "x_tokens").alias("lacks"), F.array_except("x_tokens", "y_tokens").alias("adds"),
+    ).withColumn("shared", F.col("size") - F.size("adds")).where(
+        F.col("shared") >= _needed(NEAR, F.col("size"), F.col("root_size"))
+    ).withColumn("linked", F.col("shared") >= _needed(threshold, F.col("size"), F.col("root_size")))
     return written(members, "members"), sets
 
 
@@ -319,7 +308,7 @@ def _inner_links(members: DataFrame, threshold: Fraction) -> DataFrame:
         F.col("x_node").alias("x"), F.col("y_node").alias("y"))
 
 
-def _outer_links(docs, lists, members, nodes, sets, n, threshold) -> DataFrame:
+def _outer_links(docs, lists, members, sets, n, threshold) -> DataFrame:
     """Links between sets of different clusters, from the index lists.
 
     Of x and y take the one whose prefix ends first in the common order. What it shares with
@@ -328,26 +317,30 @@ def _outer_links(docs, lists, members, nodes, sets, n, threshold) -> DataFrame:
     """
     p, q = threshold.numerator, threshold.denominator
     roots = members.select("node", "root")
-    own = lists.select("gram", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = written(own, "placed")
+    own = lists.select("gram", "node", "size", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = written(own.withColumn("band", _band(threshold, F.col("size"))), "placed")
     mixed = own.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
         "low < high").select("gram")
     own = own.join(mixed, "gram")
-    other = own.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root")))
+    # A list is cut into blocks by size; a block meets itself and the next one.
+    other = own.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "at", "root")), F.col("band").alias("o_band"))
+    own = own.withColumn("o_band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     size, o_size = F.col("size"), F.col("o_size")
-    met = own.join(other, "gram").where(
-        (F.col("root") < F.col("o_root")) & (F.lit(q) * size >= F.lit(p) * o_size) & (F.lit(q) * o_size >= F.lit(p) * size)
-    ).groupBy("node", "o_node").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("o_size").alias("o_size"))
+    apart = F.when(F.col("band") == F.col("o_band"), F.col("root") < F.col("o_root")).otherwise(F.col("root") != F.col("o_root"))
+    near = (F.lit(q) * size >= F.lit(p) * o_size) & (F.lit(q) * o_size >= F.lit(p) * size)
+    # What stands before and behind the n-gram in either set bounds the intersection.
+    reach = F.least("at", "o_at") + F.least(size - F.col("at"), o_size - F.col("o_at"))
+    met = own.join(other, ["gram", "o_band"]).where(apart & near & (reach >= _needed(threshold, size, o_size))).groupBy(
+        "node", "o_node").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("o_size").alias("o_size"))
     behind = F.greatest(size - _prefix(threshold, size), o_size - _prefix(threshold, o_size))
     pairs = written(met.where(F.col("n") + behind >= _needed(threshold, size, o_size)).select(
         F.col("node").alias("x"), F.col("o_node").alias("y")), "pairs")
     involved = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
     missing = involved.join(sets.select("node"), "node", "left_anti")
-    more = sets.unionByName(written(_sets_of(docs, nodes.join(missing, "node"), n), "tokens"))
+    more = sets.drop("root").unionByName(written(_sets_of(docs, missing, n), "tokens"))
     compared = _pair_sets(pairs, more)
-    shared = _shared(F.col("x_tokens"), F.col("y_tokens"))
     return compared.where(
-        F.lit(p + q) * shared >= F.lit(p) * (F.size("x_tokens") + F.size("y_tokens"))).select("x", "y")
+        F.lit(p + q) * _shared("x_tokens", "y_tokens") >= F.lit(p) * (F.size("x_tokens") + F.size("y_tokens"))).select("x", "y")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **join) -> DataFrame:

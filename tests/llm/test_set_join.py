@@ -72,7 +72,7 @@ def families(seed, sizes, edits, words=60):
 def test_against_all_pairs(spark, monkeypatch, seed, n, threshold, edits):
     monkeypatch.setattr(set_join, "FREQUENT_COUNT", 3)
     if seed == 2:
-        monkeypatch.setattr(set_join, "BROADCAST_NODES", 0)
+        monkeypatch.setattr(set_join, "BROADCAST_BYTES", 0)
     texts = families(seed, [60, 25, 12, 5, 5, 2, 2, 1, 1, 1, 1], edits)
     texts += [texts[0].upper(), texts[3] + " \n", "a", "A", "b c", "", None, " \t"]
     rows = [(i * 3 + 1, t, "x", 9) for i, t in enumerate(texts)]
