@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is found once a row however often ``body`` names it.
+
+    A column of a projection is copied to where filters and functions over arrays use it, and
+    then found again for every use; a variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 

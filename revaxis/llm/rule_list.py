@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, free_name, sampled, words_of, written
+from .common import WHITESPACE, bound, free_name, sampled, words_of, written
 
 #: Labelled rows that rules are learnt from, at most (about).
 TRAINING_ROWS = 20_000
@@ -51,60 +51,100 @@ def _next_equal(sorted_array: Column, key) -> Column:
     return F.filter(sorted_array, same)
 
 
-def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and ``statistics``.
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "statistics")
+
+
+def _repeated_words(words: Column) -> Column:
+    """How many words are in windows of three words that a text holds twice or more.
 
-    Null counts as a text without words. Windows of three words are first compared by a part
-    of their hash, packed with their place into one number and sorted; those that agree are
-    compared as words, so the count is exact. Columns of ``docs`` of the same names are replaced.
+    Windows are first compared by a part of their hash, packed with their place into one number
+    and sorted; those that agree are compared as words, so the count is exact.
     """
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "statistics")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added))
-    n = {k: free_name(docs, f"rule_{k}") for k in ("text", "words", "keys", "near", "exact", "places", "lines")}
-    col = {k: F.col(v) for k, v in n.items()}
     mask = (1 << _PLACE_BITS) - 1
 
     def window(i: Column) -> list[Column]:
-        return [F.get(col["words"], (i + k).cast("int")) for k in range(WINDOW_WORDS)]
+        return [F.get(words, (i + k).cast("int")) for k in range(WINDOW_WORDS)]
 
     def hashed(i: Column) -> Column:
         return F.shiftleft(F.xxhash64(*window(i)), _PLACE_BITS).bitwiseOR(i.cast("long"))
 
-    size = F.size(col["words"])
-    none = F.array().cast("array<long>")
-    keys = F.when(size >= WINDOW_WORDS, F.sort_array(F.transform(F.sequence(F.lit(0), size - WINDOW_WORDS), hashed))).otherwise(none)
-    df = docs.withColumn(n["text"], F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn(n["words"], words_of(col["text"])).withColumn(
-        n["lines"], F.filter(F.split(col["text"], "\n"), lambda x: F.translate(x, WHITESPACE, "") != ""))
-    df = df.withColumn(n["keys"], keys)
-    df = df.withColumn(n["near"], _next_equal(col["keys"], lambda x: F.shiftright(x, _PLACE_BITS)))
-    spelt = F.transform(col["near"], lambda x: F.struct(
-        F.concat_ws(" ", *window(x.bitwiseAND(F.lit(mask)))).alias("k"), x.bitwiseAND(F.lit(mask)).alias("p")))
-    df = df.withColumn(n["exact"], F.sort_array(spelt))
-    df = df.withColumn(n["places"], F.sort_array(F.transform(_next_equal(col["exact"], lambda x: x["k"]), lambda x: x["p"])))
-    covered = F.transform(
-        col["places"], lambda p, i: F.least(F.lit(WINDOW_WORDS), F.coalesce(F.get(col["places"], i + 1) - p, F.lit(WINDOW_WORDS))))
-    chars = _without(col["text"], WHITESPACE)
-    symbols = F.length(col["text"]) - _without(col["text"], SYMBOLS)
-    repeats = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    dups = F.size(col["lines"]) - F.size(F.array_distinct(col["lines"]))
-    upper = F.length(col["text"]) - _without(col["text"], UPPER)
-    marks = F.length(col["text"]) - _without(col["text"], MARKS)
-    distinct = F.size(F.array_distinct(col["words"]))
-    df = df.withColumns({
-        "n_words": size.cast("long"), "word_chars": chars.cast("long"), "n_symbols": symbols.cast("long"),
-        "n_dup_lines": dups.cast("long"), "n_repeat_words": repeats,
-    }).withColumn("statistics", F.array(*(F.round(v, 6) for v in (
-        F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-        F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)),
-        F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-        F.col("n_dup_lines") / F.greatest(F.size(col["lines"]), F.lit(1)),
-        upper / F.greatest(F.col("word_chars"), F.lit(1)),
-        marks / F.greatest(F.col("n_words"), F.lit(1)),
-        distinct / F.greatest(F.col("n_words"), F.lit(1)),
-        F.col("n_words").cast("double"),
-    ))))
-    return df.drop(*n.values())
+    def spelt(keys: Column) -> Column:
+        near = _next_equal(keys, lambda x: F.shiftright(x, _PLACE_BITS))
+        return F.sort_array(F.transform(near, lambda x: F.struct(
+            F.concat_ws(" ", *window(x.bitwiseAND(F.lit(mask)))).alias("k"), x.bitwiseAND(F.lit(mask)).alias("p"))))
+
+    def places(found: Column) -> Column:
+        return F.sort_array(F.transform(_next_equal(found, lambda x: x["k"]), lambda x: x["p"]))
+
+    def covered(places: Column) -> Column:
+        width = F.lit(WINDOW_WORDS).cast("long")
+        parts = F.transform(places, lambda p, i: F.least(width, F.coalesce(F.get(places, i + 1) - p, width)))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    size = F.size(words)
+    keys = F.when(size >= WINDOW_WORDS, F.sort_array(F.transform(F.sequence(F.lit(0), size - WINDOW_WORDS), hashed))).otherwise(
+        F.array().cast("array<long>"))
+    return bound(keys, lambda k: bound(spelt(k), lambda e: bound(places(e), covered)))
+
+
+def _counts(text: Column) -> Column:
+    """The counts of a text that is bound to a name."""
+    def counted(words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            _without(text, WHITESPACE).cast("long").alias("word_chars"),
+            (F.length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeated_words(words).alias("n_repeat_words"),
+            F.size(lines).alias("n_lines"),
+            (F.length(text) - _without(text, UPPER)).alias("upper"),
+            (F.length(text) - _without(text, MARKS)).alias("marks"),
+            F.size(F.array_distinct(words)).alias("distinct"),
+        )
+
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, WHITESPACE, "") != "")
+    return bound(words_of(text), lambda w: bound(lines, lambda n: counted(w, n)))
+
+
+def _statistics(c: Column) -> Column:
+    words = F.greatest(c["n_words"], F.lit(1))
+    return F.array(*(F.round(v, 6) for v in (
+        c["word_chars"] / words,
+        c["n_symbols"] / words,
+        c["n_repeat_words"] / words,
+        c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)),
+        c["upper"] / F.greatest(c["word_chars"], F.lit(1)),
+        c["marks"] / words,
+        c["distinct"] / words,
+        c["n_words"].cast("double"),
+    )))
+
+
+def _with_figures(docs: DataFrame, text: str, names: tuple[str, ...], figures) -> DataFrame:
+    """Add the columns ``names`` from one struct; ``figures`` makes it of a text's counts and statistics.
+
+    All is one expression with bound names. A filter on any of the columns is moved below this
+    projection, and takes a copy of the expression with it: it is found once more a row, not
+    once more for each name in it.
+    """
+    found = free_name(docs, "rule_figures")
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    whole = bound(F.coalesce(F.col(f"`{text}`"), F.lit("")), lambda t: bound(
+        _counts(t), lambda c: bound(_statistics(c), lambda s: figures(c, s))))
+    return docs.select(*others, whole.alias(found)).select(*others, *(F.col(f"{found}.{name}").alias(name) for name in names))
+
+
+def _listed(c: Column, s: Column) -> list[Column]:
+    return [*(c[name].alias(name) for name in FIELDS[:-1]), s.alias("statistics")]
+
+
+def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and ``statistics``.
+
+    Null counts as a text without words. Columns of ``docs`` of the same names are replaced; an
+    empty table gives an empty table.
+    """
+    return _with_figures(docs, text, FIELDS, lambda c, s: F.struct(*_listed(c, s)))
 
 
 @dataclass(frozen=True)
@@ -249,13 +289,17 @@ def learn_rules(
     return learn_list(every.take(~held), every.take(held), cuts)
 
 
-def base_failed() -> Column:
+def base_failed(counts: Column) -> Column:
     """Too short, or more than half of the words in repeated windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
 def judge(docs: DataFrame, rules: RuleList, text: str = "text") -> DataFrame:
-    """All rows with their statistics, ``base_failed`` and ``kept``."""
-    found = text_statistics(docs, text)
-    return found.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & rules.kept(F.col("statistics")))
+    """All rows with their statistics, ``base_failed`` and ``kept``, which replace columns of these names.
+
+    A null text is a text without words and fails; repeated rows and an empty table stay so.
+    """
+    def figures(c: Column, s: Column) -> Column:
+        return F.struct(*_listed(c, s), base_failed(c).alias("base_failed"), (~base_failed(c) & rules.kept(s)).alias("kept"))
+
+    return _with_figures(docs, text, (*FIELDS, "base_failed", "kept"), figures)

@@ -40,6 +40,23 @@ def test_counts(spark):
     assert rule_list.judge(docs.limit(0), rule_list.RuleList(())).count() == 0
 
 
+def test_filters_joins_and_sums_on_the_result(spark):
+    """A condition on a column of the result finds the text's figures once more, not once for every word."""
+    words = [" ".join(f"w{i}x{k % (30 + i)}" for k in range(4000)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string")
+    rules = rule_list.RuleList(((rule_list.Condition(2, True, 0.2), rule_list.Condition(0, False, 9.0)), (rule_list.Condition(6, True, 0.99),)))
+    out = rule_list.judge(docs, rules)
+    rows = out.collect()
+    for test in ("kept", "not base_failed", "n_repeat_words > 5 and statistics[0] > 1"):
+        found = out.where(test)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 16
+        assert sorted(r["doc_id"] for r in found.select("doc_id").collect()) == sorted(
+            r["doc_id"] for r in spark.createDataFrame(rows).where(test).collect())
+    ids = spark.range(0, 80, 2).withColumnRenamed("id", "doc_id")
+    assert out.where("not kept").join(ids, "doc_id").groupBy("base_failed").count().agg({"count": "sum"}).first()[0] == sum(
+        not r["kept"] and r["doc_id"] % 2 == 0 for r in rows)
+
+
 def test_rules_from_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, 0), (1, None)], "doc_id long, quality int")
