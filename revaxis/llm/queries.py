@@ -86,7 +86,7 @@ per_host AS (SELECT host, count(*) AS total FROM numbered GROUP BY host),
 counted AS (SELECT host, line, count(DISTINCT r) AS n FROM trimmed WHERE line <> '' GROUP BY host, line),
 boilerplate AS (
   SELECT c.host, c.line FROM counted c JOIN per_host p ON c.host IS NOT DISTINCT FROM p.host
-  WHERE n >= {site_lines.MIN_PAGES} AND n > {site_lines.RATIO} * total),
+  WHERE n >= least({site_lines.MIN_PAGES}, total // 2 + 1) AND n >= 2 AND n > {site_lines.RATIO} * total),
 marked AS (
   SELECT t.*, b.line IS NOT NULL AS gone
   FROM trimmed t LEFT JOIN boilerplate b ON t.host IS NOT DISTINCT FROM b.host AND t.line = b.line),
@@ -103,7 +103,7 @@ FROM numbered JOIN cleaned c USING (r)
 def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         "page_id", site_lines.host_of(F.col("url")).alias("host"), site_lines.page_lines(F.col("html")).alias("text"))
-    return site_lines.drop_boilerplate(pages, "host", "text", dropped="n_dropped").select(
+    return site_lines.drop_boilerplate(pages, "host", "text", dropped="n_dropped", small_hosts=True).select(
         "page_id", "host", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
