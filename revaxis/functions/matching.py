@@ -42,13 +42,12 @@ def sql_literal(value) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-# A word's border, spelled out: what \\b means for accented letters differs between JDKs.
-_BORDER = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
-
-
 def sql_pattern(pattern: str) -> str:
-    """A pattern of the rules as a literal: borders for all letters, and only \\n ends a line."""
-    return sql_literal("(?d)" + pattern.replace(r"\b", _BORDER))
+    """A pattern of the rules as a literal: classes and borders for all letters, and only \\n ends a line.
+
+    Without the flag U, what \\b means for accented letters differs between JDKs.
+    """
+    return sql_literal("(?dU)" + pattern)
 
 
 def sql_array(terms: Iterable[str]) -> str:

@@ -63,7 +63,8 @@ def tfidf_features(
     Weights are ``tf * (ln((1 + n) / (1 + df)) + 1)``.
     """
     kept = without_stopwords(word_tokens(text_column), stopwords)
-    grams = texts.withColumn("__grams", ngrams(kept, 1, n_max))
+    # Vocabulary and features are both built from these; written, the text work is done once.
+    grams = materialized(texts.withColumn("__grams", ngrams(kept, 1, n_max)))
     chosen, total = tfidf_vocabulary(grams, "__grams", vocabulary, min_df, max_df)
     names = [row["term"] for row in chosen]
     if not names:
@@ -122,7 +123,8 @@ def topics(
     Texts of more than three cleaned words take part; fewer than three is an error. Only
     the vocabulary and the centres (k x ``vocabulary`` numbers) reach the driver.
     """
-    cleaned = texts.withColumn("__clean", clean_text(text_column)).where(word_count("__clean") > 3)
+    # Written first: a filter on the clean text would clean every text again.
+    cleaned = materialized(texts.select(id_column, clean_text(text_column).alias("__clean"))).where(word_count("__clean") > 3)
     if cleaned.limit(3).count() < 3:
         raise ValueError("not enough valid texts for topics (at least 3)")
     features, names = tfidf_features(
@@ -422,10 +424,15 @@ def complaint_cluster_report(
 
 def negative_cluster_report(
     clustered: DataFrame, by: Sequence[str] = BY_APP, cluster: str = "cluster_id",
-    severity: Column | str = "confidence", phrases: DataFrame | None = None,
+    severity: Column | str = "confidence", phrases: DataFrame | None = None, minimum: int = 0,
 ) -> DataFrame:
-    """Negative clusters of at least two reviews with label, concern and criticality (K9)."""
+    """Negative clusters of at least two reviews with label, concern and criticality (K9).
+
+    Groups with fewer than ``minimum`` reviews are left out.
+    """
     figures = _cluster_figures(clustered, by, cluster, F.abs(as_column(severity)), 2)
+    if minimum:
+        figures = figures.where(F.col("negative_reviews") >= minimum)
     helpful = top_cluster_reviews(clustered, by, cluster, 1, None).select(
         *by, cluster, F.struct("review_id", F.col("text").alias("review")).alias("__helpful"), F.col("votes").alias("most_votes"))
     # One row per cluster on both sides.

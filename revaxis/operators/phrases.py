@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import as_column
+from ..functions.matching import as_column, let
 from ..functions.text import alpha_tokens, counted_items, ngrams, without_stopwords, word_tokens
 from ..rules.words import GENERIC_PHRASES, STOPWORDS
 from ..schema import BY_APP
@@ -15,7 +17,6 @@ from ..session import materialized
 from .common import exact_sum, share, top_k
 
 TOKENS = {"alpha": alpha_tokens, "word": word_tokens}
-_PRUNING_SEEDS = 20
 # Pieces of text around a space reach so far; longer phrases are checked against the text.
 _REACH_BEFORE, _REACH_AFTER = 24, 80
 
@@ -27,10 +28,25 @@ def phrase_array(
     return ngrams(without_stopwords(TOKENS[tokens](text), stopwords), n_min, n_max)
 
 
-def _phrase_rows(texts, keep, grams):
-    """Rows ``keep + (phrase, tf)``, one per text and distinct phrase."""
-    counted = texts.select(*keep, F.explode(counted_items(grams)).alias("__gram"))
-    return counted.select(*keep, F.col("__gram.phrase").alias("phrase"), F.col("__gram.tf").alias("tf"))
+_GRAM = "array<struct<phrase:string,tf:bigint,verbatim:boolean>>"
+
+
+def _phrase_rows(texts, keep, grams, text_column=None, with_text=False):
+    """Rows ``keep + (phrase, tf, verbatim)``, one per text and distinct phrase.
+
+    ``verbatim`` tells whether the phrase stands so in the text of ``text_column``, and is null
+    without one. ``with_text`` adds a row with a null phrase for the text itself.
+    """
+    def marked(text):
+        return F.transform(counted_items(grams), lambda item: F.struct(
+            item["phrase"].alias("phrase"), item["tf"].cast("long").alias("tf"),
+            (F.contains(text, item["phrase"]) if text_column else F.lit(None).cast("boolean")).alias("verbatim")))
+
+    items = let(F.lower(F.col(text_column)), marked) if text_column else marked(None)
+    items = F.coalesce(items, F.array().cast(_GRAM))
+    if with_text:
+        items = F.concat(F.array(F.lit(None)).cast(_GRAM), items)
+    return texts.select(*keep, F.explode(items).alias("__gram")).select(*keep, "__gram.*")
 
 
 def ngram_counts(
@@ -45,27 +61,36 @@ def ngram_counts(
     tokens: str = "alpha",
     text_column: str = "review",
     severity: Column | str | None = None,
+    verbatim: bool = False,
 ) -> DataFrame:
     """Frequency and document frequency of n-grams per group (G1).
 
     ``min_df`` is a number of texts, ``max_df`` a share of them, ``max_features`` keeps
     the most frequent phrases of a group. With ``severity`` the mean over the texts
-    holding the phrase is added. One shuffle with map-side combine.
+    holding the phrase is added, and the group's least and largest; with ``verbatim`` whether one
+    of the texts has the phrase as it stands. Texts are read once: a row with a null phrase
+    counts each text, so that one shuffle with map-side combine gives the totals too.
     """
     keep = list(by)
     if severity is not None:
         texts = texts.withColumn("__severity", as_column(severity))
         keep.append("__severity")
-    rows = _phrase_rows(texts, keep, phrase_array(text_column, n_min, n_max, stopwords, tokens))
-    figures = [F.sum("tf").alias("frequency"), F.count("*").alias("doc_count")]
-    whole = [F.count("*").alias("total_docs")]
+    grams = phrase_array(text_column, n_min, n_max, stopwords, tokens)
+    rows = _phrase_rows(texts, keep, grams, text_column if verbatim else None, with_text=True)
+    figures = [F.sum("tf").alias("frequency"), F.count("*").alias("doc_count"), F.bool_or(F.col("phrase").isNull()).alias("__whole")]
+    whole = [F.col("doc_count").alias("total_docs")]
     if severity is not None:
-        figures.append(exact_sum("__severity").alias("__points"))
-        whole.append(F.max("__severity").alias("max_severity"))
+        figures += [exact_sum("__severity").alias("__points"), F.min("__severity").alias("min_severity"), F.max("__severity").alias("max_severity")]
+        whole += [F.col("min_severity"), F.col("max_severity")]
+    if verbatim:
+        figures.append(F.bool_or("verbatim").alias("verbatim"))
     counted = rows.groupBy(*by, "phrase").agg(*figures)
-    # Totals are joined, not taken from a window: a group may have any number of phrases,
-    # and a window would gather them in one task.
-    spread = counted.join(texts.groupBy(*by).agg(*whole), list(by))
+    # Totals are joined, not taken from a window: a group may have any number of phrases, and a
+    # window would gather them in one task. Both sides ask for an aggregate's flag and not for
+    # its key, which would be moved below the shuffle, and so read the same shuffle.
+    totals = counted.where("__whole").select(*(F.col(c).alias(f"__{c}") for c in by), *whole)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    spread = counted.where("not __whole").drop("min_severity", "max_severity").join(totals, same).drop(*(f"__{c}" for c in by))
     # A limit by share says nothing about a single text.
     frequent = (F.col("total_docs") < 2) | (F.col("doc_count") <= F.col("total_docs") * max_df)
     kept = spread.where((F.col("doc_count") >= min_df) & frequent)
@@ -73,7 +98,8 @@ def ngram_counts(
         kept = top_k(kept, by, [F.desc("frequency"), F.asc("phrase")], max_features)
     if severity is not None:
         kept = kept.withColumn("avg_severity", F.col("__points") / F.col("doc_count"))
-    extra = ["avg_severity", "max_severity"] if severity is not None else []
+    extra = ["avg_severity", "min_severity", "max_severity"] if severity is not None else []
+    extra += ["verbatim"] if verbatim else []
     return kept.select(*by, "phrase", "frequency", "doc_count", "total_docs", *extra)
 
 
@@ -155,7 +181,8 @@ def cluster_phrases(
     size = F.abs(F.coalesce(as_column(severity), F.lit(0.5)))
     texts = texts.withColumn("__severity", size)
     counted = ngram_counts(
-        texts, by, n_min, n_max, stopwords, max_df=max_df, severity="__severity", text_column=text_column
+        texts, by, n_min, n_max, stopwords, max_df=max_df, severity="__severity", text_column=text_column,
+        verbatim=match == "substring",
     )
     if match == "token":
         scored = counted
@@ -175,26 +202,22 @@ def cluster_phrases(
 def _substring_scores(texts, counted, by, k, text_column, id_column):
     """Severity over containing texts for every phrase that can still reach the top ``k``.
 
-    The score of a phrase is at most frequency x the cluster's highest severity. The most
-    frequent phrases are scored first; their k-th score is a floor, and phrases whose
-    bound stays below it are dropped. Nothing that could rank is lost. The phrase counts
-    and the few candidates are written out: both are read more than once.
+    The score of a phrase is at most frequency x the cluster's highest severity, and, if a text
+    has it as it stands, at least frequency x the lowest. The k-th of those lowest scores is a
+    floor, and phrases whose bound stays below it are dropped, so texts and phrases are
+    joined once. Nothing that could rank is lost. The phrase counts and the few candidates are
+    written out: both are read more than once.
     """
     counted = materialized(counted)
     narrow = texts.select(*by, id_column, "__severity", text_column)
-    seeds = top_k(counted, by, [F.desc("frequency"), F.asc("phrase")], _PRUNING_SEEDS)
-    seeded = (
-        containing_severity(narrow, seeds, by, text_column, id_column)
-        .join(seeds.select(*by, "phrase", "frequency"), [*by, "phrase"])
-        .withColumn("__score", F.col("frequency") * F.col("avg_severity"))
-    )
-    kth = top_k(seeded, by, [F.desc("__score"), F.asc("phrase")], k, rank="__at").where(F.col("__at") == k)
+    sure = counted.where("verbatim").withColumn("__score", F.col("frequency") * F.col("min_severity"))
+    kth = top_k(sure, by, [F.desc("__score"), F.asc("phrase")], k, rank="__at").where(F.col("__at") == k)
     floor = kth.select(*by, F.col("__score").alias("__floor"))
     bounded = counted.join(floor, list(by), "left").where(
         F.col("__floor").isNull()
         | (F.col("frequency") * F.col("max_severity") >= F.col("__floor") * (1 - 1e-9))
     )
-    candidates = materialized(bounded.drop("avg_severity", "max_severity", "__floor"))
+    candidates = materialized(bounded.drop("avg_severity", "min_severity", "max_severity", "verbatim", "__floor"))
     scores = containing_severity(narrow, candidates, by, text_column, id_column)
     return candidates.join(scores, [*by, "phrase"])
 
@@ -211,10 +234,9 @@ def simple_cluster_phrases(
     """Phrases with stopwords kept, scored by severity (G4); ``max_features`` keeps the most frequent ones."""
     size = F.abs(F.coalesce(as_column(severity), F.lit(0.5)))
     texts = texts.withColumn("__severity", size)
-    counted = materialized(ngram_counts(texts, by, 2, 4, (), max_features=max_features, text_column=text_column))
-    narrow = texts.select(*by, id_column, "__severity", text_column)
-    matched = containing_severity(narrow, counted, by, text_column, id_column)
-    scored = counted.join(matched, [*by, "phrase"]).withColumn(
+    counted = ngram_counts(
+        texts, by, 2, 4, (), max_features=max_features, text_column=text_column, severity="__severity", verbatim=True)
+    scored = _substring_scores(texts, counted, by, k, text_column, id_column).withColumn(
         "combined_score", F.col("frequency") * F.col("avg_severity")
     )
     best = top_k(scored, by, [F.desc("combined_score"), F.asc("phrase")], k, rank="rank")
@@ -288,7 +310,7 @@ def key_phrases(
     grams = phrase_array(text_column, 1, n_max, stopwords)
     wanted = F.filter(grams, lambda p: (F.length(p) > 2) & ~p.isin(*ignored))
     keep = list(dict.fromkeys([*by, id_column]))
-    counts = _phrase_rows(texts, keep, wanted)
+    counts = _phrase_rows(texts, keep, wanted).drop("verbatim")
     frequencies = counts.groupBy(*by, "phrase").agg(F.count("*").alias("df"))
     weights = frequencies.join(texts.groupBy(*by).agg(F.count("*").alias("n")), list(by)).select(
         *by, "phrase", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf")

@@ -87,6 +87,8 @@ def lexicon_sentiment(
 
 
 _DECIMAL = "decimal(20, 9)"
+#: Parts that the rows of a popular text are dealt to.
+_SALTS = 8
 
 
 def _hit_values(lists, hit: str = "") -> dict[str, str]:
@@ -109,24 +111,25 @@ def _hit_values(lists, hit: str = "") -> dict[str, str]:
 def _joined_sums(reviews, terms, lists, text_column):
     """Sums over a text's lexicon words, attached to every row with that text.
 
-    Texts are known by two hashes. A text that stands in several rows brings the same hits
-    several times; its hits are a set, so each position counts once.
+    Only distinct texts meet the lexicon, so a popular text is one row there. They are known by
+    96 bits of hashes, which no two of a hundred billion texts are likely to share. On the way back
+    a text's sums go to ``_SALTS`` places, and its rows are dealt to them by their other columns.
     """
+    def key(text):
+        return F.struct(F.xxhash64(text), F.hash(text))
+
     text = F.col(text_column)
-    keyed = reviews.withColumn("__key", F.struct(F.xxhash64(text), F.hash(text)))
-    tokens = keyed.select("__key", F.explode(_tokens_in_context(text)).alias("t")).select("__key", "t.*")
+    texts = reviews.select(text.alias("__text")).where(text.isNotNull()).distinct()
+    tokens = texts.select(key(F.col("__text")).alias("__key"), F.explode(_tokens_in_context(F.col("__text"))).alias("t")).select("__key", "t.*")
     hits = tokens.join(terms, "token")
-    figures = F.struct("at", *[F.expr(value).alias(name) for name, value in _hit_values(lists).items()])
-    # Bounded by the words of one text.
-    found = hits.groupBy("__key").agg(F.collect_set(figures).alias("__hits"))
-
-    def total(name):
-        values = F.transform("__hits", lambda hit: hit[name])
-        zero = F.lit(0).cast(_DECIMAL)
-        return F.aggregate(values, zero, lambda a, b: (a + b).cast(_DECIMAL)).cast("double").alias(f"__{name}")
-
-    sums = found.select("__key", *[total(name) for name in ("w", "pol", "subj")], F.size("__hits").alias("__n"))
-    return keyed.join(sums, "__key", "left").drop("__key")
+    values = {name: F.expr(value) for name, value in _hit_values(lists).items()}
+    sums = hits.groupBy("__key").agg(
+        *[F.sum(value).cast(_DECIMAL).cast("double").alias(f"__{name}") for name, value in values.items()],
+        F.count("*").cast("int").alias("__n"))
+    plain = [F.col(f"`{c}`") for c, kind in reviews.dtypes if not kind.startswith(("map", "variant"))]
+    salted = reviews.withColumn("__key", key(text)).withColumn("__salt", F.pmod(F.hash(*plain), F.lit(_SALTS)))
+    sums = sums.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(sums, ["__key", "__salt"], "left").drop("__key", "__salt")
 
 
 def hybrid_sentiment(scored: DataFrame, text_column: str = "review") -> DataFrame:

@@ -21,11 +21,8 @@ from ..operators.classify import (
 from ..operators.clusters import (
     cluster_coverage,
     complaint_cluster_report,
-    complaint_text_clusters,
     critical_user_complaints,
-    key_themes,
     negative_cluster_report,
-    topics,
 )
 from ..operators.common import share, top_k
 from ..operators.phrases import document_phrases
@@ -218,8 +215,8 @@ def comprehensive_report(
     """All report sections by name (A10); sections left out cost nothing.
 
     Reviews are scored once into a table in the shared folder that all sections read, and
-    the category summaries, which feed several sections, are written once too. ``topics`` is
-    over all groups together and needs three valid texts, as ``operators.clusters.topics`` does.
+    the category summaries, which feed several sections, are written once too. Topics and text
+    clusters are models of each group for itself; groups of too few texts have none.
     """
     include = set(include)
     unknown = include - set(SECTIONS)
@@ -271,16 +268,18 @@ def comprehensive_report(
         keys = [*by, "cluster_id"]
         report |= {
             "complaint_clusters": complaint_cluster_report(negatives, by, severity="confidence"),
+            "complaint_cluster_reviews": top_cluster_reviews(negatives, by, k=2),
             "negative_clusters": negative_cluster_report(
-                negatives, by, phrases=document_phrases(negatives, keys)
+                negatives, by, phrases=document_phrases(negatives, keys), minimum=3
             ),
+            "negative_cluster_reviews": top_cluster_reviews(negatives, by, k=3, size=200, minimum=3),
             "cluster_coverage": cluster_coverage(negatives, by),
             "critical_user_complaints": critical_user_complaints(negative_reviews(scored, "any_signal"), by),
             "text_clusters": complaint_cluster_report(
-                complaint_text_clusters(negative_reviews(scored, "rating_and_label"), 20, 2, 10, 5, 1000), by,
+                group_text_clusters(negative_reviews(scored, "rating_and_label"), by, 20, 2, 10, 5, 1000), by,
                 severity="confidence",
             ),
         }
     if "topics" in include:
-        report["key_themes"] = key_themes(topics(reviews).summary)
+        report["key_themes"] = group_key_themes(group_topics(reviews, by)[0], by)
     return report

@@ -5,7 +5,7 @@ from math import log
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from revaxis.operators import clusters
+from revaxis.operators import clusters, grouped, similarity
 from revaxis.operators.classify import negative_reviews
 from revaxis.operators.phrases import document_phrases
 from revaxis.rules.themes import CLUSTER_LABELS, PHRASE_THEMES, THEME_NAME_TERMS, WEIGHTED_THEME_TERMS
@@ -316,3 +316,79 @@ def _(spark, sf):
     return found.agg(
         F.count("*").alias("n"), F.count_if(F.col("cluster_id").isNull()).alias("unassigned"),
         (F.count_distinct("cluster_id") > clusters.CENTRES).alias("too_many"))
+
+
+@query("linked_clusters", """
+  WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) < 1.1::DOUBLE),
+  reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+  SELECT cluster_id, count(*) AS n FROM (SELECT x, min(y) AS cluster_id FROM reach GROUP BY 1) GROUP BY 1""", ctes=False)
+def _(spark, sf):
+    """Components of vectors closer than a threshold, by a similarity join; any number of clusters (K7)."""
+    found = similarity.linked_clusters(table(spark, sf, "embeddings"), 1.1)
+    return found.groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+_TERMS, _SEEDS = 60, 4
+
+
+@query("group_topic_round", documents=True, sql=f"""
+  d AS (SELECT review_id, app_id, lower(review) AS t FROM docs),
+  {grams_sql('d', 'app_id', 1, 2, WORD)}, totals AS (SELECT app_id, count(*) AS n FROM d GROUP BY 1),
+  counted AS (SELECT app_id, phrase, count(*) AS tf, count(DISTINCT review_id) AS df FROM grams GROUP BY 1, 2),
+  vocabulary AS (SELECT app_id, phrase, ln((1 + n) / (1 + df)) + 1 AS idf FROM counted JOIN totals USING (app_id)
+    WHERE df >= 2 AND df <= 0.8 * n QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY tf DESC, phrase) <= {_TERMS}),
+  raw AS (SELECT app_id, review_id, phrase, count(*) * any_value(idf) AS w FROM grams JOIN vocabulary USING (app_id, phrase) GROUP BY ALL),
+  features AS (SELECT app_id, review_id, phrase, w / sqrt(sum(w * w) OVER (PARTITION BY app_id, review_id)) AS w FROM raw),
+  seeds AS (SELECT app_id, review_id AS seed, row_number() OVER (PARTITION BY app_id ORDER BY md5(review_id)) - 1 AS centre FROM d
+    QUALIFY centre < {_SEEDS}),
+  squares AS (SELECT s.*, coalesce(sum(w * w), 0) AS square FROM seeds s LEFT JOIN features f ON f.review_id = s.seed GROUP BY ALL),
+  dots AS (SELECT a.review_id, s.seed, sum(a.w * b.w) AS dot FROM seeds s JOIN features b ON b.review_id = s.seed
+    JOIN features a ON a.app_id = b.app_id AND a.phrase = b.phrase GROUP BY ALL),
+  nearest AS (SELECT d.app_id, d.review_id, arg_min(centre, (round(square - 2 * coalesce(dot, 0), 9), centre)) AS topic_id
+    FROM d JOIN squares s ON s.app_id = d.app_id LEFT JOIN dots x ON x.review_id = d.review_id AND x.seed = s.seed GROUP BY ALL)
+  SELECT app_id, CAST(topic_id AS INTEGER) AS topic_id, count(*) AS n FROM nearest GROUP BY ALL""")
+def _(spark, sf):
+    """One round of the k-means of all apps: every text goes to the nearest of its app's seeds (K1, K7)."""
+    by = ["app_id"]
+    features, _ = grouped.group_features(document_reviews(spark, sf), by, vocabulary=_TERMS, n_max=2, min_df=2, max_df=0.8)
+    seeds = grouped.seed_centres(features, by, F.lit(_SEEDS), "review_id", _TERMS)
+    near = grouped.nearest_centres(features, seeds, by)
+    return near.groupBy("app_id", F.col("centre").alias("topic_id")).agg(F.count("*").alias("n"))
+
+
+@query("group_topics")
+def _(spark, sf):
+    """Topics of every app for itself (K1)."""
+    summary, _ = grouped.group_topics(document_reviews(spark, sf))
+    return summary.withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@query("group_topic_facts", f"""
+  valid AS (SELECT app_id, count(*) AS n FROM reviews WHERE len(list_filter(string_split_regex(
+    trim(regexp_replace(regexp_replace(regexp_replace(t, 'http\\S+|www\\S+|\\S+@\\S+', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '\\s+', ' ', 'g')),
+    ' '), lambda w: w <> '')) > 3 GROUP BY 1)
+  SELECT app_id, n AS total_texts, n AS assigned, false AS too_many, CAST(0 AS BIGINT) AS moved FROM valid WHERE n >= 3""")
+def _(spark, sf):
+    """All valid texts of an app have one of its topics, and none is nearer to another topic's mean (K1).
+
+    The means are made once more from the assignment that came out.
+    """
+    by = ["app_id"]
+    _, assigned = grouped.group_topics(reviews(spark, sf))
+    features, _ = grouped.group_features(assigned, by, "clean_review", 200, n_max=2, min_df=2, max_df=0.8)
+    sums = features.select("app_id", F.col("topic_id").alias("centre"), F.explode("terms").alias("t")).groupBy(
+        "app_id", "centre", F.col("t.i").alias("i")).agg(F.sum(F.col("t.w").cast("decimal(24,12)")).cast("double").alias("w"))
+    counts = features.groupBy("app_id", F.col("topic_id").alias("centre")).agg(F.count("*").alias("n"))
+    near = grouped.nearest_centres(features, grouped.means(sums, counts, by, 200), by)
+    return near.groupBy("app_id").agg(
+        F.count("*").alias("total_texts"), F.count("topic_id").alias("assigned"), (F.count_distinct("topic_id") > 5).alias("too_many"),
+        F.count_if(F.col("centre") != F.col("topic_id")).alias("moved"))
+
+
+@query("group_text_clusters")
+def _(spark, sf):
+    """Text clusters of every app's negative reviews, with criticality (K7, K8)."""
+    rows = negative_reviews(hybrid(spark, sf), "rating_and_label")
+    found = grouped.group_text_clusters(rows, ["app_id"], 20, 2, 10, 5, 1000)
+    return clusters.complaint_cluster_report(found, severity="confidence")
