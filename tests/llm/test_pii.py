@@ -118,6 +118,9 @@ def test_held_out_accuracy(spark, learnt):
     held = sum(len(b) for b in base)
     hit = sum((s, k, e) in {(a, c, b) for a, b, c, _ in found} for own, found in zip(base, alone) for s, k, e in own)
     assert hit / held > 0.9
+    for kind in range(len(pii.KINDS)):
+        of_kind = [(s, k, e) in {(a, c, b) for a, b, c, _ in found} for own, found in zip(base, alone) for s, k, e in own if k == kind]
+        assert len(of_kind) > 50 and sum(of_kind) / len(of_kind) >= 0.9, (pii.KINDS[kind], sum(of_kind), len(of_kind))
     added = pii.added_spans(learnt, texts, base)
     assert sum(map(len, added)) < 0.02 * held
 
