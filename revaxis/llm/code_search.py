@@ -32,6 +32,8 @@ SAMPLE_QUERIES = 300
 #: Share of a sample's true neighbours whose codes lie within the radius.
 TARGET = 0.985
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 2_048
+#: Pairs that are scored in one go.
+_PAIRS = 1 << 16
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -135,8 +137,11 @@ class BlockIndex:
         return near
 
 
-def search_block(model: CodeModel, index: BlockIndex, x: np.ndarray, q: np.ndarray, k: int):
-    """For each query up to ``k`` rows of the block: query number, row number and score, best first."""
+def search_block(model: CodeModel, index: BlockIndex, x: np.ndarray, q: np.ndarray, k: int, first: np.ndarray):
+    """For each query up to ``k`` rows of the block: query number, row number and score, best first.
+
+    Only rows that the index returns are scored. Equal scores go by ``first``, a row's smallest id.
+    """
     codes, radius = model.codes(q, True), model.radius
     near = index.within(codes, radius)
     few = np.flatnonzero(near.sum(1) < min(k, len(x)))
@@ -144,14 +149,13 @@ def search_block(model: CodeModel, index: BlockIndex, x: np.ndarray, q: np.ndarr
         radius = min(radius + 16, codes.shape[1] * 8)
         near[few] = index.within(codes[few], radius)
         few = few[near[few].sum(1) < min(k, len(x))]
-    scores = np.where(near, q @ x.T, -np.inf)
-    keep = min(k + 4, len(x))
-    best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-    at = np.repeat(np.arange(len(q)), keep)
-    row = best.ravel()
-    good = near[at, row]
-    at, row = at[good], row[good]
-    return at, row, np.einsum("ij,ij->i", q[at], x[row])
+    at, row = np.nonzero(near)
+    score = np.concatenate([np.zeros(0)] + [
+        np.einsum("ij,ij->i", q[at[i : i + _PAIRS]], x[row[i : i + _PAIRS]]) for i in range(0, len(at), _PAIRS)])
+    order = np.lexsort((first[row], -score, at))
+    at, row, score = at[order], row[order], score[order]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[best], row[best], score[best]
 
 
 def _valid(vector: Column) -> Column:
@@ -202,9 +206,9 @@ def nearest(
             return pd.DataFrame({"q": [], "ids": [], "score": []})
         x, q = np.array(left["v"].tolist()), np.array(right["v"].tolist())
         index = BlockIndex(model.value.codes(x, False))
-        parts = []
+        parts, first = [], np.array([i[0] for i in left["ids"]])
         for at in range(0, len(q), 256):
-            number, row, score = search_block(model.value, index, x, q[at : at + 256], k + 1)
+            number, row, score = search_block(model.value, index, x, q[at : at + 256], k + 1, first)
             parts.append((number + at, row, score))
         number, row, score = (np.concatenate(p) for p in zip(*parts))
         return pd.DataFrame({"q": right["q"].to_numpy()[number], "ids": left["ids"].to_numpy()[row], "score": score})
