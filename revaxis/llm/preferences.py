@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # The marks of the chat markup.
 START, END = "<|im_start|>", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
@@ -51,7 +53,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """
     left = chosen.select("pair_id", "turn", F.struct("role", "text").alias("c"))
     right = rejected.select("pair_id", "turn", F.struct("role", "text").alias("r"))
-    both = left.join(right, ["pair_id", "turn"], "full_outer")
+    both = written(left.join(right, ["pair_id", "turn"], "full_outer"), "matched")
     same = F.col("c").isNotNull() & F.col("r").isNotNull() & F.col("c.role").eqNullSafe(F.col("r.role")) & F.col("c.text").eqNullSafe(F.col("r.text"))
     first = both.where(~same).groupBy("pair_id").agg(F.min("turn").alias("differs"))
     # A turn that both share after the first difference is said by each of them.
@@ -87,7 +89,8 @@ def swapped_replies(conversations: DataFrame, conv_id: str = "conv_id") -> tuple
     reply of the neighbouring conversation (ids 2i and 2i + 1), or is missing when that has none.
     Conversations without an assistant turn are the same on both sides.
     """
-    said = turns(conversations, conv_id)
+    # Written once: all that follows reads the turns, some of it several times.
+    said = written(turns(conversations, conv_id), "turns")
     last = said.where(F.col("role") == TRAINED_ROLE).groupBy("pair_id").agg(F.max("turn").alias("last"))
     kept = said.join(last, "pair_id", "left").where(F.col("last").isNull() | (F.col("turn") <= F.col("last")))
     replies = kept.where("turn = last").select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("text").alias("reply"))
