@@ -23,8 +23,10 @@ from ..operators.clusters import (
     complaint_cluster_report,
     critical_user_complaints,
     negative_cluster_report,
+    top_cluster_reviews,
 )
 from ..operators.common import share, top_k
+from ..operators.grouped import group_key_themes, group_text_clusters, group_topics
 from ..operators.phrases import document_phrases
 from ..operators.sentiment import score_sentiment, sentiment_summary, sentiment_trends
 from ..operators.themes import critical_theme_phrases, critical_themes, tech_summary

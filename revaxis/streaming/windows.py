@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import keyword_boost
@@ -60,10 +61,15 @@ def windowed_alerts(
 def deduplicated(reviews: DataFrame, delay: str = "1 day", id_column: str = "review_id") -> DataFrame:
     """One row per review id among rows up to ``delay`` apart.
 
-    Of a batch the earliest row of an id stays; of rows at the same time the one whose other
-    columns are lowest, so reruns agree. A stream keeps the row that arrives first.
+    Of a batch a row goes if another of its id stands up to ``delay`` before it; of rows at the
+    same time the one whose other columns are lowest comes first, so reruns agree. Rows without a
+    time go before all others of their id. A stream keeps the row that arrives first, and forgets
+    an id once the watermark is ``delay`` past that row.
     """
     if not reviews.isStreaming:
         order = [F.asc("at"), *[F.asc(c) for c in reviews.columns if c not in ("at", id_column)]]
-        return top_k(reviews, [id_column], order, 1)
+        of_id = W.partitionBy(id_column).orderBy(*order)
+        before = F.lag("at").over(of_id) + F.expr(f"INTERVAL {delay}")
+        marked = reviews.withColumn("__n", F.row_number().over(of_id)).withColumn("__until", before)
+        return marked.where((F.col("__n") == 1) | (F.col("at") > F.col("__until"))).drop("__n", "__until")
     return reviews.withWatermark("at", delay).dropDuplicatesWithinWatermark([id_column])

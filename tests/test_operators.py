@@ -275,6 +275,7 @@ def test_report_sections(spark):
     reviews = table_reviews(spark, SF_DIR)
     report = insights.comprehensive_report(reviews, include=("sentiment", "clusters"))
     assert set(report) == {"meta", "sentiment_summary", "sentiment_trends", "complaint_clusters", "negative_clusters",
+                           "complaint_cluster_reviews", "negative_cluster_reviews",
                            "cluster_coverage", "critical_user_complaints", "text_clusters"}
     assert report["meta"].count() > 0 and report["critical_user_complaints"].count() > 0
     with pytest.raises(ValueError):

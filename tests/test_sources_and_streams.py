@@ -140,3 +140,15 @@ def test_checkpoint_folder_of_the_session_is_used(spark):
         assert configured.rstrip("/") in ensure_checkpoint_dir(spark)
     else:
         assert ensure_checkpoint_dir(spark)
+
+
+def test_batch_keeps_rows_of_an_id_that_are_far_apart(spark):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    hours = {"a": (0, 0, 5, 20, 60, 61, 200), "b": (3,), "c": (0, 24, 48, 73)}
+    data = [(i, start + timedelta(hours=h), f"t{n}") for i, all_hours in hours.items() for n, h in enumerate(all_hours)] + [("d", None, "x"), ("d", start, "y")]
+    got = sorted((r["review_id"], r["review"]) for r in deduplicated(
+        spark.createDataFrame(data, "review_id string, at timestamp, review string").repartition(3)).collect())
+    # "c" has a row up to a day before each but the last.
+    assert got == [("a", "t0"), ("a", "t4"), ("a", "t6"), ("b", "t0"), ("c", "t0"), ("c", "t3"), ("d", "x")]

@@ -11,7 +11,7 @@ from revaxis.rules.advice import PRIORITY_ORDER, RECOMMENDATIONS, URGENCY_WEIGHT
 from revaxis.rules.themes import COMPLAINT_CLUSTERS
 from revaxis.rules.words import HIGHLIGHT_TERMS, REQUEST_INDICATORS
 
-from .data import document_reviews, reviews
+from .data import document_reviews, reviews, table
 from .registry import (
     PRIORITY_BANDS,
     SEVERITY_BANDS,
@@ -217,6 +217,17 @@ def _(spark, sf):
     return found.groupBy("category_id", "term").agg(F.count("*").alias("reviews"))
 
 
+@query("rules_table_join_large", documents=True, sql="""
+  d AS (SELECT lower(review) AS t FROM docs),
+  terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM benchmark)
+  SELECT term, count(*) AS n FROM terms JOIN d ON contains(t, term) GROUP BY 1""")
+def _(spark, sf):
+    """Terms as data, all words of a table, in whole documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
+    terms = table(spark, sf, "benchmark").select(F.explode(words).alias("term")).distinct()
+    return joins.substring_join(document_reviews(spark, sf), terms).groupBy("term").agg(F.count("*").alias("n"))
+
+
 _THEME_ROWS = [(label, i, term) for i, (label, terms) in enumerate(COMPLAINT_CLUSTERS.items()) for term in terms]
 
 

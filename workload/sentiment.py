@@ -137,7 +137,7 @@ def _make_model():
 
 
 @query("score_with_model", """
-  m AS (SELECT review_id, substr(review, 1, 400) AS s FROM reviews),
+  m AS (SELECT review_id, review AS s FROM reviews),
   c AS (SELECT review_id, (length(s) - length(replace(s, '!', ''))) - (length(s) - length(replace(s, '?', ''))) AS k FROM m)
   SELECT review_id, CASE WHEN k > 0 THEN 'positive' WHEN k < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
     0.5::DOUBLE + least(abs(k), 2) / 8 AS confidence,
@@ -146,3 +146,13 @@ def _make_model():
 def _(spark, sf):
     return sentiment.score_with_model(reviews(spark, sf), _make_model).select(
         "review_id", "sentiment", "confidence", "polarity")
+
+
+@query("score_documents_with_model", documents=True, sql="""
+  m AS (SELECT review_id, regexp_replace(regexp_replace(review, '@[\\p{L}\\p{N}_]+', '@user', 'g'), 'http\\S+|www\\S+', 'http', 'g') AS s FROM docs),
+  c AS (SELECT review_id, (length(s) - length(replace(s, '!', ''))) - (length(s) - length(replace(s, '?', ''))) AS k FROM m)
+  SELECT review_id, CASE WHEN k > 0 THEN 'positive' WHEN k < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
+    0.5::DOUBLE + least(abs(k), 2) / 8 AS confidence FROM c""")
+def _(spark, sf):
+    """The model gets whole texts, however long."""
+    return sentiment.score_with_model(document_reviews(spark, sf), _make_model).select("review_id", "sentiment", "confidence")
