@@ -167,3 +167,54 @@ def test_small_hosts_lose_lines_of_most_pages(spark):
 
 def test_op6_has_sql_twin():
     assert "op6_site_lines" in ORACLES
+
+
+def test_features_and_fit_against_plain_counts():
+    """Features counted another way, and the loss over pairs at its least where the fit ends."""
+    import random
+    import re
+
+    pick = random.Random(4)
+    texts = [None, "", " \n\t", "one", "Ab ab ab\n\nAb ab ab\nc|d 9%!", "x" * 5000, "é ü\x1f z " * 40]
+    texts += ["".join(pick.choice("aB3 .\n|!#é") for _ in range(pick.randint(1, 200))) for _ in range(200)]
+    for text in texts:
+        raw = (text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+        got = dict(zip(pairwise_quality.FEATURES, pairwise_quality.features(text)))
+        if not words:
+            assert set(got.values()) == {0.0}
+            continue
+        lines = [line for line in raw.split(b"\n") if line.strip()]
+        assert got["log words"] == pytest.approx(np.log(1 + len(words)))
+        assert got["word length"] == pytest.approx(min(30, len(raw) / len(words)))
+        assert got["repeated neighbours"] == pytest.approx(sum(a == b for a, b in zip(words, words[1:])) / len(words))
+        assert got["upper case"] == pytest.approx(len(re.findall(rb"[A-Z]", raw)) / len(raw))
+        assert got["digits"] == pytest.approx(len(re.findall(rb"[0-9]", raw)) / len(raw))
+        assert got["marks"] == pytest.approx(min(2, len(re.findall(rb"[!?]", raw)) / len(words)))
+        assert got["stops"] == pytest.approx(min(2, len(re.findall(rb"[.,;:]", raw)) / len(words)))
+        assert got["bars"] == pytest.approx(min(2, raw.count(b"|") / len(words)))
+        assert got["share of repeated lines"] == pytest.approx(1 - len(set(lines)) / len(lines))
+        assert got["longest word"] == pytest.approx(np.log(1 + max(map(len, words))))
+
+    draw = np.random.default_rng(1)
+    rows = draw.normal(size=(60, len(pairwise_quality.FEATURES)))
+    labels = (rows[:, 0] + 0.5 * draw.normal(size=60) > 0.8).astype(int)
+    model = pairwise_quality.fit_pairs(rows, labels, steps=4000)
+    # The same pairs once more, and the loss in a plain loop.
+    x = np.clip((rows - rows.mean(0)) / (rows.std(0) + 1e-6), -8, 8)
+    few, many = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    first = np.tile(few, pairwise_quality.PAIRS_PER_ROW)
+    second = np.random.default_rng(7).choice(many, len(first))
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(x[a] - x[b]) @ w)) for a, b in zip(first, second)) / len(first) + 0.5e-3 * w @ w
+
+    least = loss(model.weights)
+    for i in range(len(model.weights)):
+        for step in (1e-3, -1e-3):
+            moved = model.weights.copy()
+            moved[i] += step
+            assert loss(moved) > least - 1e-9
+    strength = x @ model.weights
+    right = [np.mean((strength >= cut) == (labels == 1)) for cut in np.quantile(strength, np.linspace(0, 1, 501))]
+    assert np.mean((model.scores(rows) >= 0.5) == (labels == 1)) == pytest.approx(max(right))
