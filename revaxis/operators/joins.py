@@ -2,49 +2,118 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.matching import let
 from ..rules import Category
 
-# Terms are joined on their first characters, at most this many.
-_KEY_LENGTH = 5
+# Letters of all terms in one automaton; some 100 bytes each in a Python worker.
+PART_LETTERS = 1 << 20
+# Letters of the texts that meet one part of a larger term table at a time.
+BLOCK_LETTERS = 32 << 20
+_ROWS_A_BATCH = 50_000
 
 
 def substring_join(
     texts: DataFrame, terms: DataFrame, id_column: str = "review_id", text_column: str = "review",
-    term_column: str = "term",
+    term_column: str = "term", part_letters: int = PART_LETTERS, block_letters: int = BLOCK_LETTERS,
 ) -> DataFrame:
     """``(id, term columns)`` for every term contained in the lower-cased text.
 
-    One row for each id, text and distinct row of ``terms``, for tables of any size. Texts
-    and terms meet on the terms' first characters: every text gives its distinct pieces of
-    the (at most five) lengths in use. A term as short as its piece is found by that; of
-    longer ones the few texts that hold the start are checked. No term is tried on all texts.
+    One row for each id, text and distinct row of ``terms``. Texts are read once by an automaton
+    of all terms, whatever their number, and only what is found is shuffled. The terms' letters
+    are counted first: up to ``part_letters`` of them go to all executors. A larger table is cut
+    into parts by the terms' hashes and the texts into blocks of about ``block_letters``; every
+    block meets every part in a task of its own, and neither passes the driver. Results are the
+    same. Null texts, null and empty terms and empty tables give no rows.
     """
     terms = terms.where(F.length(term_column) > 0).distinct()
-    text = F.lower(F.col(text_column))
-    of = F.struct(F.xxhash64(text), F.hash(text))
-    size = F.least(F.length(term_column), F.lit(_KEY_LENGTH))
-    # One row with five numbers at most; without terms any length will do.
-    lengths = terms.agg(F.sort_array(F.collect_set(size))).first()[0] or [_KEY_LENGTH]
-
-    def pieces(t: Column) -> Column:
-        found = [F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths]
-        return F.array_distinct(F.concat(*found))
-
-    keyed_texts = texts.select(F.col(id_column), of.alias("__text"), F.explode(let(text, pieces)).alias("__key"))
-    keyed_terms = terms.withColumn("__key", F.substring(term_column, 1, _KEY_LENGTH))
-    found = keyed_texts.join(keyed_terms, "__key").drop("__key").distinct()
-    is_long = F.length(term_column) > _KEY_LENGTH
-    whole = texts.select(F.col(id_column).alias("__id"), text.alias("__lower"), of.alias("__of"))
-    checked = found.where(is_long).join(
-        whole, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of"))
-    ).where(F.contains(F.col("__lower"), F.col(term_column))).select(*found.columns).distinct()
-    return found.where(~is_long).unionByName(checked).drop("__text")
+    words = terms.select(F.col(term_column).alias("__word")).distinct()
+    lower = F.lower(F.col(text_column))
+    read = texts.where(F.col(text_column).isNotNull()).select(
+        F.col(id_column), F.xxhash64(lower).alias("__x"), F.hash(lower).alias("__y"), lower.alias("__lower")
+    )
+    schema = StructType([*read.drop("__lower").schema.fields, StructField("__word", StringType())])
+    parts = _shares(words, "__word", part_letters)
+    if parts == 1:
+        listed = texts.sparkSession.sparkContext.broadcast([row[0] for row in words.collect()])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(listed.value)
+            for batch in batches:
+                yield from _found(batch, machine)
+
+        found = read.mapInArrow(search, schema)
+    else:
+        read = read.distinct()
+        blocks = _shares(read, "__lower", block_letters)
+        of_part = words.select(
+            "__word", F.pmod(F.xxhash64("__word"), F.lit(parts)).cast("int").alias("__part"),
+            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"),
+        )
+        of_block = read.select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"),
+            F.pmod(F.xxhash64(id_column, "__x"), F.lit(blocks)).cast("int").alias("__block"),
+        )
+
+        def meet(rows: pa.Table, part: pa.Table) -> pa.Table:
+            machine = _automaton(part.column("__word").to_pylist())
+            batches = [found for batch in rows.to_batches() for found in _found(batch, machine)]
+            return pa.Table.from_batches(batches) if batches else _none(rows)
+
+        keys = ("__part", "__block")
+        found = of_block.groupBy(*keys).cogroup(of_part.groupBy(*keys)).applyInArrow(meet, schema)
+    rows = terms.withColumnRenamed(term_column, "__word")
+    joined = found.distinct().join(rows, "__word").withColumnRenamed("__word", term_column)
+    return joined.select(id_column, *terms.columns)
+
+
+def _shares(rows: DataFrame, column: str, letters: int) -> int:
+    """Number of shares of about ``letters`` letters that a column makes."""
+    total = rows.agg(F.sum(F.length(column).cast("long"))).first()[0] or 0
+    return max(1, -(-total // letters))
+
+
+def _automaton(words: Iterable[str]) -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for word in words:
+        machine.add_word(word, word)
+    machine.make_automaton()
+    return machine
+
+
+def _found(rows: pa.RecordBatch, machine: ahocorasick.Automaton) -> Iterator[pa.RecordBatch]:
+    """The key columns of every row once for each distinct word in its text, in bounded batches."""
+    if not len(machine):
+        return
+    keys = rows.select([name for name in rows.schema.names if not name.startswith(("__lower", "__part", "__block"))])
+    places: list[int] = []
+    words: list[str] = []
+    for place, text in enumerate(rows.column("__lower")):
+        found = {word for _, word in machine.iter(text.as_py())}
+        places += [place] * len(found)
+        words += found
+        if len(places) >= _ROWS_A_BATCH:
+            yield _with_words(keys, places, words)
+            places, words = [], []
+    if places:
+        yield _with_words(keys, places, words)
+
+
+def _with_words(keys: pa.RecordBatch, places: list[int], words: list[str]) -> pa.RecordBatch:
+    at = pa.array(places, pa.int32())
+    columns = [*(column.take(at) for column in keys.columns), pa.array(words, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[*keys.schema.names, "__word"])
+
+
+def _none(rows: pa.Table) -> pa.Table:
+    keys = rows.drop_columns(["__lower", "__part", "__block"]).slice(0, 0)
+    return keys.append_column("__word", pa.array([], pa.string()))
 
 
 def first_label_join(

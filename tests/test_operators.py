@@ -71,6 +71,23 @@ def test_substring_join_equals_brute_force(spark):
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
 
 
+def test_substring_join_in_parts_and_blocks(spark):
+    """A term table cut into parts gives what one automaton gives; ids keep their type, terms their other columns."""
+    texts = [(2**60 + i, f"Word{i} and word{i // 3} in a Text", "x") for i in range(200)] + [
+        (2**60, "Word0 and word0 in a Text", "again"), (None, "word7", None), (5, None, None), (6, "", None)]
+    terms = [(f"word{i}", i % 2, "kind") for i in range(150)] + [("word1", 9, "kind"), (None, 1, "kind"), ("", 1, "kind")]
+    t = spark.createDataFrame(texts, "review_id long, review string, kind string")
+    r = spark.createDataFrame(terms, "term string, ord int, kind string")
+    expected = sorted({(i, w, o, k) for i, s, _ in texts for w, o, k in terms if s and w and w in s.lower()}, key=str)
+    for limits in ({}, {"part_letters": 200, "block_letters": 1500}, {"part_letters": 1, "block_letters": 10**9}):
+        found = joins.substring_join(t, r, **limits)
+        assert found.columns == ["review_id", "term", "ord", "kind"]
+        assert sorted(map(tuple, found.collect()), key=str) == expected
+    for none in (joins.substring_join(t.limit(0), r), joins.substring_join(t, r.limit(0)),
+                 joins.substring_join(t.limit(0), r, part_letters=200)):
+        assert none.count() == 0
+
+
 # --- Sentiment ----------------------------------------------------------------------------
 
 
