@@ -11,7 +11,7 @@ for each union in it, never all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -74,8 +74,12 @@ def _unions(nodes: np.ndarray, points: np.ndarray, threshold: float) -> list[tup
     return found
 
 
-def _links(points: DataFrame, threshold: float) -> DataFrame:
-    """``(x, y)``: links between the nodes of ``(node, v)``, one for each union within a cell."""
+def meeting(points: DataFrame, threshold: float, compare: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """What ``compare`` finds in groups of ``points`` such that any two closer than ``threshold`` share a group.
+
+    Points have a ``node``, a vector ``v`` and any other columns. Groups are bounded: the pairs of
+    blocks of a cell.
+    """
     width = threshold * (1 + 1e-9)
     axes = _directions(points)
 
@@ -84,16 +88,17 @@ def _links(points: DataFrame, threshold: float) -> DataFrame:
         parts = F.zip_with("v", weights, lambda a, b: a * b)
         return F.floor(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / F.lit(width))
 
-    own = points.select("node", "v", F.array(*(place(a) for a in axes)).alias("place"))
+    own = points.withColumn("place", F.array(*(place(a) for a in axes)))
     steps = F.array(*(F.array(*map(F.lit, step)) for step in product((0, 1), repeat=len(axes))))
     cells = materialized(own.withColumn("cell", F.explode(F.transform(
-        steps, lambda step: F.xxhash64(F.zip_with("place", step, lambda a, b: a + b))))).select("node", "v", "cell"))
+        steps, lambda step: F.xxhash64(F.zip_with("place", step, lambda a, b: a + b))))).drop("place"))
     sizes = cells.groupBy("cell").count().where("count > 1").select(
         "cell", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["cell", "low", "high"]
-    dealt = dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "v")
+    dealt = dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *points.columns)
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -101,20 +106,28 @@ def _links(points: DataFrame, threshold: float) -> DataFrame:
             part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             keys = part[key].to_numpy()
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(part)]
-            yield linked(part, starts[:-1])
+            yield found_in(part, starts[:-1])
             rest = part.iloc[starts[-2] :]
         if rest is not None:
-            yield linked(rest, [0, len(rest)])
+            yield found_in(rest, [0, len(rest)])
 
-    def linked(part: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
+    def found_in(part: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
         out = []
         for start, end in zip(edges[:-1], edges[1:]):
-            group = part.iloc[start:end]
-            out += _unions(group["node"].to_numpy(), np.array(group["v"].tolist()), threshold)
-        return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+            out += compare(part.iloc[start:end])
+        found = pd.DataFrame(out, columns=names)
+        return found if out else found.astype("float64")
+
+    return dealt.repartition(*key).sortWithinPartitions(*key, "node").mapInPandas(compared, schema)
+
+
+def _links(points: DataFrame, threshold: float) -> DataFrame:
+    """``(x, y)``: links between the nodes of ``(node, v)``, one for each union within a cell."""
+
+    def unions(group: pd.DataFrame) -> list[tuple[int, int]]:
+        return _unions(group["node"].to_numpy(), np.array(group["v"].tolist()), threshold)
 
-    found = dealt.repartition(*key).sortWithinPartitions(*key, "node").mapInPandas(compared, "x long, y long")
-    return found.distinct()
+    return meeting(points, threshold, unions, "x long, y long").distinct()
 
 
 def linked_clusters(

@@ -122,3 +122,38 @@ def test_group_topics_and_themes(spark):
     assert grouped.group_topics(texts.limit(0))[0].count() == 0
     assert grouped.group_text_clusters(texts, BY, 20, 2, 10, 5, 100).where("app_id = 'c'").count() == 0
     assert grouped.group_text_clusters(texts, BY, 20, 2, 10, 5, 100).select("app_id", "cluster_id").distinct().count() == 4
+
+
+@pytest.mark.parametrize("how, finish", [
+    ({"k": 4}, 20), ({"k": 35}, 1), ({"threshold": 1.0}, 1), ({"threshold": 2.0}, 30)])
+def test_ward_linkage_equals_brute_force(spark, how, finish):
+    """In rounds only, and with the last clusters merged on the driver."""
+    from revaxis.operators.linkage import ward_linkage
+    from test_operators import brute_ward
+
+    points = np.random.default_rng(7).normal(size=(50, 3))
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, v array<double>")
+    expected = brute_ward(points, **how)
+    groups = {}
+    for row in ward_linkage(df, "v", id_column="id", finish=finish, **how).collect():
+        groups.setdefault(row["cluster_id"], set()).add(row["id"])
+    assert {frozenset(g) for g in groups.values()} == expected
+    assert all(name == min(group) for name, group in groups.items())
+
+
+def test_ward_linkage_has_no_limit_of_clusters_and_handles_odd_rows(spark):
+    from revaxis.operators.linkage import ward_linkage
+
+    rng = np.random.default_rng(5)
+    spots = rng.permutation(700)
+    rows = [(i, [float(spot % 30) * 10, float(spot // 30) * 10]) for i, spot in enumerate(spots)]
+    rows += [(1000 + i, v) for i, v in rows]
+    odd = [(3000, None), (3001, [1.0, None]), (3002, [float("nan"), 0.0]), (3003, []), (3004, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>")
+    found = {r["id"]: r["cluster_id"] for r in ward_linkage(df, "v", threshold=1.0, id_column="id").collect()}
+    assert all(found[i] == i % 1000 for i, _ in rows) and all(found[i] is None for i, _ in odd)
+    # All merges cost the same at first: any choice will do, and the number is kept.
+    assert ward_linkage(df, "v", k=650, finish=4).where("cluster_id is not null").select("cluster_id").distinct().count() == 650
+    assert ward_linkage(df.limit(0), "v", k=2).count() == 0
+    with pytest.raises(ValueError, match="lengths"):
+        ward_linkage(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "v array<double>"), "v", k=1)
