@@ -70,7 +70,11 @@ def negative_trend(
         figures.append(
             F.count_if(negative & (F.col("at") >= before) & (F.col("at") < recent)).alias(f"previous_{days}d")
         )
-    counted = reviews.groupBy(*by).agg(*figures)
+    return trend_changes(reviews.groupBy(*by).agg(*figures), windows)
+
+
+def trend_changes(counted: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Change and direction from the counts ``recent_<n>d`` and ``previous_<n>d`` of every window."""
     for days in windows:
         now, then = F.col(f"recent_{days}d"), F.col(f"previous_{days}d")
         change = (

@@ -73,3 +73,21 @@ def deduplicated(reviews: DataFrame, delay: str = "1 day", id_column: str = "rev
         marked = reviews.withColumn("__n", F.row_number().over(of_id)).withColumn("__until", before)
         return marked.where((F.col("__n") == 1) | (F.col("at") > F.col("__until"))).drop("__n", "__until")
     return reviews.withWatermark("at", delay).dropDuplicatesWithinWatermark([id_column])
+
+
+def earliest(
+    reviews: DataFrame, delay: str = "1 day", lateness: str | None = None, id_column: str = "review_id"
+) -> DataFrame:
+    """The earliest row of every run of rows of one id with gaps of less than ``delay``.
+
+    Batch and stream give equal rows: a stream gives a run's row once the watermark, ``lateness``
+    (default ``delay``) behind the newest row, has passed the run, so a row that comes late but in
+    time takes the place of later ones. Of rows at the same time the lowest in the other columns
+    stays. Rows without a time have no distance to others and stay, all of them.
+    """
+    timed = reviews.withWatermark("at", lateness or delay) if reviews.isStreaming else reviews
+    others = [name for name in reviews.columns if name != "at"]
+    runs = timed.groupBy(F.col(id_column).alias("__id"), F.session_window("at", delay)).agg(
+        F.min(F.struct("at", *others)).alias("__first"))
+    first = runs.select(*(F.col("__first")[name].alias(name) for name in reviews.columns))
+    return first.unionByName(reviews.where("at IS NULL"))

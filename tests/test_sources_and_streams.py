@@ -152,3 +152,55 @@ def test_batch_keeps_rows_of_an_id_that_are_far_apart(spark):
         spark.createDataFrame(data, "review_id string, at timestamp, review string").repartition(3)).collect())
     # "c" has a row up to a day before each but the last.
     assert got == [("a", "t0"), ("a", "t4"), ("a", "t6"), ("b", "t0"), ("c", "t0"), ("c", "t3"), ("d", "x")]
+
+
+def test_earliest_rows_of_a_stream_equal_batch(spark, tmp_path):
+    """Also with a row that comes late but in time; rows a whole ``delay`` or more apart both stay."""
+    from datetime import datetime, timedelta
+
+    from revaxis.streaming.windows import earliest
+
+    start = datetime(2024, 1, 1)
+    first = [("a", 30, "a30"), ("b", 24, "b24"), ("b", 40, "b40"), ("c", 20, "c20"), ("c", 20, "c2")]
+    late = [("a", 10, "a10"), ("b", 100, "b100"), ("c", 45, "c45"), ("d", None, "d")]
+    schema = "review_id string, at timestamp, review string"
+    frames = [
+        spark.createDataFrame([(i, None if h is None else start + timedelta(hours=h), t) for i, h, t in part], schema).coalesce(1)
+        for part in (first, late, [("end", 1000, "end")])
+    ]
+    folder = str(tmp_path / "in")
+    for n, frame in enumerate(frames):
+        frame.write.mode("append").parquet(folder)
+    expected = {"a10", "b24", "b100", "c2", "c45", "d", "end"}
+    assert {r["review"] for r in earliest(spark.read.parquet(folder), "1 day").collect()} == expected
+    assert earliest(frames[0].limit(0)).count() == 0
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = drained(earliest(source, "1 day", "2 days"), "earliest").collect()
+    # The last run is open until something later comes.
+    assert {r["review"] for r in got} == expected - {"end"} and len(got) == len(expected) - 1
+
+
+def test_live_trend_of_a_stream_equals_the_batch(spark, stream_of, tmp_path):
+    """A batch that is run again changes nothing, and neither do folds."""
+    from pyspark.sql import functions as F
+
+    from revaxis.plans.statistics import negative_trend
+    from revaxis.streaming.trend import fold_batches, live_negative_trend, trend_sink
+
+    batch, as_of = reviews(spark, SF_DIR), F.lit("2024-01-20").cast("timestamp")
+    folder, write = str(tmp_path / "trend"), trend_sink(str(tmp_path / "trend"))
+    run = stream_of(batch).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "log")).start()
+    run.processAllAvailable()
+    run.stop()
+    expected = rows(negative_trend(batch, as_of))
+    assert rows(live_negative_trend(spark, folder, as_of)) == expected
+    none = batch.limit(0)
+    extra = batch.where("review_id < '3'")
+    for again in (1, 1):
+        write(extra, again)
+    write(none, 2)
+    expected = rows(negative_trend(batch.unionByName(extra), as_of))
+    for fold in (None, 1, 1, 2):
+        if fold is not None:
+            fold_batches(spark, folder, fold)
+        assert rows(live_negative_trend(spark, folder, as_of)) == expected

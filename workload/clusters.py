@@ -5,7 +5,7 @@ from math import log
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from revaxis.operators import clusters, grouped, similarity
+from revaxis.operators import clusters, grouped, linkage, similarity
 from revaxis.operators.classify import negative_reviews
 from revaxis.operators.phrases import document_phrases
 from revaxis.rules.themes import CLUSTER_LABELS, PHRASE_THEMES, THEME_NAME_TERMS, WEIGHTED_THEME_TERMS
@@ -69,6 +69,13 @@ def _(spark, sf):
     return found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
 
 
+@query("linkage_clusters")
+def _(spark, sf):
+    """Exact Ward clusters of the embeddings by distance threshold, named by their smallest id (K7)."""
+    found = linkage.ward_linkage(table(spark, sf, "embeddings"), "embedding", threshold=2.5, id_column="vec_id")
+    return found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
+
+
 @query("embedding_kmeans")
 def _(spark, sf):
     """K-means over given vectors, three to eight clusters."""
