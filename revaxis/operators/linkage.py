@@ -9,14 +9,18 @@ all candidates together: hot cells go to blocks, and a task gives one candidate
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import BY_APP
 from ..session import materialized
-from .clusters import ward_merge
+from .clusters import tfidf_features, ward_merge
+from .phrases import key_phrases
 from .similarity import connected, meeting
 
 #: Clusters that are left to the driver at most: a table of this many squared costs.
@@ -186,3 +190,27 @@ def ward_linkage(
     names = named.groupBy("node").agg(F.coalesce(F.min("name"), F.first("node")).alias(cluster_column))
     of_vector = named.join(names, "node").select(F.col("v").alias("__v"), cluster_column)
     return marked.join(of_vector, "__v", "left").drop("__v")
+
+
+def phrase_clusters(
+    scored: DataFrame, by: Sequence[str] = BY_APP, id_column: str = "review_id", per_cluster: int = 5, k_min: int = 2,
+    k_max: int = 10, vocabulary: int = 100, phrases: int = 10, finish: int = FINISH,
+) -> DataFrame:
+    """Negative and neutral reviews that have key phrases, in Ward clusters of those phrases (K3).
+
+    Reads reviews with a ``sentiment``. A review's features are the TF-IDF of the words of its
+    ``phrases`` best key phrases within its group; there are
+    ``min(k_max, max(k_min, n / per_cluster))`` clusters. Fewer than two such reviews give no rows.
+    """
+    complaints = scored.where(F.lower("sentiment").isin("negative", "neutral"))
+    keys = [*dict.fromkeys([*by, id_column])]
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "phrase")))
+    texts = key_phrases(complaints, by, id_column, k=phrases).groupBy(*keys).agg(
+        F.array_join(F.transform(ranked, lambda p: p["phrase"]), " ").alias("phrase_text"))
+    complaints = materialized(complaints.join(texts, keys))
+    total = complaints.count()
+    if total < 2:
+        return complaints.withColumn("cluster_id", F.lit(None).cast("long")).where(F.lit(False))
+    features, _ = tfidf_features(complaints, "phrase_text", vocabulary)
+    k = min(k_max, max(k_min, total // per_cluster))
+    return ward_linkage(features, k=k, finish=finish).drop("features")

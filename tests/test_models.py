@@ -157,3 +157,18 @@ def test_ward_linkage_has_no_limit_of_clusters_and_handles_odd_rows(spark):
     assert ward_linkage(df.limit(0), "v", k=2).count() == 0
     with pytest.raises(ValueError, match="lengths"):
         ward_linkage(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "v array<double>"), "v", k=1)
+
+
+def test_phrase_clusters_take_negative_and_neutral_reviews_with_phrases(spark):
+    from revaxis.operators.linkage import phrase_clusters
+
+    groups = ("battery drain heat", "refund charge billing", "login password account")
+    rows = [(f"{i}-{n}", "a", "negative" if n % 2 else "Neutral", text) for i, text in enumerate(groups) for n in range(5)]
+    rows += [("p", "a", "positive", groups[0]), ("e", "a", "negative", ""), ("n", "a", None, groups[0]), ("s", "a", "neutral", "the of")]
+    df = spark.createDataFrame(rows, "review_id string, app_id string, sentiment string, review string")
+    found = {}
+    for row in phrase_clusters(df).collect():
+        found.setdefault(row["cluster_id"], set()).add(row["review_id"])
+    # 15 reviews make three clusters.
+    assert {frozenset(g) for g in found.values()} == {frozenset(f"{i}-{n}" for n in range(5)) for i in range(3)}
+    assert phrase_clusters(df.limit(0)).count() == 0

@@ -47,6 +47,12 @@ def _(spark, sf):
     return _sizes(clusters.complaint_text_clusters(rows, 5, 2, 10, 2, 100, method="ward"))
 
 
+@query("enhanced_phrase_clusters")
+def _(spark, sf):
+    """Ward clusters of the key phrases of negative and neutral reviews, by scored sentiment (K3)."""
+    return _sizes(linkage.phrase_clusters(hybrid(spark, sf)))
+
+
 @query("bisecting_complaint_clusters")
 def _(spark, sf):
     rows = negative_reviews(reviews(spark, sf), "rating")
