@@ -305,17 +305,24 @@ def key_phrases(
     """Top ``k`` phrases of each text by TF-IDF within its group.
 
     Phrases of one to three words; idf is ``ln((1+n)/(1+df))+1``. Document frequencies
-    come from one aggregation, joined back to the phrases of each text on the phrase.
+    come from one aggregation, written out and joined back to the phrases of each text on the phrase.
     """
     grams = phrase_array(text_column, 1, n_max, stopwords)
     wanted = F.filter(grams, lambda p: (F.length(p) > 2) & ~p.isin(*ignored))
     keep = list(dict.fromkeys([*by, id_column]))
-    counts = _phrase_rows(texts, keep, wanted).drop("verbatim")
-    frequencies = counts.groupBy(*by, "phrase").agg(F.count("*").alias("df"))
-    weights = frequencies.join(texts.groupBy(*by).agg(F.count("*").alias("n")), list(by)).select(
+    # A text without a group has no place in any ranking.
+    grouped = texts.where(reduce(and_, (F.col(c).isNotNull() for c in by)))
+    rows = _phrase_rows(grouped, keep, wanted, with_text=True)
+    # The texts themselves are rows with a null phrase, so one shuffle gives their number too.
+    counted = materialized(rows.groupBy(*by, "phrase").agg(F.count("*").alias("df")))
+    totals = counted.where("phrase is null").select(*by, F.col("df").alias("n"))
+    # Left joins, since every phrase has its group and its weight: the larger side is never broadcast,
+    # however small the optimizer takes phrases of compressed texts for.
+    weights = materialized(counted.where("phrase is not null").join(totals, list(by), "left").select(
         *by, "phrase", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf")
-    )
-    scored = counts.join(weights, [*by, "phrase"]).withColumn("relevance", F.col("tf") * F.col("idf"))
+    ))
+    counts = _phrase_rows(grouped, keep, wanted).drop("verbatim")
+    scored = counts.join(weights, [*by, "phrase"], "left").withColumn("relevance", F.col("tf") * F.col("idf"))
     return top_k(scored, keep, [F.desc("relevance"), F.asc("phrase")], k, rank="rank").select(
         *keep, "rank", "phrase", "tf", "relevance"
     )
