@@ -69,7 +69,8 @@ def ngram_counts(
     the most frequent phrases of a group. With ``severity`` the mean over the texts
     holding the phrase is added, and the group's least and largest; with ``verbatim`` whether one
     of the texts has the phrase as it stands. Texts are read once: a row with a null phrase
-    counts each text, so that one shuffle with map-side combine gives the totals too.
+    counts each text, so that one shuffle with map-side combine gives the totals too. The counts
+    are written out, as both the totals and the phrases read them.
     """
     keep = list(by)
     if severity is not None:
@@ -84,16 +85,18 @@ def ngram_counts(
         whole += [F.col("min_severity"), F.col("max_severity")]
     if verbatim:
         figures.append(F.bool_or("verbatim").alias("verbatim"))
-    counted = rows.groupBy(*by, "phrase").agg(*figures)
+    # Written once: totals and phrases ask for different columns, so that Spark would count twice.
+    wanted = rows.groupBy(*by, "phrase").agg(*figures).where(F.col("__whole") | (F.col("doc_count") >= min_df))
+    counted = materialized(wanted)
     # Totals are joined, not taken from a window: a group may have any number of phrases, and a
-    # window would gather them in one task. Both sides ask for an aggregate's flag and not for
-    # its key, which would be moved below the shuffle, and so read the same shuffle.
+    # window would gather them in one task.
     totals = counted.where("__whole").select(*(F.col(c).alias(f"__{c}") for c in by), *whole)
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
-    spread = counted.where("not __whole").drop("min_severity", "max_severity").join(totals, same).drop(*(f"__{c}" for c in by))
+    # Every group has its totals; a left join can never broadcast the phrases.
+    spread = counted.where("not __whole").drop("min_severity", "max_severity").join(totals, same, "left").drop(*(f"__{c}" for c in by))
     # A limit by share says nothing about a single text.
     frequent = (F.col("total_docs") < 2) | (F.col("doc_count") <= F.col("total_docs") * max_df)
-    kept = spread.where((F.col("doc_count") >= min_df) & frequent)
+    kept = spread.where(frequent)
     if max_features is not None:
         kept = top_k(kept, by, [F.desc("frequency"), F.asc("phrase")], max_features)
     if severity is not None:

@@ -81,11 +81,17 @@ KEYS = {"events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "co
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, spread by its key over the session's partitions: the test files hold one row group each."""
+    """A table, spread by its key over the session's partitions: the test files hold one row group each.
+
+    The condition holds for all rows. Spark moves no filter below one on row numbers, so what queries
+    ask of derived texts is worked out after the rows are spread, not by the few tasks that read
+    the files.
+    """
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in KEYS:
         return found
-    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), KEYS[name])
+    spread = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), KEYS[name])
+    return spread.where(F.monotonically_increasing_id() >= 0)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
