@@ -21,7 +21,7 @@ from ..schema import BY_APP
 from ..session import materialized
 from .clusters import tfidf_features, ward_merge
 from .phrases import key_phrases
-from .similarity import connected, meeting
+from .similarity import comparable, connected, meeting
 
 #: Clusters that are left to the driver at most: a table of this many squared costs.
 FINISH = 256
@@ -30,29 +30,34 @@ _SAMPLE = 500
 
 
 def _nearest(group: pd.DataFrame, threshold: float) -> list[tuple[int, float, int, int]]:
-    """``(node, cost, low, high)``: the cheapest partner of every cluster below ``threshold``."""
+    """``(node, cost, low, high)``: the cheapest partner of every cluster below ``threshold`` among those compared."""
     nodes, sizes = group["node"].to_numpy(), group["size"].to_numpy(float)
     means = np.array(group["v"].tolist())
     squares = (means**2).sum(1)
     found = []
-    for at in range(0, len(means), 256):
-        part = slice(at, at + 256)
-        weights = 2 * sizes[part, None] * sizes[None] / (sizes[part, None] + sizes[None])
-        scale = weights * (1 + squares[part, None] + squares[None])
-        rough = weights * (squares[part, None] + squares[None] - 2 * means[part] @ means.T)
-        here = np.arange(len(rough))
-        rough[here, at + here] = np.inf
-        # Rounding is left to the exact costs of those that come near the least.
-        least = np.minimum((rough + 1e-9 * scale).min(1), threshold * threshold * (1 + 1e-9))
-        for i in here.tolist():
-            others = np.flatnonzero(rough[i] - 1e-9 * scale[i] <= least[i])
-            others = others[others != at + i]
-            costs = np.sqrt(weights[i, others] * ((means[others] - means[at + i]) ** 2).sum(1))
-            mine = int(nodes[at + i])
-            best = min(((c, min(mine, o), max(mine, o)) for c, o in zip(costs.tolist(), nodes[others].tolist())
-                        if c < threshold), default=None)
-            if best:
-                found.append((mine, *best))
+    for rows, columns in comparable(group, both_ways=True):
+        their_means, their_squares, their_sizes = means[columns], squares[columns], sizes[columns]
+        for at in range(0, len(rows), 256):
+            part = rows[at : at + 256]
+            weights = 2 * sizes[part, None] * their_sizes[None] / (sizes[part, None] + their_sizes[None])
+            rough = squares[part, None] + their_squares[None]
+            scale = weights * (1 + rough)
+            rough -= 2 * means[part] @ their_means.T
+            rough *= weights
+            rough[part[:, None] == columns[None]] = np.inf
+            # Rounding is left to the exact costs of those that come near the least.
+            scale *= 1e-9
+            least = np.minimum((rough + scale).min(1), threshold * threshold * (1 + 1e-9))
+            rough -= scale
+            near = rough <= least[:, None]
+            for i in np.flatnonzero(near.any(1)).tolist():
+                own, others = int(part[i]), np.flatnonzero(near[i])
+                costs = np.sqrt(weights[i, others] * ((their_means[others] - means[own]) ** 2).sum(1))
+                mine = int(nodes[own])
+                best = min(((c, min(mine, o), max(mine, o)) for c, o in zip(costs.tolist(), nodes[columns[others]].tolist())
+                            if c < threshold), default=None)
+                if best:
+                    found.append((mine, *best))
     return found
 
 

@@ -54,23 +54,45 @@ def _directions(points: DataFrame) -> np.ndarray:
     return vectors[:, np.argsort(-values)[:DIRECTIONS]].T
 
 
-def _unions(nodes: np.ndarray, points: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def comparable(group: pd.DataFrame, both_ways: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of a group of ``meeting`` and of those that they are compared with there.
+
+    Two points share every cell that is a step up from both, and every group of their own block;
+    they are compared in the lowest of the cells only, where no axis is a step up for both
+    (``step`` has a bit for each axis), and within a block in the group of that block with itself.
+    """
+    step, block = group["step"].to_numpy(), group["block"].to_numpy()
+    low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+    for side in sorted({low, high} if both_ways else {low}):
+        for kind in np.unique(step[block == side]).tolist():
+            others = (step & kind == 0) & (block == (low + high - side))
+            if not both_ways and low == high:
+                others &= step >= kind
+            if others.any():
+                yield np.flatnonzero((step == kind) & (block == side)), np.flatnonzero(others)
+
+
+def _unions(group: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
     """As many links as connect what all pairs of points closer than ``threshold`` connect."""
+    nodes, points = group["node"].to_numpy(), np.array(group["v"].tolist())
     found, label = [], np.arange(len(points))
     squares = (points**2).sum(1)
     limit = threshold * threshold
-    for at in range(0, len(points), 256):
-        part = points[at : at + 256]
-        rough = squares[at : at + 256, None] + squares[None, at:] - 2 * part @ points[at:].T
-        # Rounding is left to the exact differences of those that come near.
-        near = rough < limit + 1e-6 * (1 + limit + squares[at : at + 256, None])
-        for i in np.flatnonzero(near.sum(1) > 1).tolist():
-            others = at + np.flatnonzero(near[i])
-            others = others[np.sqrt(((points[others] - part[i]) ** 2).sum(1)) < threshold]
-            for name, first in zip(*np.unique(label[others], return_index=True)):
-                if name != label[at + i]:
-                    found.append((int(nodes[at + i]), int(nodes[others[first]])))
-                    label[label == name] = label[at + i]
+    for rows, columns in comparable(group, both_ways=False):
+        others_points, others_squares = points[columns], squares[columns]
+        for at in range(0, len(rows), 256):
+            mine = rows[at : at + 256]
+            rough = squares[mine, None] + others_squares[None] - 2 * points[mine] @ others_points.T
+            # Rounding is left to the exact differences of those that come near.
+            near = rough < limit + 1e-6 * (1 + limit + squares[mine, None])
+            for i in np.flatnonzero(near.any(1)).tolist():
+                own = int(mine[i])
+                others = columns[near[i]]
+                others = others[np.sqrt(((points[others] - points[own]) ** 2).sum(1)) < threshold]
+                for name, first in zip(*np.unique(label[others], return_index=True)):
+                    if name != label[own]:
+                        found.append((int(nodes[own]), int(nodes[others[first]])))
+                        label[label == name] = label[own]
     return found
 
 
@@ -78,7 +100,8 @@ def meeting(points: DataFrame, threshold: float, compare: Callable[[pd.DataFrame
     """What ``compare`` finds in groups of ``points`` such that any two closer than ``threshold`` share a group.
 
     Points have a ``node``, a vector ``v`` and any other columns. Groups are bounded: the pairs of
-    blocks of a cell.
+    blocks of a cell. ``comparable`` tells which points of a group to compare, so that each pair
+    is compared in one group.
     """
     width = threshold * (1 + 1e-9)
     axes = _directions(points)
@@ -90,14 +113,16 @@ def meeting(points: DataFrame, threshold: float, compare: Callable[[pd.DataFrame
 
     own = points.withColumn("place", F.array(*(place(a) for a in axes)))
     steps = F.array(*(F.array(*map(F.lit, step)) for step in product((0, 1), repeat=len(axes))))
-    cells = materialized(own.withColumn("cell", F.explode(F.transform(
-        steps, lambda step: F.xxhash64(F.zip_with("place", step, lambda a, b: a + b))))).drop("place"))
+    reached = F.transform(steps, lambda step, number: F.struct(
+        F.xxhash64(F.zip_with("place", step, lambda a, b: a + b)).alias("cell"), number.alias("step")))
+    cells = materialized(own.withColumn("reached", F.explode(reached)).select(*points.columns, "reached.*"))
     sizes = cells.groupBy("cell").count().where("count > 1").select(
         "cell", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["cell", "low", "high"]
-    dealt = dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *points.columns)
+    dealt = dealt.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                         "block", "step", *points.columns)
     names = [field.split()[0] for field in schema.split(", ")]
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,10 +149,7 @@ def meeting(points: DataFrame, threshold: float, compare: Callable[[pd.DataFrame
 def _links(points: DataFrame, threshold: float) -> DataFrame:
     """``(x, y)``: links between the nodes of ``(node, v)``, one for each union within a cell."""
 
-    def unions(group: pd.DataFrame) -> list[tuple[int, int]]:
-        return _unions(group["node"].to_numpy(), np.array(group["v"].tolist()), threshold)
-
-    return meeting(points, threshold, unions, "x long, y long").distinct()
+    return meeting(points, threshold, lambda group: _unions(group, threshold), "x long, y long").distinct()
 
 
 def linked_clusters(
