@@ -1,8 +1,10 @@
 """What keeps queries in proportion to their input: how often texts are read, and what is broadcast."""
 
+import math
+
 from pyspark.sql import functions as F
 
-from revaxis.operators import phrases, themes
+from revaxis.operators import grouped, phrases, similarity, themes
 from workload.data import reviews
 
 from conftest import SF_DIR
@@ -34,3 +36,28 @@ def test_filters_on_texts_stay_above_the_spread_rows(spark):
     plan = themes.segment_examples(reviews(spark, SF_DIR))._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("RepartitionByExpression"):]
     assert "Relation" in below and "Filter" not in below
+
+
+def test_a_pair_of_points_is_compared_in_one_group(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    vectors = {i: [math.sin(7 * i), math.cos(3 * i), math.sin(i * i)] for i in range(40)}
+
+    def pairs(group):
+        nodes = group["node"].tolist()
+        met = {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]))
+               for rows, others in similarity.comparable(group, both_ways=False) for i in rows for j in others if i != j}
+        return sorted(met)
+
+    points = spark.createDataFrame(list(vectors.items()), "node long, v array<double>")
+    met = [tuple(r) for r in similarity.meeting(points, 0.9, pairs, "x long, y long").collect()]
+    assert len(met) == len(set(met))
+    assert {(a, b) for a in vectors for b in vectors if a < b and math.dist(vectors[a], vectors[b]) < 0.9} <= set(met)
+
+
+def test_vocabulary_is_looked_up_for_its_own_terms_only(make_reviews):
+    rows = make_reviews((1, "a", 1, "red crash red"), (2, "a", 1, "red login"), (3, "a", 1, "blue"), (4, "b", 1, ""))
+    features, _ = grouped.group_features(rows, ["app_id"], vocabulary=2)
+    assert "array_intersect" in _plan(features)
+    got = {r.review_id: [(t.i, round(t.w, 9)) for t in r.terms] for r in features.collect()}
+    # "red" is the most frequent, "blue" the first by name of the others.
+    assert got == {"1": [(0, 1.0)], "2": [(0, 1.0)], "3": [(1, 1.0)], "4": []}

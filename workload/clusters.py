@@ -10,6 +10,7 @@ from revaxis.operators.classify import negative_reviews
 from revaxis.operators.phrases import document_phrases
 from revaxis.rules.themes import CLUSTER_LABELS, PHRASE_THEMES, THEME_NAME_TERMS, WEIGHTED_THEME_TERMS
 from revaxis.rules.words import NEGATIVE_INDICATORS, STOPWORDS
+from revaxis.session import materialized
 
 from .basics import _first_label_sql, _sentence_sql
 from .data import document_reviews, reviews, table
@@ -365,6 +366,7 @@ def _(spark, sf):
     """One round of the k-means of all apps: every text goes to the nearest of its app's seeds (K1, K7)."""
     by = ["app_id"]
     features, _ = grouped.group_features(document_reviews(spark, sf), by, vocabulary=_TERMS, n_max=2, min_df=2, max_df=0.8)
+    features = materialized(features.select("app_id", "review_id", "row", "terms"))
     seeds = grouped.seed_centres(features, by, F.lit(_SEEDS), "review_id", _TERMS)
     near = grouped.nearest_centres(features, seeds, by)
     return near.groupBy("app_id", F.col("centre").alias("topic_id")).agg(F.count("*").alias("n"))
@@ -390,6 +392,7 @@ def _(spark, sf):
     by = ["app_id"]
     _, assigned = grouped.group_topics(reviews(spark, sf))
     features, _ = grouped.group_features(assigned, by, "clean_review", 200, n_max=2, min_df=2, max_df=0.8)
+    features = materialized(features.select("app_id", "topic_id", "terms"))
     sums = features.select("app_id", F.col("topic_id").alias("centre"), F.explode("terms").alias("t")).groupBy(
         "app_id", "centre", F.col("t.i").alias("i")).agg(F.sum(F.col("t.w").cast("decimal(24,12)")).cast("double").alias("w"))
     counts = features.groupBy("app_id", F.col("topic_id").alias("centre")).agg(F.count("*").alias("n"))
