@@ -168,15 +168,20 @@ def without_stopwords(tokens: Column, stopwords: Iterable[str]) -> Column:
 
 
 def ngrams(tokens: Column, shortest: int, longest: int) -> Column:
-    """All n-grams of ``shortest..longest`` tokens, joined by a space, in text order."""
+    """All n-grams of ``shortest..longest`` tokens (none of them null), joined by a space, in text order."""
 
     def of_size(items, n):
-        # The guard matters: sequence(1, 0) would count down instead of being empty.
-        starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1)))
         if n == 1:
             return F.coalesce(items, F.array().cast("array<string>"))
-        grams = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(items, i, F.lit(n))))
-        return F.coalesce(grams, F.array().cast("array<string>"))
+        # The guard matters: sequence(0, -1) would count down instead of being empty.
+        starts = F.when(F.size(items) >= n, F.sequence(F.lit(0), F.size(items) - n))
+
+        def gram(i):
+            # Word by word: a slice would copy all tokens for every n-gram.
+            later = [part for j in range(1, n) for part in (F.lit(" "), F.get(items, i + j))]
+            return F.concat(F.get(items, i), *later)
+
+        return F.coalesce(F.transform(starts, gram), F.array().cast("array<string>"))
 
     return let(tokens, lambda items: F.concat(*[of_size(items, n) for n in range(shortest, longest + 1)]))
 

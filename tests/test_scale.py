@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from revaxis.functions.text import ngrams
 from revaxis.operators import grouped, phrases, similarity, themes
 from workload.data import reviews
 
@@ -61,3 +62,10 @@ def test_vocabulary_is_looked_up_for_its_own_terms_only(make_reviews):
     got = {r.review_id: [(t.i, round(t.w, 9)) for t in r.terms] for r in features.collect()}
     # "red" is the most frequent, "blue" the first by name of the others.
     assert got == {"1": [(0, 1.0)], "2": [(0, 1.0)], "3": [(1, 1.0)], "4": []}
+
+
+def test_ngrams_do_not_copy_all_tokens_for_each(spark):
+    rows = spark.createDataFrame([("a b c",), ("a",), ("",), (None,)], "t string")
+    made = rows.select("t", ngrams(F.filter(F.split("t", " "), lambda w: w != ""), 1, 3).alias("g"))
+    assert "slice(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.t: r.g for r in made.collect()} == {"a b c": ["a", "b", "c", "a b", "b c", "a b c"], "a": ["a"], "": [], None: []}
