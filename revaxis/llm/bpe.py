@@ -27,6 +27,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +38,15 @@ from .common import free_name
 # Fixed value: how byte-level BPE splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# An open reading is one number: the last token plus one, and the place in the trie of the next one.
+_PLACE = (1 << 32) - 1
+_START = array("q", [0]).tobytes()
+
 #: Entries of a worker's tables; a full table is emptied and filled anew, so results don't change.
 WORD_ENTRIES = 120_000
 TABLE_ENTRIES = 250_000
+#: Bytes of text whose ids and decoded text a worker holds at once, if no single text has more.
+PART_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,17 +56,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class State(dict):
-    """A state of the byte automaton: following states by byte, and the token that ends here."""
+class Table(dict):
+    """Transitions of the byte automaton: the following state by ``state | byte``, filled when first met.
+
+    States are multiples of 256, from 0, the start. Numbers and packed bytes take a fraction of the
+    memory of objects for states.
+    """
 
-    __slots__ = ("automaton", "length", "readings", "token")
+    __slots__ = ("automaton", "ended", "readings", "states")
 
-    def __init__(self, automaton: Automaton, readings: tuple, token: int):
-        self.automaton, self.readings, self.token = automaton, readings, token
-        self.length = len(automaton.labels[token]) if token >= 0 else 0
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        # By state: its open readings, packed, and the token that ends there.
+        self.readings, self.ended = [_START], array("i", [-1])
+        self.states = {_START: 0}
 
-    def __missing__(self, byte: int) -> State:
-        return self.automaton.transition(self, byte)
+    def __missing__(self, key: int) -> int:
+        return self.automaton.transition(self, key)
 
 
 class Words(dict):
@@ -95,6 +109,7 @@ class Automaton:
             self.labels[added["id"]] = added["content"].encode()
             self.special[added["content"]] = added["id"]
         self._splits = regex.compile(PATTERN)
+        self._lengths = array("i", map(len, self.labels))
         self._specials = (
             regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
             if self.special else None
@@ -185,49 +200,47 @@ class Automaton:
             self._token[node] = i
 
     def _empty_table(self) -> None:
-        start = ((-1, 0),)
-        self._start = State(self, start, -1)
-        self._states: dict[tuple, State] = {start: self._start}
-        self._entries = 0
+        self._table = Table(self)
 
-    def transition(self, state: State, byte: int) -> State:
+    def transition(self, table: Table, key: int) -> int:
         """Fill one entry of the table."""
-        readings, ended = [], -1
+        readings, ended, byte = array("q"), -1, key & 255
         step, tokens, opened = self._step, self._token, self._open
-        for u, node in state.readings:
-            node = step.get(node << 8 | byte)
+        for reading in array("q", table.readings[key >> 8]):
+            node = step.get((reading & _PLACE) << 8 | byte)
             if node is None:
                 continue
             if ended < 0:
                 token = tokens[node]
-                if token >= 0 and (u < 0 or self.follows(u, token)):
+                if token >= 0 and (reading <= _PLACE or self.follows((reading >> 32) - 1, token)):
                     ended = token
             if opened[node]:
-                readings.append((u, node))
+                readings.append(reading & ~_PLACE | node)
         if ended < 0:
             raise ValueError("the vocabulary lacks a byte")
-        readings.append((ended, 0))
-        key = tuple(readings)
-        following = self._states.get(key)
+        readings.append(ended + 1 << 32)
+        packed = readings.tobytes()
+        following = table.states.get(packed)
         if following is None:
-            following = self._states[key] = State(self, key, ended)
-        state[byte] = following
-        self._entries += 1
+            following = table.states[packed] = len(table.readings) << 8
+            table.readings.append(packed)
+            table.ended.append(ended)
+        table[key] = following
         return following
 
     def word(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word."""
-        if self._entries > TABLE_ENTRIES:
+        if len(self._table) > TABLE_ENTRIES:
             self._empty_table()
-        state, passed = self._start, []
+        table, lengths, state, passed = self._table, self._lengths, 0, []
         for byte in word:
-            state = state[byte]
+            state = table[state | byte]
             passed.append(state)
-        ids, at = [], len(word)
+        ids, at, ended = [], len(word), table.ended
         while at:
-            state = passed[at - 1]
-            ids.append(state.token)
-            at -= state.length
+            token = ended[passed[at - 1] >> 8]
+            ids.append(token)
+            at -= lengths[token]
         ids.reverse()
         return ids
 
@@ -311,6 +324,16 @@ def _sent(spark, vocabulary_path: str):
     return spark.sparkContext.broadcast(content)
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch cut into consecutive parts of about ``PART_BYTES``."""
+    begin, held = 0, 0
+    for end, length in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        held += length or 0
+        if held >= PART_BYTES or end == len(texts):
+            yield texts[begin:end]
+            begin, held = end, 0
+
+
 def bpe_codec(spark, vocabulary_path: str):
     """A function on text columns giving ``struct<n_tokens, ids, decoded>``.
 
@@ -318,14 +341,17 @@ def bpe_codec(spark, vocabulary_path: str):
     """
     sent = _sent(spark, vocabulary_path)
 
-    @F.pandas_udf("n_tokens long, ids binary, decoded string")
-    def codec(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids binary, decoded string")
+    def codec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with _automaton(sent) as automaton:
             for texts in batches:
-                ids = [automaton.encode(t or "") for t in texts]
-                yield pd.DataFrame({
-                    "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [automaton.decode(i) for i in ids],
-                })
+                for part in _parts(texts):
+                    ids = [automaton.encode(t or "") for t in part.to_pylist()]
+                    columns = {
+                        "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
+                        "decoded": pa.array([automaton.decode(i) for i in ids], pa.string()),
+                    }
+                    yield pa.StructArray.from_arrays([*columns.values()], [*columns])
 
     return codec
 

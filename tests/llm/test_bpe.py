@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from revaxis.llm import bpe
 from revaxis.llm.bpe import Automaton, decode_documents, encode_documents, token_ids
 from revaxis.llm.queries import QUERIES
 
@@ -55,6 +58,30 @@ def test_full_tables_are_emptied(library, monkeypatch):
         assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_table_is_small(automaton):
+    pick = random.Random(5)
+    automaton.close()
+    tracemalloc.start()
+    for _ in range(10_000):
+        automaton.word("".join(pick.choice("aeinorstlu") for _ in range(9)).encode())
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    # 388 bytes an entry with an object for each state.
+    assert held < 300 * len(automaton._table)
+
+
+def test_batches_are_encoded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_BYTES", 10)
+    lengths = [["", "b" * 9, None, "c"], ["d" * 30], [None, "e"], []]
+    for texts in ([t for part in lengths for t in part], [], [None]):
+        parts = [p.to_pylist() for p in bpe._parts(pa.array(texts, pa.string()))]
+        assert [t for part in parts for t in part] == texts
+        assert all(sum(len(t or "") for t in part[:-1]) < 10 for part in parts)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["x " * 700_000, None, "", "y", "z " * 700_000])], "i int, text string")
+    got = encode_documents(rows.coalesce(1), PATH).collect()
+    assert [r["decoded"] for r in sorted(got)] == ["x " * 700_000, "", "", "y", "z " * 700_000]
+
+
 def test_rows(spark):
     df = spark.createDataFrame(
         [(1, "one two", 5), (1, "one two", 5), (2, None, 6), (None, "", 7)], "doc_id long, text string, ids int"
