@@ -7,6 +7,7 @@ seconds on the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -74,6 +75,57 @@ def sql_any(text: str, terms: Iterable[str]) -> str:
     return f"({tests})" if tests else "false"
 
 
+def _alternatives(pattern: str) -> list[list[str]]:
+    """The plain pieces between the gaps of each alternative of ``(one|two.*three)``, with or without word
+    borders; no alternatives for any other pattern."""
+    listed = re.fullmatch(r"(?:\\b)?\((.*)\)(?:\\b)?", pattern)
+    found = [re.split(r"\.\*|\\d\+", alternative) for alternative in listed[1].split("|")] if listed else []
+    if not all(re.fullmatch(r"(?:[\w' ]|\\\$)*", piece) for pieces in found for piece in pieces):
+        return []
+    return [[piece.replace("\\$", "$") for piece in pieces] for pieces in found]
+
+
+def pattern_pieces(pattern: str) -> list[tuple[str, ...]]:
+    """Sets of plain pieces: every match of ``pattern`` holds all pieces of one; none if that can't be told."""
+    found = set()
+    for pieces in _alternatives(pattern):
+        plain = {piece for piece in pieces if piece}
+        # A piece within another one adds nothing.
+        found.add(tuple(sorted(p for p in plain if not any(o != p and p in o for o in plain))))
+    if () in found:
+        return []
+
+    def implied(pieces, others):
+        return all(any(other in piece for piece in pieces) for other in others)
+
+    return sorted(f for f in found if not any(o != f and implied(f, o) for o in found))
+
+
+def sql_may_match(text: str, pattern: str) -> str:
+    """A cheap test that holds for every ``text`` in which ``pattern`` is found."""
+    tests = " OR ".join(
+        "(" + " AND ".join(f"contains({text}, {sql_literal(piece)})" for piece in pieces) + ")"
+        for pieces in pattern_pieces(pattern)
+    )
+    return f"({tests})" if tests else "true"
+
+
+def _sought(pattern: str) -> str:
+    """``pattern`` as a literal, tried only at the letters that a match can begin with, if they are known."""
+    first = {pieces[0][:1] for pieces in _alternatives(pattern)}
+    return sql_pattern(pattern if not first or "" in first else f"(?=[{''.join(sorted(first))}]){pattern}")
+
+
+def sql_found(text: str, pattern: str) -> str:
+    """Whether a pattern of the rules is found in ``text``, a column or a variable."""
+    return f"({sql_may_match(text, pattern)} AND rlike({text}, {_sought(pattern)}))"
+
+
+def sql_count(text: str, pattern: str) -> str:
+    """How often a pattern of the rules is found in ``text``; null for null."""
+    return f"if(NOT {sql_may_match(text, pattern)}, 0, regexp_count({text}, {_sought(pattern)}))"
+
+
 def sql_first_label(text: str, labelled_terms, otherwise: str | None) -> str:
     cases = " ".join(
         f"WHEN {sql_any(text, terms)} THEN {sql_literal(label)}" for label, terms in labelled_terms

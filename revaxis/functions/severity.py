@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 
 from ..rules.signals import COMPLAINT_TAGS, FLAG_PATTERNS, SEVERITY_PATTERNS
-from .matching import on_text, sql_let, sql_literal, sql_pattern, sql_struct
+from .matching import on_text, sql_count, sql_found, sql_let, sql_literal, sql_struct
 
 LEVELS = tuple(SEVERITY_PATTERNS)
 
@@ -13,7 +13,7 @@ LEVELS = tuple(SEVERITY_PATTERNS)
 def issue_flags(text: str) -> Column:
     """Struct of ``fraud_related, money_related, update_related``."""
     flags = {
-        name: " OR ".join(f"rlike(_t, {sql_pattern(pattern)})" for pattern in patterns)
+        name: " OR ".join(sql_found("_t", pattern) for pattern in patterns)
         for name, patterns in FLAG_PATTERNS.items()
     }
     return on_text(text, sql_struct(**flags))
@@ -22,7 +22,7 @@ def issue_flags(text: str) -> Column:
 def severity_of(text: str, rating: str = "rating") -> Column:
     """Struct ``(severity, severity_score)`` from pattern counts, rating and length (C20)."""
     hits = {
-        level: " + ".join(f"regexp_count(_t, {sql_pattern(pattern)})" for pattern in patterns)
+        level: " + ".join(sql_count("_t", pattern) for pattern in patterns)
         for level, patterns in SEVERITY_PATTERNS.items()
     }
     points = sql_struct(
@@ -43,6 +43,6 @@ def severity_of(text: str, rating: str = "rating") -> Column:
 def complaint_tags(text: str) -> Column:
     """Array of complaint theme tags, in fixed order."""
     tags = ", ".join(
-        f"if(rlike(_t, {sql_pattern(pattern)}), {sql_literal(tag)}, NULL)" for tag, pattern in COMPLAINT_TAGS.items()
+        f"if({sql_found('_t', pattern)}, {sql_literal(tag)}, NULL)" for tag, pattern in COMPLAINT_TAGS.items()
     )
     return on_text(text, f"array_compact(array({tags}))")

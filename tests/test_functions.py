@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from revaxis.functions import dates, levels, matching, severity, text
 from revaxis.functions.sentiment import keyword_boost
+from revaxis.rules.signals import COMPLAINT_TAGS, FLAG_PATTERNS, SEVERITY_PATTERNS
 
 
 def value(spark, column, **columns):
@@ -142,3 +143,21 @@ def test_patterns_know_accented_letters_and_line_ends(make_reviews):
     found = {r.review_id: r.s for r in rows.select("review_id", severity.severity_of("review").alias("s")).collect()}
     assert found["1"].severity_score < found["2"].severity_score
     assert (found["3"].severity, found["4"].severity) == ("critical", "severe")
+
+
+def test_patterns_run_only_where_their_pieces_are(spark):
+    assert matching.pattern_pieces(r"\b(lag|laggy|a.*bc|bc.*a)\b") == [("a", "bc"), ("lag",)]
+    assert matching.pattern_pieces(r"\b(\$\d+|\d+.*dollar)\b") == [("$",), ("dollar",)]
+    for unknown in ("x+", r"(a|\w+)", "(a|(b)c)", "(a|)", r"(a|\d+)", "(a|b?)", "(a|.)"):
+        assert matching.pattern_pieces(unknown) == []
+    patterns = [p for ps in (*SEVERITY_PATTERNS.values(), *FLAG_PATTERNS.values()) for p in ps] + [*COMPLAINT_TAGS.values()]
+    texts = [None, "", "pay $5 now", "5 dollar", "crashed", "crash crash", "data is lost", "lost\ndata", "can't ever open", "log me in", "\u00e9bug bug", "lag"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in patterns:
+        assert matching.pattern_pieces(pattern), pattern
+        literal = matching.sql_pattern(pattern)
+        got = rows.selectExpr(
+            f"{matching.sql_found('t', pattern)} <=> rlike(t, {literal})", f"{matching.sql_count('t', pattern)} <=> regexp_count(t, {literal})")
+        assert all(all(row) for row in got.collect()), pattern
+    # A text without any of the pieces meets no regular expression.
+    assert "contains(" in rows.select(severity.issue_flags("t"))._jdf.queryExecution().optimizedPlan().toString()
