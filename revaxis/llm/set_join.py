@@ -13,9 +13,10 @@ link between different sets is missed, and no group is expanded into all its pai
    then on it is what it lacks (L) and adds (A) against the pivot.
 4. Within a cluster the answers follow from the pivot's: the intersection of x and y is
    ``|p| - |Lx| - |Ly| + |Lx & Ly| + |Ax & Ay|``. If neither lacks nor adds the same, x and y
-   can only link if both link to the pivot, which adds nothing to the component. So only
-   sets that do not link to the pivot look for others, through lists of A, or through lists of
-   L for sets that lack more than they add.
+   can only link if both link to the pivot, which adds nothing to the component. A set that
+   does not link to the pivot is first compared with one hub, the cheapest set that shares the most
+   of its differences; what pivot and hubs link is not compared again. The others meet in lists of
+   differences, the rarest of the cluster first, as far as their costs leave room for a link.
 5. Between clusters the index lists are read by blocks of like sizes: a list whose sets are all
    in one cluster is skipped, and so are blocks and entries whose sizes differ too much. An n-gram
    at places i and j of two sets leaves room for ``min(i, j)`` common ones before it and for
@@ -34,7 +35,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, written
@@ -268,44 +269,89 @@ def _clusters(docs, lists, n, threshold) -> tuple[DataFrame, DataFrame]:
 
 
 def _inner_links(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links between members of one cluster of which at least one does not link to the pivot.
+    """Links that join members of one cluster of which at least one does not link to the pivot.
 
     With the threshold P/Q, a set's cost ``c = Q |L| + P |A|`` and the pivot's size r, two
     members that share s of what they lack or add link when
-    ``c(x) + c(y) - (P + Q) s <= (Q - P) r``.
+    ``c(x) + c(y) - (P + Q) s <= f`` with ``f = (Q - P) r``; a set links to the pivot when c <= f.
+    What is shared costs either at least P, so s is at least ``(c - f) / Q`` for a set that does not
+    link to the pivot, and more than ``c / (P + Q)`` for any set that it links to. Differences
+    are put in one order, those of few members first; linked sets share one among those that
+    stand before the last s - 1 of either. Sets that a hub or the pivot links already are not compared.
     """
     p, q = threshold.numerator, threshold.denominator
     costs = members.select(
-        "node", "root", "linked", "lacks", "adds", F.size("lacks").alias("l"), F.size("adds").alias("a"),
+        "node", "root", "linked", "lacks", "adds", (F.size("lacks") + F.size("adds")).alias("size"),
         (F.lit(q) * F.size("lacks") + F.lit(p) * F.size("adds")).alias("c"),
         (F.lit(q - p) * F.col("root_size")).alias("free"),
     )
     # Clusters whose members all link to the pivot are done.
     opened = costs.where(~F.col("linked")).select("root").distinct()
     costs = written(costs.join(opened, "root"), "costs")
-
-    def listed(side: str, prefix: str) -> DataFrame:
-        kept = [F.col(c).alias(f"{prefix}{c}") for c in ("node", "linked", "l", "a", "c", "free")]
-        return costs.select("root", F.explode(side).alias("gram"), *kept)
-
-    once = (F.col("x_node") != F.col("y_node")) & (F.col("y_linked") | (F.col("x_node") < F.col("y_node")))
-    added = listed("adds", "x_").where(~F.col("x_linked")).join(listed("adds", "y_"), ["root", "gram"]).where(once)
-    # Without a common addition: s is at most what either lacks.
-    rest = F.lit(p) * (F.col("y_l") - F.col("y_a")) >= F.col("x_c") - F.col("x_free")
-    back = F.lit(p) * (F.col("x_l") - F.col("x_a")) >= F.col("y_c") - F.col("x_free")
-    lacked = (
-        listed("lacks", "x_").where(~F.col("x_linked"))
-        .join(listed("lacks", "y_").where("y_l > y_a"), ["root", "gram"]).where(once & rest & back)
-    )
-    pairs = added.select("x_node", "y_node").union(lacked.select("x_node", "y_node")).distinct()
+    # A pivot has the n-grams that others lack and none that they add, so an n-gram needs no mark.
+    entries = costs.select("root", "node", "linked", "size", "c", "free", F.explode(F.concat("lacks", "adds")).alias("gram"))
+    lists = entries.groupBy("root", "gram").agg(
+        F.count("*").alias("n"), F.bool_and("linked").alias("done"), F.min(F.struct("c", "node"))["node"].alias("hub")
+    ).where("n > 1")
+    at = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "gram")) - 1
+    entries = written(
+        entries.join(lists, ["root", "gram"], "left").withColumn("at", at).where("not done").drop("done"), "differences")
+    stars, labels = _stars(costs, entries, p, q)
+    over_free, links = F.col("c") - F.col("free"), F.floor(F.col("c") / F.lit(p + q))
+    alone = F.col("size") - F.floor((over_free + F.lit(q - 1)) / F.lit(q)) + 1
+    # How far a set is read for partners that do not link to the pivot, and for those that do.
+    reach = F.when(F.col("linked"), F.array(F.col("size") - links)).otherwise(
+        F.array(F.least(F.col("size") - links, alone), alone))
+    placed = entries.join(labels, "node").select(
+        "root", "gram", "node", "linked", "label", "most", "c", "free", (F.col("size") - F.col("at")).alias("left"), "at",
+        F.posexplode(reach).alias("o_linked", "reach")).where("at < reach")
+    placed = written(placed.select(
+        "root", "gram", "node", "label", "most", "c", "free", "left", F.col("linked").cast("int").alias("linked"), "o_linked"), "reached")
+    mixed = placed.groupBy("root", "gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
+        "low < high").select("root", "gram")
+    placed = placed.join(mixed, ["root", "gram"])
+    other = placed.select(
+        "root", "gram", F.col("linked").alias("o_linked"), F.col("o_linked").alias("linked"),
+        *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "most", "c", "left")))
+    once = (F.col("label") != F.col("o_label")) & (F.col("o_most") | (F.col("node") < F.col("o_node")))
+    enough = F.lit(p + q) * F.least("left", "o_left") >= F.col("c") + F.col("o_c") - F.col("free")
+    pairs = placed.where(~F.col("most")).join(other, ["root", "gram", "linked", "o_linked"]).where(once & enough).select(
+        F.col("node").alias("x"), F.col("o_node").alias("y")).distinct()
+    return stars.union(_linked_pairs(costs, pairs, p, q))
+
+
+def _linked_pairs(costs: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """Those of the pairs ``(x, y)`` of members of one cluster that link."""
     sides = [
-        costs.select(*(F.col(c).alias(f"{side}_{c}") for c in ("node", "lacks", "adds", "c", "free")))
+        costs.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("lacks", "adds", "c", "free")))
         for side in ("x", "y")
     ]
-    both = pairs.join(sides[0], "x_node").join(sides[1].drop("y_free"), "y_node")
+    both = pairs.join(sides[0], "x").join(sides[1].drop("y_free"), "y")
     common = F.size(F.array_intersect("x_lacks", "y_lacks")) + F.size(F.array_intersect("x_adds", "y_adds"))
-    return both.where(F.col("x_c") + F.col("y_c") - F.lit(p + q) * common <= F.col("x_free")).select(
-        F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+    return both.where(F.col("x_c") + F.col("y_c") - F.lit(p + q) * common <= F.col("x_free")).select("x", "y")
+
+
+def _stars(costs: DataFrame, entries: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Links of members to hubs, and a label of each member; members of one label are linked by these.
+
+    The hub of a difference is the cheapest set that has it. A set that does not link to the
+    pivot is compared with the hub that it meets most often. ``most`` marks the largest label of a cluster.
+    """
+    met = entries.where(~F.col("linked") & (F.col("hub") != F.col("node"))).groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = met.groupBy(F.col("node").alias("x")).agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("y"))
+    stars = written(_linked_pairs(costs, best, p, q), "stars")
+    # Hubs are cheaper than what they link, so no label leads back.
+    first = costs.select("node", "root", "linked").join(
+        stars.select(F.col("x").alias("node"), F.col("y").alias("hub")), "node", "left"
+    ).select("node", "root", F.when(F.col("linked"), F.col("root")).otherwise(F.coalesce("hub", "node")).alias("label"))
+    first = written(first, "hubs")
+    for _ in range(2):  # a hub may have a hub
+        up = first.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        first = first.join(up, "label", "left").select("node", "root", F.coalesce("above", "label").alias("label"))
+    first = written(first, "hubs")
+    largest = first.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(
+        F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"))
+    return stars, first.join(largest, "root").select("node", "label", (F.col("label") == F.col("largest")).alias("most"))
 
 
 def _outer_links(docs, lists, members, sets, n, threshold) -> DataFrame:

@@ -85,6 +85,42 @@ def test_against_all_pairs(spark, monkeypatch, seed, n, threshold, edits):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c if s else d for d, s, c in got})
 
 
+def test_links_of_a_poor_pivot(spark):
+    """Members that all lack and add what the pivot's own edits made are joined without all their pairs."""
+    pick, base = random.Random(5), set(range(150))
+    pivot = base - set(range(10)) | set(range(1_000, 1_010))
+    sets = {}
+    for node in range(1, 401):
+        edits = pick.sample(range(2, 30), pick.randint(0, 5))
+        own = {g for e in edits for g in range(5 * e, 5 * e + 5)}
+        marks = {10_000 + 50 * g + pick.randrange(4) if node % 10 else 10_000 + 50 * g for g in own}
+        sets[node] = base - own | marks
+    for node in range(401, 411):  # far from the others, near each other
+        sets[node] = base - set(range(60, 110)) | set(range(2_000, 2_050)) | {3_000 + node}
+    linked = {n: 5 * len(pivot & s) >= 4 * len(pivot | s) for n, s in sets.items()}
+    members = spark.createDataFrame(
+        [(n, 0, len(s), len(pivot), sorted(pivot - s), sorted(s - pivot), linked[n]) for n, s in sets.items()],
+        "node long, root long, size int, root_size int, lacks array<long>, adds array<long>, linked boolean")
+    links = [tuple(r) for r in set_join._inner_links(members, Fraction(4, 5)).collect()]
+
+    def components(links):
+        parent = {n: n for n in (0, *sets)}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for x, y in [*links, *((n, 0) for n in sets if linked[n])]:
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+        return {n: root(n) for n in sets}
+
+    near = [(x, y) for x in sets for y in sets if x < y and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
+    assert {(min(pair), max(pair)) for pair in links} <= set(near)
+    assert components(links) == components(near)
+    assert len(near) > 10_000 and len(links) < 2 * len(sets)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(5, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"),
