@@ -247,6 +247,20 @@ def bisecting_clusters(features: DataFrame, k: int, cluster_column: str = "clust
     return model.transform(features)
 
 
+def complaint_text_features(
+    negatives: DataFrame,
+    minimum: int,
+    vocabulary: int,
+    text_column: str = "review",
+    stopwords: Iterable[str] = STOPWORDS,
+) -> DataFrame | None:
+    """Negative reviews with TF-IDF ``features``, written for several fits; none if the reviews are too few."""
+    if negatives.limit(minimum).count() < minimum:
+        return None
+    features, _ = tfidf_features(negatives, text_column, vocabulary, stopwords=stopwords)
+    return materialized(features)
+
+
 def complaint_text_clusters(
     negatives: DataFrame,
     per_cluster: int,
@@ -257,16 +271,18 @@ def complaint_text_clusters(
     text_column: str = "review",
     method: str = "kmeans",
     stopwords: Iterable[str] = STOPWORDS,
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """TF-IDF clusters of negative reviews with ``k = min(k_max, max(k_min, n / per_cluster))``.
 
     The fixed settings of the known reports: K3 ``(5, 2, 10, 2, 100, 'ward')``, K7
-    ``(20, 2, 10, 5, 1000)``, K9 ``(10, 2, 5, 3, 100)``. Too few reviews give no rows.
+    ``(20, 2, 10, 5, 1000)``, K9 ``(10, 2, 5, 3, 100)``. Too few reviews give no rows. ``features`` are those of
+    ``complaint_text_features`` for the same reviews, when several methods cluster them.
     """
-    if negatives.limit(minimum).count() < minimum:
+    if features is None:
+        features = complaint_text_features(negatives, minimum, vocabulary, text_column, stopwords)
+    if features is None:
         return negatives.withColumn("cluster_id", F.lit(None).cast("int")).where(F.lit(False))
-    features, _ = tfidf_features(negatives, text_column, vocabulary, stopwords=stopwords)
-    features = materialized(features)
     total = features.count()
     k = min(k_max, max(k_min, total // per_cluster))
     if method == "ward":

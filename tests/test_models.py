@@ -172,3 +172,21 @@ def test_phrase_clusters_take_negative_and_neutral_reviews_with_phrases(spark):
     # 15 reviews make three clusters.
     assert {frozenset(g) for g in found.values()} == {frozenset(f"{i}-{n}" for n in range(5)) for i in range(3)}
     assert phrase_clusters(df.limit(0)).count() == 0
+
+
+def test_methods_share_text_features(spark, make_reviews, monkeypatch):
+    from revaxis.operators import clusters
+
+    words = ("slow", "crash", "login", "refund", "ads", "battery")
+    # One file, since seeds of k-means go by the order of rows.
+    rows = make_reviews(*((i, "a", 1, f"{words[i % 6]} {words[i // 6 % 6]} app") for i in range(60))).coalesce(1)
+    settings, methods = (5, 2, 10, 2, 100), ("ward", "bisecting", "kmeans")
+    alone = [clusters.complaint_text_clusters(rows, *settings, method=m) for m in methods]
+    features = clusters.complaint_text_features(rows, 2, 100)
+    monkeypatch.setattr(clusters, "tfidf_features", None)  # the texts are not read again
+    shared = [clusters.complaint_text_clusters(rows, *settings, method=m, features=features) for m in methods]
+    for one, other in zip(alone, shared, strict=True):
+        assert one.columns == other.columns
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    assert clusters.complaint_text_features(rows.limit(1), 2, 100) is None
+    assert clusters.complaint_text_clusters(rows.limit(1), *settings).count() == 0

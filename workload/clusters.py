@@ -296,9 +296,10 @@ _METHODS = ("ward", "bisecting", "kmeans")
 def _(spark, sf):
     """What holds for any fitted model: every negative review has one of at most k clusters (K3, K7)."""
     rows = negative_reviews(reviews(spark, sf), "rating")
+    features = clusters.complaint_text_features(rows, 2, 100)
     facts = None
     for method in _METHODS:
-        found = clusters.complaint_text_clusters(rows, 5, 2, 10, 2, 100, method=method)
+        found = clusters.complaint_text_clusters(rows, 5, 2, 10, 2, 100, method=method, features=features)
         k = F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.count("*") / 5)))
         fact = found.agg(
             F.count("*").alias("n_reviews"), k.cast("bigint").alias("k"),
