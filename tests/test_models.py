@@ -190,3 +190,37 @@ def test_methods_share_text_features(spark, make_reviews, monkeypatch):
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
     assert clusters.complaint_text_features(rows.limit(1), 2, 100) is None
     assert clusters.complaint_text_clusters(rows.limit(1), *settings).count() == 0
+
+
+def test_centres_meet_blocks_of_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(grouped, "BLOCK", 5)
+    texts = texts_of(spark, made(4) + made(4)[:9] + [("a", "the and")])
+    features, _ = grouped.group_features(texts, BY, vocabulary=6)
+    features = grouped.materialized(features)
+    seeds = grouped.seed_centres(features, BY, F.lit(3), "review_id", 6)
+    blocks = grouped.packed(features.where("app_id is not null"), BY).select("app_id", F.size("texts").alias("n"), F.explode("texts.row").alias("row")).collect()
+    of = {r["row"]: r["app_id"] for r in features.where("app_id is not null").collect()}
+    assert {r["row"]: r["app_id"] for r in blocks} == of and len(blocks) == len(of)
+    # Centres are copied once for a block: blocks are many fewer than texts, and none holds a whole group.
+    assert sum(1 / r["n"] for r in blocks) < len(of) / 2 and max(r["n"] for r in blocks if r["app_id"] == "a") < 20
+    middle = {}
+    for r in seeds.collect():
+        middle.setdefault(r["app_id"], []).append((r["centre"], r["dense"]))
+    for df in (features, features.drop("row")):
+        near = grouped.nearest_centres(df, seeds, BY)
+        assert near.columns == [*BY, *(c for c in df.columns if c not in BY), "centre"]
+        for r in near.collect():
+            far = [(round(sum(x * x for x in c) - 2 * sum(t["w"] * c[t["i"]] for t in r["terms"]), 9), at) for at, c in middle[r["app_id"]]]
+            assert r["centre"] == min(far)[1]
+
+
+def test_whole_units_as_spark_rounds(spark):
+    from pyspark.sql import functions as F
+
+    x = np.array([0.1234567890125, -0.1234567890125, 1 / 3, 0.5, 0.0, 1.0000000005, -1.0000000005, 0.0000000000005, 2.5e-12])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for digits in (9, 12):
+        want = [int(r[0].scaleb(digits)) for r in df.select(F.col("x").cast(f"decimal(24,{digits})")).collect()]
+        assert grouped._whole(x, digits).astype(int).tolist() == want
