@@ -10,125 +10,162 @@ all candidates together: hot cells go to blocks, and a task gives one candidate
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BY_APP
 from ..session import materialized
-from .clusters import tfidf_features, ward_merge
+from .clusters import tfidf_features
 from .phrases import key_phrases
-from .similarity import comparable, connected, meeting
+from .similarity import EXACT, MOST, TILE, Gaps, comparable, connected, grid, meeting, tiles
 
-#: Clusters that are left to the driver at most: a table of this many squared costs.
-FINISH = 256
+#: Clusters that are left to the driver at most, and fewer if they had over ``MOST`` numbers: it keeps no table of their costs.
+FINISH = 4_096
 # Points whose gaps give the first threshold when a number of clusters is asked for.
 _SAMPLE = 500
 
 
-def _nearest(group: pd.DataFrame, threshold: float) -> list[tuple[int, float, int, int]]:
+class _Best:
+    """The cheapest pair ``(cost, low, high)`` below ``threshold`` of every cluster among those compared."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, means: np.ndarray, threshold: float) -> None:
+        self.nodes, self.sizes, self.means, self.threshold = nodes, sizes, means, threshold
+        self.gaps = Gaps(means)
+        self.cost = np.full(len(nodes), np.inf)
+        self.low, self.high = np.full(len(nodes), -1, np.int64), np.full(len(nodes), -1, np.int64)
+        # Squared costs above which nothing is wanted any more.
+        self.bound = np.full(len(nodes), min(threshold * threshold, np.finfo(float).max))
+
+    def compare(self, rows: np.ndarray, columns: np.ndarray) -> None:
+        for mine, others in tiles(rows, columns):
+            at = self._cheap(mine, others)
+            i, j = mine[at // len(others)], others[at % len(others)]
+            some = max(EXACT // self.means.shape[1], 1)
+            for start in range(0, len(i), some):
+                self._exact(i[start : start + some], j[start : start + some])
+
+    def _cheap(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Places in a tile that may hold the least cost of their row or column: rounding is left to the exact costs."""
+        own, their = self.sizes[rows], self.sizes[columns]
+        same = np.flatnonzero(rows[:, None] == columns) if rows[0] <= columns[-1] and columns[0] <= rows[-1] else None
+        for kind in range(len(self.gaps.kinds)):
+            rough, margin = self.gaps.tile(rows, columns, kind)
+            weights = np.add.outer((0.5 / own).astype(rough.dtype), (0.5 / their).astype(rough.dtype))
+            rough /= weights
+            if same is not None:
+                rough.ravel()[same] = np.inf
+            # A weight is at most twice the smaller size.
+            margins = [2 * np.minimum(sizes, most) * margin for sizes, most in ((own, their.max()), (their, own.max()))]
+            limits = []
+            for side, axis, slack in ((rows, 1, margins[0]), (columns, 0, margins[1])):
+                least, bound = rough.min(axis), self.bound[side]
+                limit = np.minimum(least + 2 * slack, bound + slack) * (1 + 1e-6)
+                limits.append(np.where(np.isnan(least), np.inf, limit).astype(rough.dtype))
+            found = [np.flatnonzero(~(rough > limits[0][:, None]))]
+            some = np.flatnonzero(~(rough.min(0) > limits[1]))
+            part = np.flatnonzero(~(rough[:, some] > limits[1][some]))
+            if len(some):
+                found.append(part // len(some) * len(columns) + some[part % len(some)])
+            at = np.unique(np.concatenate(found))
+            if len(at) <= 4 * (len(rows) + len(columns)):
+                break
+        return at
+
+    def _exact(self, i: np.ndarray, j: np.ndarray) -> None:
+        sizes, other_sizes = self.sizes[i], self.sizes[j]
+        cost = np.sqrt(2 * sizes * other_sizes / (sizes + other_sizes) * ((self.means[j] - self.means[i]) ** 2).sum(1))
+        wanted = (cost < self.threshold) & (i != j)
+        i, j, cost = i[wanted], j[wanted], cost[wanted]
+        mine, others = self.nodes[i], self.nodes[j]
+        low, high = np.tile(np.minimum(mine, others), 2), np.tile(np.maximum(mine, others), 2)
+        place, cost = np.concatenate([i, j]), np.tile(cost, 2)
+        order = np.lexsort((high, low, cost, place))
+        order = order[np.diff(place[order], prepend=-1) > 0]
+        place, cost, low, high = place[order], cost[order], low[order], high[order]
+        better = cost < self.cost[place]
+        even = cost == self.cost[place]
+        better |= even & ((low < self.low[place]) | ((low == self.low[place]) & (high < self.high[place])))
+        place = place[better]
+        self.cost[place], self.low[place], self.high[place] = cost[better], low[better], high[better]
+        self.bound[place] = cost[better] ** 2 * (1 + 1e-12)
+
+
+def _nearest(group: dict[str, np.ndarray], threshold: float) -> list[tuple[int, float, int, int]]:
     """``(node, cost, low, high)``: the cheapest partner of every cluster below ``threshold`` among those compared."""
-    nodes, sizes = group["node"].to_numpy(), group["size"].to_numpy(float)
-    means = np.array(group["v"].tolist())
-    squares = (means**2).sum(1)
-    found = []
-    for rows, columns in comparable(group, both_ways=True):
-        their_means, their_squares, their_sizes = means[columns], squares[columns], sizes[columns]
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
-            weights = 2 * sizes[part, None] * their_sizes[None] / (sizes[part, None] + their_sizes[None])
-            rough = squares[part, None] + their_squares[None]
-            scale = weights * (1 + rough)
-            rough -= 2 * means[part] @ their_means.T
-            rough *= weights
-            rough[part[:, None] == columns[None]] = np.inf
-            # Rounding is left to the exact costs of those that come near the least.
-            scale *= 1e-9
-            least = np.minimum((rough + scale).min(1), threshold * threshold * (1 + 1e-9))
-            rough -= scale
-            near = rough <= least[:, None]
-            for i in np.flatnonzero(near.any(1)).tolist():
-                own, others = int(part[i]), np.flatnonzero(near[i])
-                costs = np.sqrt(weights[i, others] * ((their_means[others] - means[own]) ** 2).sum(1))
-                mine = int(nodes[own])
-                best = min(((c, min(mine, o), max(mine, o)) for c, o in zip(costs.tolist(), nodes[columns[others]].tolist())
-                            if c < threshold), default=None)
-                if best:
-                    found.append((mine, *best))
-    return found
-
-
-def _best(clusters: DataFrame, threshold: float) -> DataFrame:
-    """``(node, best)``: the cheapest pair below ``threshold`` of every cluster that has one."""
+    best = _Best(group["node"], group["size"], group["v"], threshold)
+    for rows, columns in comparable(group, both_ways=False):
+        best.compare(rows, columns)
+    met = np.flatnonzero(best.low >= 0)
+    return list(zip(*(a[met].tolist() for a in (best.nodes, best.cost, best.low, best.high))))
+
+
+def _round(clusters: DataFrame, threshold: float, axes: np.ndarray) -> DataFrame:
+    """Clusters ``(node, size, v, open, cost, high)`` after all pairs of open ones that are each other's cheapest have merged.
+
+    A merged cluster keeps the lower node, and has what the pair cost and its higher node. Those that have no partner
+    below ``threshold`` are not open any more: merging brings none nearer.
+    """
     candidates = meeting(
-        clusters, threshold, lambda group: _nearest(group, threshold), "node long, cost double, low long, high long"
-    )
-    return materialized(candidates.groupBy("node").agg(F.min(F.struct("cost", "low", "high")).alias("best")))
-
-
-def _mean(low: str, high: str):
-    total = F.col(f"{low}.size") + F.col(f"{high}.size")
-    return F.zip_with(
-        f"{low}.v", f"{high}.v",
-        lambda a, b: (a * F.col(f"{low}.size") + b * F.col(f"{high}.size")) / total,
-    )
-
-
-def _merged(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Clusters after merging disjoint pairs ``(low, high)``; a merged one keeps the lower node."""
-    low, high = clusters.alias("a"), clusters.alias("b")
-    joined = pairs.join(low, F.col("a.node") == F.col("low")).join(high, F.col("b.node") == F.col("high"))
-    new = joined.select(
-        F.col("low").alias("node"), (F.col("a.size") + F.col("b.size")).alias("size"), _mean("a", "b").alias("v")
-    )
-    touched = pairs.select(F.explode(F.array("low", "high")).alias("node"))
-    return clusters.join(touched, "node", "left_anti").unionByName(new)
-
-
-def _renamed(members: DataFrame, moves: DataFrame) -> DataFrame:
-    """Members ``(point, node)`` after clusters ``high`` became ``low``."""
-    moved = members.join(moves, members["node"] == moves["high"], "left")
-    return moved.select("point", F.coalesce("low", "node").alias("node"))
-
-
-def _finished(clusters: DataFrame, members: DataFrame, **how) -> DataFrame:
-    """Moves that merge a bounded number of clusters on the driver, which sees their sizes and means only."""
-    rows = clusters.orderBy("node").collect()
-    labels = ward_merge(np.array([r["v"] for r in rows]), np.array([r["size"] for r in rows], float), **how)
-    first: dict[int, int] = {}
-    for row, label in zip(rows, labels):
-        first.setdefault(int(label), row["node"])
-    moves = [(first[int(label)], row["node"]) for row, label in zip(rows, labels) if first[int(label)] != row["node"]]
-    return members.sparkSession.createDataFrame(moves, "low long, high long")
-
-
-def _below(
-    clusters: DataFrame, members: DataFrame, threshold: float, finish: int = 0
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Clusters, members and merges ``(cost, low, high)`` once all merges below ``threshold`` are done.
-
-    The last ``finish`` clusters are merged on the driver, and then the clusters and merges are not
-    kept up; without ``finish`` they are.
+        clusters.where("open").select("node", "size", "v"), threshold, lambda group: _nearest(group, threshold),
+        "node long, cost double, low long, high long", axes)
+    best = candidates.groupBy("node").agg(F.min(F.struct("cost", "low", "high")).alias("best"))
+    named = clusters.select("node", "size", "v").join(best, "node", "left")
+    own = F.when(F.col("best").isNull(), F.col("node"))
+    groups = named.groupBy("best", own.alias("alone")).agg(F.sort_array(F.collect_list(F.struct("node", "size", "v"))).alias("part"))
+    a, b, pair = F.col("part")[0], F.col("part")[1], F.size("part") == 2
+    total = a["size"] + b["size"]
+    mean = F.zip_with(a["v"], b["v"], lambda x, y: (x * a["size"] + y * b["size"]) / total)
+    return materialized(groups.select(
+        a["node"].alias("node"), F.when(pair, total).otherwise(a["size"]).alias("size"), F.when(pair, mean).otherwise(a["v"]).alias("v"),
+        F.col("best").isNotNull().alias("open"), F.when(pair, F.col("best.cost")).alias("cost"),
+        F.when(pair, F.col("best.high")).alias("high")))
+
+
+def _finished(clusters: DataFrame, threshold: float = np.inf, k: int = 1) -> list[tuple[int, int]]:
+    """Moves ``(low, high)`` that merge a bounded number of clusters on the driver, by the same rounds."""
+    rows = clusters.select("node", "size", "v").orderBy("node").toArrow()
+    if not len(rows):
+        return []
+    nodes, sizes = (rows[c].to_numpy().copy() for c in ("node", "size"))
+    means = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1).copy()
+    left, live, merges = len(rows), np.arange(len(rows)), []
+    # A merge comes after those that it builds on, whatever rounding says of its cost.
+    after = np.zeros(len(rows))
+    while len(live) > 1:
+        best = _Best(nodes[live], sizes[live], means[live], threshold)
+        whole = np.arange(len(live))
+        for at in range(0, len(live), TILE[0]):
+            best.compare(whole[at : at + TILE[0]], whole[at:])
+        some = best.low >= 0
+        live, cost, low, high = live[some], best.cost[some], best.low[some], best.high[some]
+        partner = np.searchsorted(nodes[live], np.where(nodes[live] == low, high, low))
+        if not len(live):
+            break
+        first = np.flatnonzero((low[partner] == low) & (high[partner] == high) & (nodes[live] == low))
+        i, j, price = live[first], live[partner[first]], cost[first]
+        price = np.maximum(price, np.maximum(after[i], after[j]))
+        merges += zip(price.tolist(), [len(merges)] * len(i), nodes[i].tolist(), nodes[j].tolist())
+        total = sizes[i] + sizes[j]
+        means[i] = (means[i] * sizes[i, None] + means[j] * sizes[j, None]) / total[:, None]
+        sizes[i], after[i] = total, price
+        live = live[~np.isin(live, j)]
+    return [(low, high) for _, _, low, high in sorted(merges)[: left - k]]
+
+
+def _below(clusters: DataFrame, threshold: float, axes: np.ndarray, finish: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """Clusters once all merges below ``threshold`` are done, and the merges ``(cost, low, high)`` of each round.
+
+    The rounds end once at most ``finish`` clusters are open.
     """
-    active, merges = clusters, None
-    while True:
-        best = _best(active, threshold)
-        left = best.count()
-        if left == 0:
-            return clusters, members, merges
-        # A cluster without a partner below the threshold never gets one: merging brings none nearer.
-        active = active.join(best.select("node"), "node", "left_semi")
-        if left <= finish:
-            return clusters, materialized(_renamed(members, _finished(active, members, threshold=threshold))), merges
-        pairs = materialized(best.groupBy("best").count().where("count = 2").select("best.*"))
-        members = materialized(_renamed(members, pairs))
-        active = materialized(_merged(active, pairs))
-        if not finish:
-            clusters = materialized(_merged(clusters, pairs))
-            merges = pairs if merges is None else merges.union(pairs)
+    clusters, merges = clusters.withColumn("open", F.lit(True)), []
+    while clusters.where("open").count() > finish:
+        clusters = _round(clusters, threshold, axes)
+        merges.append(clusters.where("high is not null").select("cost", F.col("node").alias("low"), "high"))
+    return clusters, merges
 
 
 def _first_threshold(points: DataFrame) -> float:
@@ -138,24 +175,22 @@ def _first_threshold(points: DataFrame) -> float:
     return max(float(np.sqrt(np.median(gaps))), 1e-150)
 
 
-def _down_to(clusters: DataFrame, members: DataFrame, k: int, finish: int) -> DataFrame:
-    """Members once ``k`` clusters are left: thresholds rise until few enough for the driver are left.
+def _down_to(clusters: DataFrame, k: int, finish: int) -> tuple[list[DataFrame], list[tuple[int, int]]]:
+    """Merges until ``k`` clusters are left, and those done on the driver: thresholds rise until few enough for it are left.
 
     If one leaves too few, only the cheapest of its merges are done: a merge never costs less than
     those that it builds on.
     """
     finish = max(finish, k)
-    count = clusters.count()
+    count, done = clusters.count(), []
     threshold = _first_threshold(clusters) if count > finish else 0.0
     while count > finish:
-        found, named, merges = _below(clusters, members, threshold)
+        found, merges = _below(clusters, threshold, grid(clusters, threshold))
         left = found.count()
         if left < k:
-            kept = merges.orderBy("cost", "low", "high").limit(count - k)
-            moves = connected(kept.select(F.col("low").alias("x"), F.col("high").alias("y")))
-            return materialized(_renamed(members, moves.select(F.col("cluster").alias("low"), F.col("node").alias("high"))))
-        clusters, members, count, threshold = found, named, left, 2 * threshold
-    return materialized(_renamed(members, _finished(clusters, members, k=k)))
+            return [*done, reduce(DataFrame.union, merges).orderBy("cost", "low", "high").limit(count - k)], []
+        clusters, done, count, threshold = found.select("node", "size", "v"), done + merges, left, 2 * threshold
+    return done, _finished(clusters, k=k)
 
 
 def ward_linkage(
@@ -185,13 +220,19 @@ def ward_linkage(
     if lengths[0] != lengths[1]:
         raise ValueError("vectors of different lengths")
     clusters = points.select("node", "size", "v")
-    members = points.select(F.col("node").alias("point"), "node")
+    # Wide vectors are left to the driver in smaller numbers.
+    finish = max(min(finish, MOST // max(lengths[0] or 1, 1)), 1)
+    merges, moves = [], []
     if lengths[0] is not None:
         if k is not None:
-            members = _down_to(clusters, members, max(k, 1), finish)
+            merges, moves = _down_to(clusters, max(k, 1), finish)
         elif threshold > 0:
-            members = _below(clusters, members, threshold, max(finish, 1))[1]
-    named = members.join(points.select(F.col("node").alias("point"), "v", "name"), "point")
+            clusters, merges = _below(clusters, threshold, grid(clusters, threshold), finish)
+            moves = _finished(clusters.where("open"), threshold)
+    links = reduce(DataFrame.union, [m.select("low", "high") for m in merges], rows.sparkSession.createDataFrame(moves, "low long, high long"))
+    lows = connected(links.toDF("x", "y")).toDF("point", "node")
+    named = points.select(F.col("node").alias("point"), "v", "name").join(lows, "point", "left").withColumn(
+        "node", F.coalesce("node", "point"))
     names = named.groupBy("node").agg(F.coalesce(F.min("name"), F.first("node")).alias(cluster_column))
     of_vector = named.join(names, "node").select(F.col("v").alias("__v"), cluster_column)
     return marked.join(of_vector, "__v", "left").drop("__v")
